@@ -16,6 +16,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, train
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, train(docs.where(~held_out())))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -31,6 +38,38 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.join(segment_starts(segments), ["part", "seq"]).select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import word_count
+    from .fingerprints import fingerprint, fingerprints_with_edits
+
+    rows = fingerprints_with_edits(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint(F.col("kept"), word_count(F.col("text"))).alias("fingerprint"),
+        fingerprint(F.col("edited_kept"), word_count(F.col("edited"))).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import WIDTH, media_features, store_payloads
+
+    rows = media_features(store_payloads(documents(spark, sf_dir)))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("samples"), F.octet_length("samples") - (WIDTH - 1), F.lit(WIDTH))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws("-", "dhash", F.substring(F.sha2("tile", 256), 1, 16)).alias("feature"),
+    )
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .encoding import tokenizer_path
     from .packing import pack
@@ -41,8 +80,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_token_store": op7_token_store,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_media": op9_media,
     "op10_packing": op10_packing,
 }
 
@@ -77,5 +119,28 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, round(q.target, 6
        (q.size * coalesce(t.copies, 0))::BIGINT AS taken, coalesce(t.copies, 0)::BIGINT AS copies,
        q.cum::DOUBLE / q.weight AS finish
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
+""",
+    "op8_fingerprints": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
+nx AS (SELECT *, coalesce(lead(text) OVER o, first_value(text) OVER (ORDER BY doc_id NULLS FIRST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS next_text
+       FROM d WINDOW o AS (ORDER BY doc_id NULLS FIRST, text)),
+ed AS (SELECT *, array_to_string(list_concat(string_split(text, '')[1:n_chars - n_chars // 4], string_split(next_text, '')[1:n_chars // 4]), '') AS edited FROM nx),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w0, regexp_extract_all(edited, '[^\x20\x09-\x0D]+') AS w1,
+             regexp_extract_all(next_text, '[^\x20\x09-\x0D]+') AS w2 FROM ed),
+h AS (SELECT *,
+  CASE WHEN len(w0) >= 5 THEN list_transform(range(1, len(w0) - 3), lambda i: md5(array_to_string(w0[i:i+4], ' '))) WHEN len(w0) > 0 THEN [md5(array_to_string(w0, ' '))] ELSE []::VARCHAR[] END AS h0,
+  CASE WHEN len(w1) >= 5 THEN list_transform(range(1, len(w1) - 3), lambda i: md5(array_to_string(w1[i:i+4], ' '))) WHEN len(w1) > 0 THEN [md5(array_to_string(w1, ' '))] ELSE []::VARCHAR[] END AS h1,
+  CASE WHEN len(w2) >= 5 THEN list_transform(range(1, len(w2) - 3), lambda i: md5(array_to_string(w2[i:i+4], ' '))) WHEN len(w2) > 0 THEN [md5(array_to_string(w2, ' '))] ELSE []::VARCHAR[] END AS h2
+  FROM w),
+k AS (SELECT *,
+  list_sort(list_distinct(list_transform(list_filter(h0, lambda x: x < '2'), lambda x: x[1:8]))) AS k0,
+  list_sort(list_distinct(list_transform(list_filter(h1, lambda x: x < '2'), lambda x: x[1:8]))) AS k1,
+  list_sort(list_distinct(list_transform(list_filter(h2, lambda x: x < '2'), lambda x: x[1:8]))) AS k2 FROM h)
+SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
+  len(w0)::VARCHAR || ':' || coalesce(array_to_string(k0, ''), '') AS fingerprint,
+  len(w1)::VARCHAR || ':' || coalesce(array_to_string(k1, ''), '') AS edited_fingerprint,
+  CASE WHEN text = edited THEN 1.0 WHEN least(len(k0), len(k1)) = 0 THEN 0.0 ELSE len(list_intersect(k0, k1))::DOUBLE / least(len(k0), len(k1)) END::DOUBLE AS near_edited,
+  CASE WHEN text = next_text THEN 1.0 WHEN least(len(k0), len(k2)) = 0 THEN 0.0 ELSE len(list_intersect(k0, k2))::DOUBLE / least(len(k0), len(k2)) END::DOUBLE AS near_next
+FROM k
 """,
 }
