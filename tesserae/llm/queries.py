@@ -16,6 +16,13 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    rows = near_duplicates(documents(spark, sf_dir), width=2)
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify, train
 
@@ -80,6 +87,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op4_minhash": op4_minhash,
     "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_token_store": op7_token_store,
@@ -119,6 +127,19 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, round(q.target, 6
        (q.size * coalesce(t.copies, 0))::BIGINT AS taken, coalesce(t.copies, 0)::BIGINT AS copies,
        q.cum::DOUBLE / q.weight AS finish
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id
+""",
+    "op4_minhash": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))
+                          WHEN len(w) = 1 THEN w ELSE []::VARCHAR[] END AS s FROM w),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+link AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
+FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
 """,
     "op8_fingerprints": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
