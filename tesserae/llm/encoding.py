@@ -8,13 +8,16 @@ holds this against the library's own encoding of whole texts.
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words a worker keeps between batches; beyond it the store starts anew, which bounds its memory.
-KEPT_WORDS = 200_000
+#: Pieces a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
+KEPT_UNITS = 400_000
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -23,29 +26,61 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters whose lower case and normal form are themselves or one letter each, and marks that end a word.
+PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+
+
 class WordEncoder:
-    """Encodes batches of texts; `path` names a tokenizer whose pieces never cross an ASCII space or line feed."""
+    """Encodes batches of texts; `path` names a tokenizer whose pieces never cross an ASCII space or line feed.
+
+    A word of plain letters with marks behind it is two pieces, which are kept apart, since far fewer letter runs than
+    words are distinct. Lower-cased letter runs go to the tokenizer's model without its normaliser, which wouldn't change
+    them, many at once: each ends with the only id whose token carries the end-of-word mark.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts, self.lengths, self.ids, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
-
-    def _learn(self, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+        self.units: dict[str, int] = {"": 0}
+        self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _add_units(self, units: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         starts = self.ids.size + np.cumsum(lengths) - lengths
-        for w in words:
-            self.place[w] = len(self.place)
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
         self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, flat])
 
+    def _pairs(self, words: list[str]) -> np.ndarray:
+        """The two units of each word, by their places in the store; new ones are encoded."""
+        split = [(m[1].lower(), m[2]) if (m := PLAIN_WORD.fullmatch(w)) else (w, "") for w in words]
+        plain, marked = PLAIN_WORD.fullmatch, bool(self.ends.any())
+        new = dict.fromkeys(u for pair in split for u in pair if u not in self.units)
+        letters, others = [], []
+        for u in new:
+            (letters if marked and u.isalpha() and plain(u) and u == u.lower() else others).append(u)
+        if letters:
+            flat = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) != len(letters):
+                raise ValueError("the tokenizer's words don't end with its end-of-word mark")
+            self._add_units(letters, np.diff(ends, prepend=0), flat)
+        if others:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._add_units(others, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+        place = self.units
+        return np.array([(place[a], place[b]) for a, b in split], np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, ids per text); a null text has none."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -53,17 +88,32 @@ class WordEncoder:
         per_text = np.diff(chunks.offsets.to_numpy())
         coded = chunks.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.place) > KEPT_WORDS:
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        if len(self.units) > KEPT_UNITS:
             self.clear()
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(new)
-        place = np.fromiter((self.place[w] for w in words), np.int64, len(words))
-        index = place[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-        lengths = self.lengths[index]
+        pairs = self._pairs(words)
+        own = self.lengths[pairs].sum(1)  # ids of each distinct word
+        index = coded.indices.to_numpy()
+        # lay out the distinct words' ids once, then gather them for all words
+        lengths = self.lengths[pairs].ravel()
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.ids[np.repeat(self.starts[index] - (ends - lengths), lengths) + np.arange(total)]
-        edge = np.concatenate([[0], np.cumsum(per_text)])
+        laid = self.ids[np.repeat(self.starts[pairs].ravel() - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        first = np.cumsum(own) - own
+        lengths = own[index]
+        ends = np.cumsum(lengths)
+        flat = laid[np.repeat(first[index] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
         upto = np.concatenate([[0], ends])
-        return flat, np.diff(upto[edge])
+        return flat, np.diff(upto[np.concatenate([[0], np.cumsum(per_text)])])
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; it outlives a task, as Spark's Python workers do."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .encoding import WordEncoder
+from .encoding import encoder_of
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of one training step, and tokens that a task packs together.
@@ -130,7 +130,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = WordEncoder(path), Packer(TaskContext.get().partitionId() << 36, tiers)
+        encoder, packer = encoder_of(path), Packer(TaskContext.get().partitionId() << 36, tiers)
 
         def rows(last: bool = False) -> Iterator[pa.RecordBatch]:
             out = packer.flush(last)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .encoding import WordEncoder
+from .encoding import encoder_of
 
 MAGIC, BLOCK = b"DAC1", 512
 #: A segment is closed once it has this many tokens; a document always lies in one segment.
@@ -115,7 +115,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, label: str
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, seq = TaskContext.get().partitionId(), WordEncoder(path), 0
+        part, encoder, seq = TaskContext.get().partitionId(), encoder_of(path), 0
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
         def segment() -> pa.RecordBatch:
