@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import find_repeats, kept_digest
+
+    docs = documents(spark, sf_dir)
+    found = find_repeats(docs).select(F.col("doc_id").alias("id"), "rid", F.col("n_lines").cast("long"), F.size("removed").cast("long").alias("n_removed"), kept_digest().alias("kept_digest"))
+    own = docs.select("doc_id", F.xxhash64("text").alias("own"))
+    return own.join(found, own["doc_id"].eqNullSafe(found["id"]) & (own["own"] == found["rid"])).select("doc_id", "n_lines", "n_removed", "kept_digest")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -86,6 +95,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op4_minhash": op4_minhash,
     "op5_langid": op5_langid,
@@ -97,6 +107,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents),
+t AS (SELECT *, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS s FROM l),
+c AS (SELECT s, len(s) AS n, min((doc_id, line_no)) AS first FROM t WHERE len(s) > 0 GROUP BY s),
+i AS (SELECT *, row_number() OVER (ORDER BY first) AS node FROM c),
+e AS (SELECT node, n, unnest(s) AS x FROM i),
+df AS (SELECT x, count(*) AS df FROM e GROUP BY x HAVING count(*) > 1),
+o AS (SELECT node, n, x, row_number() OVER (PARTITION BY node ORDER BY coalesce(df, 1), x) AS pos FROM e LEFT JOIN df USING (x)),
+p AS (SELECT DISTINCT a.node AS a, b.node AS b FROM o a JOIN o b ON a.x = b.x AND a.node < b.node AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4
+      WHERE a.pos <= a.n - ceil(0.8 * a.n) + 1 AND b.pos <= b.n - ceil(0.8 * b.n) + 1),
+m AS (SELECT DISTINCT p.b AS node FROM p JOIN i x ON x.node = p.a JOIN i y ON y.node = p.b
+      WHERE 5 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n - len(list_intersect(x.s, y.s)))),
+r AS (SELECT t.*, len(t.s) > 0 AND (m.node IS NOT NULL OR (t.doc_id, t.line_no) <> i.first) AS removed
+      FROM t LEFT JOIN i ON t.s = i.s LEFT JOIN m ON i.node = m.node)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE removed)::BIGINT AS n_removed,
+       md5(coalesce(string_agg(md5(line), '' ORDER BY line_no) FILTER (WHERE NOT removed), '')) AS kept_digest
+FROM r GROUP BY doc_id
+""",
     "op2_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
