@@ -17,7 +17,9 @@ import pyarrow.compute as pc
 
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 1_000_000
+#: Documents encoded together: the more there are, the fewer words of a batch are new to it.
+ENCODED_ROWS = 1500
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:

@@ -22,13 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
 #: Labelled documents learned from, by language, and the bytes that the table of code lengths may take.
 SAMPLE, TABLE_BYTES = 1200, 64 << 20
 ORDER = 3
-PREDICTIONS = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +155,24 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(languages, [by.get(x, empty)["gram"].to_numpy(np.int64) for x in languages], [by.get(x, empty)["n"].to_numpy(np.int64) for x in languages])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, held_out, lang_pred, score (0 to 1), bits_per_byte.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, held_out, lang_pred, score (0 to 1), bits_per_byte; or, instead of doc_id
+    and held_out, the columns of docs named by `keep`, which must not be called like the last three.
 
     lang_pred is 'und' with score 0 for a null text, one without a letter, or a model that has learned nothing. Ties go to
     the first language by name. bits_per_byte is null for texts without bytes. Equal texts get equal predictions; other
     columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    if keep is None:
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").alias("_text"))
+    else:
+        rows = docs.select(*keep, F.col("text").alias("_text"))
+    given = rows.schema.fields[:-1]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(len(given))
             n = len(texts)
             letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False).astype(bool)
             if model.languages:
@@ -177,7 +183,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             else:
                 best, share, lengths, rate, letter = np.zeros(n, int), np.zeros(n), utf8(texts)[1], np.zeros(n), np.zeros(n, bool)
             names = np.array([*model.languages, "und"], object)
-            columns = [batch.column(0), batch.column(1), pa.array(names[np.where(letter, best, len(names) - 1)], pa.string()), pa.array(np.where(letter, share, 0.0)), pa.array(rate, mask=lengths == 0)]
-            yield pa.record_batch(columns, ["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"])
+            columns = [*batch.columns[:-1], pa.array(names[np.where(letter, best, len(names) - 1)], pa.string()), pa.array(np.where(letter, share, 0.0)), pa.array(rate, mask=lengths == 0)]
+            yield pa.record_batch(columns, [*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(predict, PREDICTIONS)
+    schema = T.StructType([*given, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    return rows.mapInArrow(predict, schema)

@@ -104,14 +104,14 @@ def copies_taken(cut: tuple | None, epochs: int) -> Column:
     return sum((one(e) for e in range(epochs)), F.lit(0))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2, size: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document of docs (doc_id, text, source): doc_id, size, source_size, target, taken, copies, finish.
 
     Weights repeat over the sources in code point order, null last. A null text has size 0, is never taken and has 0
     copies; an empty table gives no rows. Other columns of docs are ignored. Rows with equal doc_id share their place in
-    the shuffle, longer ones last. Equal inputs give equal results.
+    the shuffle, longer ones last. Equal inputs give equal results. Columns named by `carry` come along.
     """
-    sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"))
+    sized = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("order_key"), *carry)
     sized = written(sized, "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -120,4 +120,4 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, epochs: int = 2,
     targets = source_targets(sources, share * total, epochs)
     rows, cut = fair_queue(sized, targets, share * total, epochs)
     copies = F.when(F.col("size") > 0, copies_taken(cut, epochs)).otherwise(0).cast("long")
-    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"), finish(F.lit(0)).alias("finish"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * copies).alias("taken"), copies.alias("copies"), finish(F.lit(0)).alias("finish"), *carry)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .encoding import encoder_of
+from .encoding import ENCODED_ROWS, encoder_of
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of one training step, and tokens that a task packs together.
@@ -125,7 +125,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
     two. step_group numbers groups of STEP_TOKENS tokens of one tier within a task. An empty table gives no rows; repeated
     rows are packed each for itself; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODED_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

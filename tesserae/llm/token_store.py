@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .encoding import encoder_of
+from .encoding import ENCODED_ROWS, encoder_of
 
 MAGIC, BLOCK = b"DAC1", 512
 #: A segment is closed once it has this many tokens; a document always lies in one segment.
@@ -110,7 +110,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, label: str
     digest of their texts, and a null id comes first. A null or empty text has only the end id. Returns the written
     segments (part, seq, n_docs, n_tokens, payload); an empty table gives none.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, ENCODED_ROWS)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
