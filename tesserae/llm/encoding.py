@@ -8,6 +8,7 @@ holds this against the library's own encoding of whole texts.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -62,26 +63,39 @@ class WordEncoder:
         self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
         self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, flat])
 
-    def _pairs(self, words: list[str]) -> np.ndarray:
+    def _pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The two units of each word, by their places in the store; new ones are encoded."""
-        split = [(m[1].lower(), m[2]) if (m := PLAIN_WORD.fullmatch(w)) else (w, "") for w in words]
-        plain, marked = PLAIN_WORD.fullmatch, bool(self.ends.any())
-        new = dict.fromkeys(u for pair in split for u in pair if u not in self.units)
-        letters, others = [], []
-        for u in new:
-            (letters if marked and u.isalpha() and plain(u) and u == u.lower() else others).append(u)
+        plain, place, marked = PLAIN_WORD.fullmatch, self.units, bool(self.ends.any())
+        heads, marks = [], []
+        letters: dict[str, None] = {}
+        others: dict[str, None] = {}
+        for w in words:
+            m = plain(w) if marked else None
+            if m:
+                head, mark = m.groups()
+                head = head.lower()
+                if head not in place:
+                    letters[head] = None
+                if mark and mark not in place:
+                    others[mark] = None
+            else:
+                head, mark = w, ""
+                if w not in place:
+                    others[w] = None
+            heads.append(head)
+            marks.append(mark)
         if letters:
             flat = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[flat]) + 1
             if len(ends) != len(letters):
                 raise ValueError("the tokenizer's words don't end with its end-of-word mark")
-            self._add_units(letters, np.diff(ends, prepend=0), flat)
+            self._add_units(list(letters), np.diff(ends, prepend=0), flat)
         if others:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(others), add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add_units(others, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
-        place = self.units
-        return np.array([(place[a], place[b]) for a, b in split], np.int64)
+            self._add_units(list(others), lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+        n = len(words)
+        return np.fromiter(map(place.__getitem__, heads), np.int64, n), np.fromiter(map(place.__getitem__, marks), np.int64, n)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, ids per text); a null text has none."""
@@ -94,13 +108,14 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         if len(self.units) > KEPT_UNITS:
             self.clear()
-        pairs = self._pairs(words)
-        own = self.lengths[pairs].sum(1)  # ids of each distinct word
+        heads, marks = self._pairs(words)
+        own = self.lengths[heads] + self.lengths[marks]  # ids of each distinct word
         index = coded.indices.to_numpy()
         # lay out the distinct words' ids once, then gather them for all words
-        lengths = self.lengths[pairs].ravel()
+        units = np.stack([heads, marks], 1).ravel()
+        lengths = self.lengths[units]
         ends = np.cumsum(lengths)
-        laid = self.ids[np.repeat(self.starts[pairs].ravel() - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
+        laid = self.ids[np.repeat(self.starts[units] - (ends - lengths), lengths) + np.arange(int(ends[-1]))]
         first = np.cumsum(own) - own
         lengths = own[index]
         ends = np.cumsum(lengths)
@@ -115,6 +130,7 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder_of(path: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file; it outlives a task, as Spark's Python workers do."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    gc.disable()  # a store of a million strings has no cycles, and would be walked again and again
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = WordEncoder(path)
