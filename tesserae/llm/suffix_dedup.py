@@ -12,8 +12,7 @@ A byte is removed if a string of `window` bytes that covers it also starts anywh
    neighbours in the suffix array with such a common prefix, and only they, can hold repeats.
 4. An exact check follows: within such a group, windows at the same distance before the cut are compared whole.
 
-An anchor with more than HOT regions is not gathered: the windows of its regions are counted one by one by digest, with
-partial sums, and joined back. Nothing is capped or left out.
+An anchor with more than HOT regions is not gathered: the windows of its regions are counted one by one by digest, XX is capped or left out.
 """
 
 from __future__ import annotations
@@ -255,10 +254,14 @@ def counted_windows(regions: DataFrame, window: int) -> DataFrame:
                 digests = [hashlib.blake2b(region[a : a + window], digest_size=16).digest() for a in range(n)]
                 yield pa.record_batch([pa.array([anchor] * n), pa.array(digests, pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(first, first + n), pa.int64())], ["anchor", "digest", "key", "start"])
 
-    windows = regions.mapInArrow(spread, "anchor long, digest binary, key binary, start long")
-    # an anchor of one region per window start: each start is seen once
-    twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    return windows.join(twice, "digest").select("key", "start", (F.col("start") + window).alias("stop"))
+    # equal regions repeat each other whole; one of each goes on, window by window
+    same = Window.partitionBy("anchor", "content")
+    marked = regions.withColumn("content", F.md5("region")).withColumn("copies", F.count("*").over(same)).withColumn("which", F.row_number().over(same.orderBy("key", "first")))
+    whole = marked.where("copies > 1").select("key", F.col("first").alias("start"), (F.col("first") + F.octet_length("region")).alias("stop"))
+    one = marked.where("which = 1").select("anchor", "key", "first", "region", "n")
+    windows = one.mapInArrow(spread, "anchor long, digest binary, key binary, start long")
+    twice = windows.withColumn("times", F.count("*").over(Window.partitionBy("digest"))).where("times > 1")
+    return whole.unionByName(twice.select("key", "start", (F.col("start") + window).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, label: str = "suffix") -> DataFrame:
