@@ -27,17 +27,18 @@ def dense_entries(blocks: DataFrame) -> DataFrame:
 
 
 def factor_entries(blocks: DataFrame, side: str) -> DataFrame:
-    """(block_id, i, k, v) of the factor 'a' (by row index) or 'b' (by column index) of low-rank blocks."""
+    """(block_id, row_first, i, k, v) of the factor 'a' (by row index) or 'b' (by column index) of low-rank blocks. A
+    mirrored block shares its id with its original, so row_first tells them apart."""
     first, n = ("row_first", nrows()) if side == "a" else ("col_first", ncols())
-    e = blocks.where("kind = 'rk'").select("block_id", F.col(first).alias("first"), n.alias("n"), F.posexplode(side).alias("p", "v"))
-    return e.select("block_id", (F.col("first") + F.col("p") % F.col("n")).alias("i"), F.floor(F.col("p") / F.col("n")).alias("k"), "v")
+    e = blocks.where("kind = 'rk'").select("block_id", "row_first", F.col(first).alias("first"), n.alias("n"), F.posexplode(side).alias("p", "v"))
+    return e.select("block_id", "row_first", (F.col("first") + F.col("p") % F.col("n")).alias("i"), F.floor(F.col("p") / F.col("n")).alias("k"), "v")
 
 
 def to_coo(blocks: DataFrame) -> DataFrame:
     """All entries of the leaves of an unsymmetric matrix, low-rank ones multiplied out."""
     a, b = factor_entries(blocks, "a"), factor_entries(blocks, "b")
-    rk = a.alias("a").join(b.alias("b"), ["block_id", "k"]).groupBy("block_id", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v"))
-    return dense_entries(blocks).unionByName(rk).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    rk = a.alias("a").join(b.alias("b"), ["block_id", "row_first", "k"]).groupBy("block_id", "row_first", F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(F.sum(F.col("a.v") * F.col("b.v")).alias("v"))
+    return dense_entries(blocks).unionByName(rk.drop("row_first")).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def mirrored(blocks: DataFrame) -> DataFrame:
@@ -70,20 +71,13 @@ def mul_vec(blocks: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0
     every = mirrored(blocks)
     every = transposed(every) if transpose else every
     d = dense_entries(every).alias("d").join(x.alias("x"), F.col("d.j") == F.col("x.i")).groupBy(F.col("d.i").alias("i")).agg(F.sum(F.col("d.v") * F.col("x.v")).alias("v"))
-    # a mirrored block shares its id with its original, so its rows tell them apart
-    a, b = _tagged(every, "a"), _tagged(every, "b")
+    a, b = factor_entries(every, "a"), factor_entries(every, "b")
     t = b.alias("b").join(x.alias("x"), F.col("b.i") == F.col("x.i")).groupBy("block_id", "row_first", "k").agg(F.sum(F.col("b.v") * F.col("x.v")).alias("t"))
     r = a.join(t, ["block_id", "row_first", "k"]).groupBy("i").agg(F.sum(F.col("v") * F.col("t")).alias("v"))
     out = vector.scale(alpha, d.unionByName(r).groupBy("i").agg(F.sum("v").alias("v")))
     return vector.add(beta, y, out) if beta and y is not None else out
 
 
-def _tagged(blocks: DataFrame, side: str) -> DataFrame:
-    first, n = ("row_first", nrows()) if side == "a" else ("col_first", ncols())
-    e = blocks.where("kind = 'rk'").select("block_id", "row_first", F.col(first).alias("first"), n.alias("n"), F.posexplode(side).alias("p", "v"))
-    return e.select("block_id", "row_first", (F.col("first") + F.col("p") % F.col("n")).alias("i"), F.floor(F.col("p") / F.col("n")).alias("k"), "v")
-
-
 def scale(alpha: float, blocks: DataFrame) -> DataFrame:
     f = F.lit(float(alpha))
     return blocks.withColumns({"d": F.transform("d", lambda v: f * v), "a": F.transform("a", lambda v: f * v)})
