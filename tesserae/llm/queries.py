@@ -187,6 +187,17 @@ link AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
 FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.s
+""",
+    "op6_sharding": r"""
+WITH tbl AS (SELECT list_transform(range(0, 256), lambda n: list_reduce(range(0, 8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n)) AS t),
+b AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, key, length(h) // 2 AS n, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT) AS x FROM b),
+c AS (SELECT doc_id, key, n + 1 AS size, xor(list_reduce(x, lambda c, v: xor(c >> 8, t[xor(c & 255, v) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM x, tbl),
+s AS (SELECT *, list_transform(range(0, 9), lambda k: -ln((('0x' || md5(key || '|' || k)[1:13])::BIGINT + 1)::DOUBLE / 4503599627370497.0)) AS score FROM c),
+p AS (SELECT *, list_position(score[1:8], list_min(score[1:8])) - 1 AS shard, list_position(score, list_min(score)) - 1 AS grown_shard FROM s)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || '|' || text_crc32 || '|' || size)) - 1 AS slot
+FROM p
 """,
     "op8_fingerprints": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM documents),
