@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import settled
+from .iterate import ranks, settled
 
 #: Points of a cluster that is not split.
 LEAF_SIZE = 60
@@ -56,13 +56,12 @@ def geometric(adaptive: bool = True) -> Split:
 
 
 def cardinality(adaptive: bool = True) -> Split:
-    """The lower half by count goes left. A median cut needs an order within each cluster: one sort a level, split at
-    exact ranks."""
+    """The lower half by count goes left: one distributed sort a level, cut at exact ranks."""
 
     def split(points: DataFrame, lvl: int, dim: int) -> DataFrame:
         axis = _axis(points, lvl, dim, adaptive)
-        rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.get("x", axis), "dof"))
-        return points.withColumn("side", F.when(rank <= F.floor(F.col("n") / 2), 0).otherwise(1))
+        ranked = ranks(points.withColumn("_key", F.get("x", axis)), ["cid"], ["_key", "dof"], "_rank")
+        return ranked.withColumn("side", F.when(F.col("_rank") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("_rank", "_key")
 
     return split
 
@@ -93,14 +92,16 @@ def principal(by_count: bool = False) -> Split:
         x = points.join(found, "cid")
         proj = F.aggregate(F.zip_with(F.zip_with("x", "mean", lambda a, m: a - m), "dir", lambda a, d: a * d), F.lit(0.0), lambda s, v: s + v)
         x = x.withColumn("_p", proj)
-        own = Window.partitionBy("cid")
         if by_count:
-            side = F.when(F.row_number().over(own.orderBy("_p", "dof")) <= F.floor(F.col("n") / 2), 0).otherwise(1)
+            x = ranks(x, ["cid"], ["_p", "dof"], "_rank")
+            side = F.when(F.col("_rank") <= F.floor(F.col("n") / 2), 0).otherwise(1)
         else:
-            low, high = F.min("_p").over(own), F.max("_p").over(own)
+            ends = x.groupBy("cid").agg(F.min("_p").alias("_low"), F.max("_p").alias("_high"))
+            x = x.join(ends, "cid")
+            low, high = F.col("_low"), F.col("_high")
             at_centre = (low <= 0) & (high > 0)
             side = F.when(F.col("_p") <= F.when(at_centre, 0.0).otherwise((low + high) / 2), 0).otherwise(1)
-        return x.withColumn("side", side).drop("_p", "dir", "mean")
+        return x.withColumn("side", side).drop("_p", "dir", "mean", "_rank", "_low", "_high")
 
     return split
 
@@ -111,8 +112,9 @@ def automatic(ratio: float = 0.9) -> Split:
 
     def split(points: DataFrame, lvl: int, dim: int) -> DataFrame:
         g = geo(points, lvl, dim).withColumnRenamed("side", "_geo")
-        uneven = F.abs(F.sum(1 - 2 * F.col("_geo")).over(Window.partitionBy("cid"))) / F.col("n") > ratio
-        return card(g, lvl, dim).withColumn("side", F.when(uneven, F.col("side")).otherwise(F.col("_geo"))).drop("_geo")
+        tilt = g.groupBy("cid").agg(F.abs(F.sum(1 - 2 * F.col("_geo"))).alias("_tilt"))
+        both = card(g.join(tilt, "cid"), lvl, dim)
+        return both.withColumn("side", F.when(F.col("_tilt") / F.col("n") > ratio, F.col("side")).otherwise(F.col("_geo"))).drop("_geo", "_tilt")
 
     return split
 
@@ -123,8 +125,8 @@ def least_cut(edges: DataFrame) -> Split:
     def split(points: DataFrame, lvl: int, dim: int) -> DataFrame:
         sides = points
         for k in range(dim):
-            rank = F.row_number().over(Window.partitionBy("cid").orderBy(F.get("x", F.lit(k)), "dof"))
-            sides = sides.withColumn(f"_s{k}", F.when(rank <= F.floor(F.col("n") / 2), 0).otherwise(1))
+            ranked = ranks(sides.withColumn("_key", F.get("x", F.lit(k))), ["cid"], ["_key", "dof"], "_rank")
+            sides = ranked.withColumn(f"_s{k}", F.when(F.col("_rank") <= F.floor(F.col("n") / 2), 0).otherwise(1)).drop("_rank", "_key")
         own = sides.select("dof", "cid", *[f"_s{k}" for k in range(dim)])
         e = edges.join(own.select(F.col("dof").alias("src"), F.col("cid").alias("c0"), *[F.col(f"_s{k}").alias(f"a{k}") for k in range(dim)]), "src")
         e = e.join(own.select(F.col("dof").alias("dst"), F.col("cid").alias("c1"), *[F.col(f"_s{k}").alias(f"b{k}") for k in range(dim)]), "dst").where("c0 = c1")
@@ -186,7 +188,7 @@ def block_low_rank(points: DataFrame, order_by: list[Column], leaf_size: int = L
     sizes n * alpha^l with alpha = (leaf_size / n)^(1 / levels). Rows (dof, i, c1, ..., c_levels)."""
     n = points.count()
     alpha = (leaf_size / n) ** (1 / levels) if n > leaf_size else 1.0
-    ranked = points.withColumn("i", (F.row_number().over(Window.orderBy(*order_by, "dof")) - 1).cast("long"))
+    ranked = ranks(points, [], [*order_by, F.col("dof")], "_rank").withColumn("i", (F.col("_rank") - 1).cast("long"))
     for lvl in range(1, levels + 1):
         size = max(leaf_size, round(n * alpha**lvl))
         ranked = ranked.withColumn(f"c{lvl}", F.floor(F.col("i") / size))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .iterate import settled
+from .iterate import ranks, settled
 
 
 def from_matrix(a: DataFrame, mask: DataFrame | None = None) -> DataFrame:
@@ -134,9 +134,9 @@ def bisect_by_levels(e: DataFrame, every: DataFrame) -> DataFrame:
     # from the farthest node of each component, a second sweep gives longer and thinner levels
     far = found.join(parts, "node").groupBy("component").agg(F.max_by("node", F.struct("distance", "node")).alias("node"))
     level = distances(e, far.select("node")).join(parts, "node")
-    order = Window.orderBy("component", "distance", "node")
     n = level.count()
-    return level.select("node", F.when(F.row_number().over(order) <= n // 2, 0).otherwise(1).alias("side"))
+    ranked = ranks(level, [], ["component", "distance", "node"])
+    return ranked.select("node", F.when(F.col("rank") <= n // 2, 0).otherwise(1).alias("side"))
 
 
 def bisect_spectral(e: DataFrame, every: DataFrame, iterations: int = 40) -> DataFrame:
@@ -153,7 +153,7 @@ def bisect_spectral(e: DataFrame, every: DataFrame, iterations: int = 40) -> Dat
         y = y.select("node", "d", ((F.col("v") - m) / (n or 1.0)).alias("v"))
         x = settled(y) if k % 5 == 4 or k == iterations - 1 else y
     n = x.count()
-    return x.select("node", F.when(F.row_number().over(Window.orderBy("v", "node")) <= n // 2, 0).otherwise(1).alias("side"))
+    return ranks(x, [], ["v", "node"]).select("node", F.when(F.col("rank") <= n // 2, 0).otherwise(1).alias("side"))
 
 
 def pack_in_bins(sizes: list[int], bins: int = 2, steps: int = 20) -> list[int]:

@@ -84,6 +84,15 @@ def test_block_cluster_tree_tiles_everything(spark):
     assert one.select(bc.off_diagonal().alias("o"), bc.high_low_frequency(1.0, 0.1)().alias("h")).first() == (True, False)
 
 
+def test_ranks_in_pieces(spark):
+    from tesserae.operators.iterate import ranks
+
+    x = spark.range(300).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"))
+    whole = {tuple(r) for r in ranks(x, ["g"], ["v"]).select("g", "v", "rank").collect()}
+    assert {tuple(r) for r in ranks(x, ["g"], ["v"], limit=40).select("g", "v", "rank").collect()} == whole
+    assert sorted(r["rank"] for r in ranks(x, [], ["v"], limit=70).collect()) == list(range(1, 301))
+
+
 def test_boxes(spark):
     row = spark.range(1).select(F.array(F.lit(0.0), F.lit(0.0)).alias("a"), F.array(F.lit(1.0), F.lit(2.0)).alias("b"), F.array(F.lit(4.0), F.lit(6.0)).alias("c"), F.array(F.lit(5.0), F.lit(7.0)).alias("d"))
     a, b, c, d = (F.col(x) for x in "abcd")
