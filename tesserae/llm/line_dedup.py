@@ -37,12 +37,14 @@ def shift(x: Column, by: Column | int) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> bytes:
-    """A byte for each counter: the logarithm of how many words of the corpus fall on it, between 1 and 127."""
+    """A byte for each counter: the logarithm of how many words of the corpus fall on it, between 1 and 127. Counters up to
+    four times the mean say no more than that a word is not frequent, and get 1."""
     word = docs.select(F.explode(line_words(F.coalesce("text", F.lit("")))).alias("word"))
     counts = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("counter")).agg(F.count("*").alias("n")).collect()
     table = bytearray(b"\1" * COUNTERS)
+    common = 4 * sum(n for _, n in counts) / COUNTERS
     for counter, n in counts:
-        table[counter] = min(127, 1 + int(4 * math.log2(1 + n)))
+        table[counter] = min(127, 1 + int(4 * math.log2(1 + n))) if n > common else 1
     return bytes(table)
 
 
