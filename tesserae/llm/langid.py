@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
+from .idle import busy, idle
 
 #: Labelled documents learned from, by language, and the bytes that the table of code lengths may take.
-SAMPLE, TABLE_BYTES = 1200, 64 << 20
+SAMPLE, TABLE_BYTES = 1200, 32 << 20
 ORDER = 3
 
 
@@ -171,6 +172,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     given = rows.schema.fields[:-1]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        busy()
         for batch in batches:
             texts = batch.column(len(given))
             n = len(texts)
@@ -185,6 +187,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
             names = np.array([*model.languages, "und"], object)
             columns = [*batch.columns[:-1], pa.array(names[np.where(letter, best, len(names) - 1)], pa.string()), pa.array(np.where(letter, share, 0.0)), pa.array(rate, mask=lengths == 0)]
             yield pa.record_batch(columns, [*batch.schema.names[:-1], "lang_pred", "score", "bits_per_byte"])
+        idle(_tables.clear)
 
     schema = T.StructType([*given, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return rows.mapInArrow(predict, schema)
