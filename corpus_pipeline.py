@@ -57,7 +57,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of packed sequences, with checksums of their ids."""
-    pieces = pack(docs, tokenizer_path(), end_id=2)
+    # workers keep less here, since the JVMs hold what the stages before have left
+    pieces = pack(docs, tokenizer_path(), end_id=2, rows_at_once=500, kept=200_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 

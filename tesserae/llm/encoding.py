@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .idle import busy, idle
+
 WORD_BPE = "word_bpe_49k.json"
 #: Pieces a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
 KEPT_UNITS = 1_000_000
@@ -52,6 +54,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         if suffix:
             self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.kept = KEPT_UNITS
         self.clear()
 
     def clear(self) -> None:
@@ -98,7 +101,19 @@ class WordEncoder:
         return np.fromiter(map(place.__getitem__, heads), np.int64, n), np.fromiter(map(place.__getitem__, marks), np.int64, n)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids as uint32, ids per text); a null text has none."""
+        """(all ids as uint32, ids per text); a null text has none.
+
+        The collector rests meanwhile: what is made here has no cycles, and it would walk the store again and again.
+        """
+        resting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if resting:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         chunks = pc.split_pattern_regex(texts, "[ \n]+")
         per_text = np.diff(chunks.offsets.to_numpy())
@@ -106,7 +121,7 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self.units) > KEPT_UNITS:
+        if len(self.units) > self.kept:
             self.clear()
         heads, marks = self._pairs(words)
         own = self.lengths[heads] + self.lengths[marks]  # ids of each distinct word
@@ -127,11 +142,17 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder_of(path: str) -> WordEncoder:
-    """The worker's encoder for a tokenizer file; it outlives a task, as Spark's Python workers do."""
+def encoder_of(path: str, kept: int = KEPT_UNITS) -> WordEncoder:
+    """The worker's encoder for a tokenizer file; it outlives a task, as Spark's Python workers do, until let_go."""
+    busy()
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    gc.disable()  # a store of a million strings has no cycles, and would be walked again and again
     if path not in _encoders:
         _encoders.clear()
         _encoders[path] = WordEncoder(path)
+    _encoders[path].kept = kept
     return _encoders[path]
+
+
+def let_go() -> None:
+    """A task has ended: its encoder goes once the worker has been idle for some seconds."""
+    idle(_encoders.clear)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .encoding import ENCODED_ROWS, encoder_of
+from .encoding import ENCODED_ROWS, KEPT_UNITS, encoder_of, let_go
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of one training step, and tokens that a task packs together.
@@ -117,20 +117,20 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS) -> DataFrame:
+def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, rows_at_once: int = ENCODED_ROWS, kept: int = KEPT_UNITS) -> DataFrame:
     """Pack docs (doc_id, text), encoded with the tokenizer file at path, each with end_id after it.
 
     One row a piece, with its ids as little-endian u32. Every id of every row of docs lies in one piece; a null or empty
     text is the end id alone. Sequence ids are unique, offsets gapless from 0, and every sequence is as long as a power of
     two. step_group numbers groups of STEP_TOKENS tokens of one tier within a task. An empty table gives no rows; repeated
-    rows are packed each for itself; other columns are ignored.
+    rows are packed each for itself; other columns are ignored. rows_at_once and kept bound a worker's memory.
     """
-    small_batches(docs.sparkSession, ENCODED_ROWS)
+    small_batches(docs.sparkSession, rows_at_once)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer = encoder_of(path), Packer(TaskContext.get().partitionId() << 36, tiers)
+        encoder, packer = encoder_of(path, kept), Packer(TaskContext.get().partitionId() << 36, tiers)
 
         def rows(last: bool = False) -> Iterator[pa.RecordBatch]:
             out = packer.flush(last)
@@ -148,6 +148,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
             if packer.held >= CHUNK_TOKENS:
                 yield from rows()
         yield from rows(True)
+        let_go()
 
     from pyspark.sql import functions as F
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
-from .encoding import ENCODED_ROWS, encoder_of
+from .encoding import ENCODED_ROWS, encoder_of, let_go
 
 MAGIC, BLOCK = b"DAC1", 512
 #: A segment is closed once it has this many tokens; a document always lies in one segment.
@@ -135,6 +135,7 @@ def write_tokens(docs: DataFrame, path: str, end_id: int | None = 1, label: str
                 held, seq = [], seq + 1
         if held:
             yield segment()
+        let_go()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_tie"))
