@@ -2,17 +2,18 @@
 
 Each language has a byte context tree of orders 3 to 0 with method C escapes: a symbol seen c times in a context of n
 symbols, d of them distinct, costs -log2(c / (n + d)) bits; an unseen one costs the escape, -log2(d / (n + d)), and is
-coded in the next shorter context, at last uniformly. The statistics are frozen after learning, so the code length of a
-text is a sum over its bytes, and the tree is laid out as a table: context and symbol to bits, for all languages side by
-side. The text's language is the one that codes it shortest; the score is its share of the summed likelihoods.
+coded in the next shorter context, at last uniformly over all 256 bytes. The statistics are frozen after learning, so the
+code length of a text is a sum over its bytes. The tree is held sparsely: for each language and order the sorted contexts
+with their escapes and the sorted contexts and symbols with their bits, so its size is that of what was seen. A block of
+texts looks up each of its distinct grams once. The text's language is the one that codes it shortest; the score is its
+share of the summed likelihoods.
 
 Learning uses a bounded sample: at most `sample` labelled documents a language, those with the smallest digest of their
-id. Bytes outside the most frequent SYMBOLS - 1 share one symbol, whose members cost the same in every language.
+id.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 from .common import small_batches
 from .idle import busy, idle
 
-#: Labelled documents learned from, by language, and the bytes that the table of code lengths may take.
-SAMPLE, TABLE_BYTES = 1200, 32 << 20
+#: Labelled documents learned from, by language.
+SAMPLE = 1200
 ORDER = 3
 
 
@@ -61,39 +62,58 @@ class Model:
         return zlib.crc32(repr([(n, zlib.crc32(g.tobytes()), zlib.crc32(c.tobytes())) for n, g, c in zip(self.languages, self.grams, self.counts, strict=True)]).encode())
 
     def symbols(self) -> tuple[np.ndarray, int]:
-        """A symbol for each byte value, and how many there are; the last one stands for all rare bytes."""
-        seen = np.zeros(256)
-        for g, c in zip(self.grams, self.counts, strict=True):
-            seen += np.bincount(g & 0xFF, c, 256) / max(1, c.sum())
-        room = int((TABLE_BYTES / 4 / max(1, len(self.languages))) ** 0.25)
-        kept = sorted(range(256), key=lambda b: (-seen[b], b))[: min(room - 1, int((seen > 0).sum()))]
-        table = np.full(256, len(kept), np.int64)
-        table[kept] = np.arange(len(kept))
-        return table, len(kept) + 1
-
-    def bits(self) -> tuple[np.ndarray, int, np.ndarray]:
-        """(symbol of each byte, number of symbols, bits of each context and symbol by language)."""
-        symbol, s = self.symbols()
-        rare = math.log2(max(1, 256 - (s - 1)))
-        table = np.empty((s**4, len(self.languages)), np.float32)
-        for k, (gram, count) in enumerate(zip(self.grams, self.counts, strict=True)):
-            part = [symbol[gram >> (8 * (3 - i)) & 0xFF] for i in range(4)]
-            p = np.full(s, 1 / s)
-            for order in range(ORDER + 1):
-                place = np.zeros(len(gram), np.int64)
-                for x in part[ORDER - order :]:
-                    place = place * s + x
-                c = np.bincount(place, count, s ** (order + 1)).reshape(-1, s)
-                n, d = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                lower = np.broadcast_to(p.reshape(-1, s), (s ** max(0, order - 1), s)) if order else p.reshape(1, s)
-                lower = np.tile(lower, (len(c) // len(lower), 1))
-                p = np.where(c > 0, c / np.maximum(n + d, 1), np.where(n > 0, d / np.maximum(n + d, 1), 1.0) * lower).ravel()
-            table[:, k] = -np.log2(p)
-        table.reshape(-1, s, len(self.languages))[:, s - 1] += rare
-        return symbol, s, table
-
-
-_tables: dict[int, tuple] = {}
+        """A symbol for each byte value, which is its own whatever the languages, and how many there are."""
+        return np.arange(256), 256
+
+    def trees(self) -> list[list[Level]]:
+        """For each language the levels of its context tree, from order ORDER to 0."""
+        found = []
+        for gram, count in zip(self.grams, self.counts, strict=True):
+            levels = []
+            for order in range(ORDER, -1, -1):
+                keys, inverse = np.unique((gram & (1 << 8 * (order + 1)) - 1).astype(np.uint32), return_inverse=True)
+                c = np.bincount(inverse, count, len(keys))
+                contexts, own = np.unique(keys >> 8, return_inverse=True)
+                n, d = np.bincount(own, c, len(contexts)), np.bincount(own, minlength=len(contexts))
+                levels.append(Level(keys, -np.log2(c / (n + d)[own]), contexts, -np.log2(d / (n + d))))
+            found.append(levels)
+        return found
+
+
+@dataclass
+class Level:
+    """What one order has seen: contexts with a symbol (as one number) and their bits, contexts and the bits of escapes."""
+
+    keys: np.ndarray
+    bits: np.ndarray
+    contexts: np.ndarray
+    escapes: np.ndarray
+
+
+def found_in(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted number whether the ascending keys have it, and the places of those that they have."""
+    if not len(keys):
+        return np.zeros(len(wanted), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return hit, at[hit]
+
+
+def gram_bits(levels: list[Level], grams: np.ndarray) -> np.ndarray:
+    """Bits of the last byte of each gram after the others: in the longest context that has it, with the escapes before."""
+    out, left = np.zeros(len(grams)), np.arange(len(grams))
+    for k, level in enumerate(levels):
+        key = grams[left] & np.uint32((1 << 8 * (ORDER - k + 1)) - 1)
+        hit, at = found_in(level.keys, key)
+        out[left[hit]] += level.bits[at]
+        left, key = left[~hit], key[~hit]
+        hit, at = found_in(level.contexts, key >> 8)
+        out[left[hit]] += level.escapes[at]
+    out[left] += 8
+    return out
+
+
+_tables: dict[int, list[list[Level]]] = {}
 
 
 def code_lengths(model: Model, texts: pa.Array, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
@@ -101,18 +121,21 @@ def code_lengths(model: Model, texts: pa.Array, block: int = 1 << 19) -> tuple[n
     key = model.key()
     if key not in _tables:
         _tables.clear()
-        _tables[key] = model.bits()
-    symbol, s, table = _tables[key]
+        _tables[key] = model.trees()
+    trees = _tables[key]
     flat, lengths = utf8(texts)
     padded, at = with_context(flat, lengths)
-    coded, owner = symbol[padded], np.repeat(np.arange(len(lengths)), lengths)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     out = np.zeros((len(lengths), len(model.languages)))
     for a in range(0, len(at), block):
         i, own = at[a : a + block], owner[a : a + block]
-        place = ((coded[i - 3] * s + coded[i - 2]) * s + coded[i - 1]) * s + coded[i]
-        bits, first = table[place], own[0]
-        for k in range(out.shape[1]):
-            sums = np.bincount(own - first, bits[:, k])
+        gram = np.zeros(len(i), np.uint32)
+        for back in range(ORDER, -1, -1):
+            gram = gram << 8 | padded[i - back]
+        coded = pa.array(gram).dictionary_encode()
+        distinct, place, first = coded.dictionary.to_numpy(), coded.indices.to_numpy(), own[0]
+        for k, levels in enumerate(trees):
+            sums = np.bincount(own - first, gram_bits(levels, distinct)[place])
             out[first : first + len(sums), k] += sums
     return out, lengths
 

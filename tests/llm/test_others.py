@@ -46,6 +46,25 @@ def test_code_lengths_equal_a_plain_model():
     assert np.isclose(langid.code_lengths(model, pa.array([probe.decode()]), block=3)[0][0, 0], bits, rtol=1e-5)
 
 
+def test_every_byte_is_a_symbol_whatever_the_languages():
+    import pyarrow as pa
+
+    def grams(text):
+        padded = b"\0\0\0" + text.encode()
+        found, counts = np.unique([int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(3, len(padded))], return_counts=True)
+        return found.astype(np.int64), counts.astype(np.int64)
+
+    # 26 languages with the same prose, each with a rare letter of its own
+    prose = "the quick brown fox jumps over the lazy dog " * 20
+    own = [chr(65 + k) for k in range(26)]
+    learned = [grams(prose + x * 30) for x in own]
+    model = langid.Model(own, [g for g, _ in learned], [c for _, c in learned])
+    bits = langid.code_lengths(model, pa.array([f"the fox {x * 6}" for x in own]))[0]
+    assert bits.argmin(1).tolist() == list(range(26))
+    alone = [langid.code_lengths(langid.Model([x], [g], [c]), pa.array([f"the fox {x * 6}"]))[0][0, 0] for x, (g, c) in zip(own, learned, strict=True)]
+    assert np.allclose(bits.min(1), alone)
+
+
 def test_language_edge_cases(spark):
     model = langid.train(fixture(spark))
     rows = {(r.doc_id, r.lang_pred) for r in langid.identify(fixture(spark), model).collect()}
