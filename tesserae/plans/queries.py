@@ -283,6 +283,14 @@ def matrix_permute(spark, sf):
     return coo.permute(t.square(), perm)
 
 
+@query()
+def matrix_permute_all(spark, sf):
+    """All rows in reverse, up to the largest supplier key; matrix_permute has the first hundred, as its SQL."""
+    a = Tables(spark, sf).square()
+    last = a.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]
+    return coo.permute(a, spark.range(last + 1).select(F.col("id").alias("e"), (last - F.col("id")).alias("i")))
+
+
 @query(f"WITH {Q} SELECT i, v FROM a WHERE i = j")
 def matrix_diagonal(spark, sf):
     return coo.diagonal(Tables(spark, sf).square())
@@ -332,19 +340,27 @@ def low_rank_apply(spark, sf):
 
 
 def square_tiles(spark, sf) -> DataFrame:
-    a = Tables(spark, sf).square().where("i < 100 and j < 100")
-    tiles = dense.from_coo(a, 25)
+    """Tiles of 25 by 25 over all suppliers, four in a block row, since part numbers are taken modulo 100."""
+    tiles = dense.from_coo(Tables(spark, sf).square(), 25)
     return tiles.select((F.col("bi") * 4 + F.col("bj") + 1).alias("block_id"), F.lit(0).cast("long").alias("parent_id"), F.col("bi").cast("int").alias("bi"), F.col("bj").cast("int").alias("bj"), F.lit(1).alias("lvl"), "row_first", (F.col("row_first") + 24).alias("row_last"), "col_first", (F.col("col_first") + 24).alias("col_last"), F.lit("dense").alias("kind"), F.lit("unsymmetric").alias("form"), F.lit(None).cast("int").alias("rank"), "d", F.lit(None).cast("array<double>").alias("a"), F.lit(None).cast("array<double>").alias("b"))
 
 
 @query(f"WITH {Q}, y AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier) SELECT a.i, round(sum(a.v * y.v), 2) AS v FROM a JOIN y ON a.j = y.i WHERE a.i < 100 GROUP BY a.i")
 def block_mul_vec(spark, sf):
     x = Tables(spark, sf).suppliers().where("i < 100")
-    y = blocks.mul_vec(square_tiles(spark, sf), x)
+    y = blocks.mul_vec(square_tiles(spark, sf).where("row_first < 100"), x)
     # tiles hold rows without entries too
     return y.join(Tables(spark, sf).square().where("i < 100").select("i").distinct(), "i", "left_semi").select("i", F.round("v", 2).alias("v"))
 
 
+@query()
+def block_mul_vec_all(spark, sf):
+    """The product for all suppliers; block_mul_vec has the first hundred, as its SQL."""
+    t = Tables(spark, sf)
+    y = blocks.mul_vec(square_tiles(spark, sf), t.suppliers())
+    return y.join(t.square().select("i").distinct(), "i", "left_semi").select("i", F.round("v", 2).alias("v"))
+
+
 @query()
 def block_compress(spark, sf):
     """Low-rank approximation of each tile at a relative accuracy of 0.1, by SVD."""
