@@ -494,6 +494,42 @@ def graph_distances(spark, sf):
     return graph.distances(Tables(spark, sf).edges(), start, 2)
 
 
+@query()
+def graph_degrees_all(spark, sf):
+    """This and the next ones: the same over the graph of all line items."""
+    return graph.degrees(Tables(spark, sf).all_edges())
+
+
+@query()
+def graph_extreme_degrees_all(spark, sf):
+    e = Tables(spark, sf).all_edges()
+    return graph.min_degree_node(e).select(F.col("node").alias("least")).crossJoin(graph.max_degree_node(e).select(F.col("node").alias("most")))
+
+
+@query()
+def graph_edge_cut_all(spark, sf):
+    e = Tables(spark, sf).all_edges()
+    return graph.edge_cut(e, graph.nodes(e).select("node", (F.col("node") % 2).alias("side")))
+
+
+@query()
+def graph_separator_all(spark, sf):
+    e = Tables(spark, sf).all_edges()
+    return graph.vertex_separator(e, graph.nodes(e).select("node", (F.col("node") % 2).alias("side")))
+
+
+@query()
+def graph_restrict_all(spark, sf):
+    e = Tables(spark, sf).all_edges()
+    return graph.restrict(e, graph.nodes(e).where("node % 3 <> 0"))
+
+
+@query()
+def graph_distances_all(spark, sf):
+    """Levels to the end of the search."""
+    return graph.distances(Tables(spark, sf).all_edges(), spark.createDataFrame([(1,)], "node long"))
+
+
 # ---- kernels ---------------------------------------------------------------------------------------------------------
 
 PAIRS = f"WITH {P}, d AS (SELECT a.dof AS i, b.dof AS j, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM p a JOIN p b ON a.label = b.label AND a.label = 1)"
@@ -519,6 +555,28 @@ def kernel_mul_vec(spark, sf):
     return coo.mul_vec(kernels.matrix_of(p, p, kernels.matern(2.5)), ones).select("i", F.round("v", 5).alias("v"))
 
 
+def kernel_entries(spark, sf, kernel) -> DataFrame:
+    """(i, j, v) of a kernel for all points with all points: every pair is asked for, so no blocks are needed."""
+    p = Tables(spark, sf).points()
+    return kernels.matrix_of(p, p, kernel)
+
+
+@query()
+def kernel_exponential_all(spark, sf):
+    return kernel_entries(spark, sf, kernels.exponential).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query()
+def kernel_matern_all(spark, sf):
+    return kernel_entries(spark, sf, kernels.matern(1.5, 2.0, 0.5)).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query()
+def kernel_mul_vec_all(spark, sf):
+    ones = Tables(spark, sf).points().select(F.col("dof").alias("i"), F.lit(1.0).alias("v"))
+    return coo.mul_vec(kernel_entries(spark, sf, kernels.matern(2.5)), ones).select("i", F.round("v", 5).alias("v"))
+
+
 # ---- meshes ----------------------------------------------------------------------------------------------------------
 
 
