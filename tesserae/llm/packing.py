@@ -4,7 +4,8 @@ A document of at least the longest context is cut into full windows of it; what
 holds it. Tiers are packed from the longest: each document opens a window of its tier, and the gap behind it is filled
 from shorter tiers, by whole documents where they fit and else by a cut one. Windows are powers of two, so full windows
 need no padding; what a task holds at its end is laid out in windows of falling powers of two. Sequences of a tier are
-dealt to step groups of equal token counts.
+counted off into step groups within a task, each window as a full one of its tier, so groups with short windows and the
+last group of a tier in a task hold fewer tokens than STEP_TOKENS.
 
 Packing goes on inside each input partition, in chunks of bounded size, with no shuffle.
 """
@@ -122,7 +123,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, tiers: tuple[int, ...] = T
 
     One row a piece, with its ids as little-endian u32. Every id of every row of docs lies in one piece; a null or empty
     text is the end id alone. Sequence ids are unique, offsets gapless from 0, and every sequence is as long as a power of
-    two. step_group numbers groups of STEP_TOKENS tokens of one tier within a task. An empty table gives no rows; repeated
+    two. step_group numbers groups of at most STEP_TOKENS tokens of one tier within a task. An empty table gives no rows; repeated
     rows are packed each for itself; other columns are ignored. rows_at_once and kept bound a worker's memory.
     """
     small_batches(docs.sparkSession, rows_at_once)
