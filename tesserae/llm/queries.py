@@ -29,7 +29,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
     docs = documents(spark, sf_dir)
-    found = remove_repeats(docs).select("key", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    in_passages = F.aggregate("passages", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["start"])
+    found = remove_repeats(docs).select("key", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), in_passages.alias("n_passage"))
     own = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
     return own.join(found, "key").drop("key")
 

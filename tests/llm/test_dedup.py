@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 from collections import Counter
 
 import duckdb
@@ -40,14 +42,84 @@ def suffix_docs():
     return texts + [fresh(80) + passage[50:600] + fresh(70) for _ in range(8)] + [texts[2]]
 
 
+def words_from(text, words, least):
+    """The string of so many whole words that begins at each word, if it is long enough."""
+    at = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    strings = {at[k][0]: at[k + words - 1][1] for k in range(len(at) - words + 1)}
+    return {a: b for a, b in strings.items() if b - a >= least}
+
+
+def brute_passages(texts, window, words, least):
+    """Per text the bytes covered by strings of `window` bytes, or of `words` whole words, that start elsewhere too."""
+    whole = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+    wanted = {t[a:b] for t in texts for a, b in words_from(t, words, least).items() if b - a < window}
+    sizes = {len(s) for s in wanted}
+    parts = Counter(s for t in texts for n in sizes for i in range(len(t) - n + 1) if (s := t[i : i + n]) in wanted)
+    out = []
+    for t in texts:
+        hit = bytearray(len(t))
+        for i in range(len(t) - window + 1):
+            if whole[t[i : i + window]] > 1:
+                hit[i : i + window] = b"\1" * window
+        for a, b in words_from(t, words, least).items():
+            if parts[t[a:b]] > 1:
+                hit[a:b] = b"\1" * (b - a)
+        out.append(sum(hit))
+    return out
+
+
 @pytest.mark.parametrize("hot", [5000, 2])
 def test_suffix_dedup_equals_brute_force(spark, hot):
     texts = suffix_docs()
     rows = suffix_dedup.remove_repeats(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), hot=hot).collect()
     found = {bytes(r.key): (r.n_removed, len(r.spans), bytes(r.kept)) for r in rows}
+    again = {bytes(r.key): sum(x.stop - x.start for x in r.passages) for r in rows}
     raw = [(t or "").encode() for t in texts]
-    for t, expected in zip(raw, brute_removal(raw, 400), strict=True):
+    for t, expected, covered in zip(raw, brute_removal(raw, 400), brute_passages(raw, 400, 51, 240), strict=True):
         assert found[hashlib.md5(t).digest()] == expected
+        assert again[hashlib.md5(t).digest()] == covered
+
+
+def covered(texts, window, words, least):
+    """What the core finds in distinct texts without Spark: covered bytes of (removed strings, passages too)."""
+    rows = []
+    for k, t in enumerate(texts):
+        for anchor, a, b in suffix_dedup.anchors_of(np.frombuffer(t, np.uint8), least).T.tolist():
+            rows.append((anchor, k, a, (b" " + t)[a : b + 1 + window], b - a + 1))
+    count = Counter(r[0] for r in rows)
+    out = [(bytearray(len(t)), bytearray(len(t))) for t in texts]
+    for k, a, b, passage in suffix_dedup.solve(sorted((r for r in rows if count[r[0]] > 1), key=lambda r: r[0]), window, words, least):
+        for marks in out[k][passage:]:
+            marks[a:b] = b"\1" * (b - a)
+    return [(sum(g), sum(p)) for g, p in out]
+
+
+def random_texts(rng):
+    letters = ["".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 8))) for _ in range(rng.choice([5, 40, 400]))]
+    text = lambda n: " ".join(rng.choice(letters) for _ in range(n)).replace(" a", " \n", 1)
+    base, out = text(400), set()
+    for _ in range(rng.randint(2, 20)):
+        kind, i = rng.random(), rng.randrange(len(base))
+        passage = text(rng.randint(0, 60)) + rng.choice(["", " "]) + base[i : i + rng.randint(0, 900)] + rng.choice(["", " "]) + text(rng.randint(0, 60))
+        out.add((text(rng.randint(1, 200)) if kind < 0.2 else rng.choice(["ab", "a", text(7) + " "]) * rng.randint(1, 300) if kind < 0.3 else passage + base[5:300] * (kind < 0.5)).encode())
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_core_equals_brute_force(seed):
+    rng = random.Random(seed)
+    window, words, least = rng.choice([(400, 51, 240), (120, 12, 60), (100, 9, 57)])
+    texts = random_texts(rng)
+    expected = [(n, p) for (n, *_), p in zip(brute_removal(texts, window), brute_passages(texts, window, words, least), strict=True)]
+    assert covered(texts, window, words, least) == expected
+
+
+def test_repeats_come_from_the_suffix_array(monkeypatch):
+    rng = random.Random(3)
+    texts = random_texts(rng)
+    right = covered(texts, 100, 9, 57)
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols: np.arange(len(symbols)))
+    assert sum(n for n, _ in right) > 0 and covered(texts, 100, 9, 57) != right
 
 
 def test_suffix_dedup_edge_cases(spark):
