@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, small_batches, written
@@ -36,6 +36,8 @@ from .suffix_grouping import suffix_array
 #: Bytes of a repeated string; words, and least bytes, of a passage; bytes hashed for anchors and for cuts; how far a cut
 #: may be away; regions of an anchor that one task takes.
 WINDOW, WORDS, LEAST, GRAM, SEED, REACH, HOT = 400, 51, 240, 32, 8, 48, 5000
+#: Keys over which the rows of equal regions of a frequent anchor are dealt.
+SALTS = 32
 #: Bytes of a text hashed at a time, and of regions whose suffixes are sorted together.
 CHUNK, SORTED_BYTES = 1 << 20, 4 << 20
 BYTE = np.random.default_rng(7).integers(1, 2**64, 256, dtype=np.uint64)
@@ -386,14 +388,22 @@ def counted_strings(regions: DataFrame, window: int, words: int, least: int, lab
             rows = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
             yield span_rows([x for row in rows for x in dict.fromkeys(solve([row, row], window, words, least))])
 
-    # equal regions repeat each other whole; one of each goes on, string by string
-    marked = regions.withColumn("content", F.md5(F.concat("region", F.col("positions").cast("string").cast("binary"))))
-    counts = marked.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("key", "first")).alias("one"))
-    marked = written(marked.join(counts, ["anchor", "content"]).select("anchor", "key", "first", "region", "positions", "copies", (F.struct("key", "first") == F.col("one")).alias("stands")), f"{label}-hot")
-    whole = marked.where("copies > 1").select("anchor", "key", "first", "region", "positions").mapInArrow(twins, SPANS)
-    strings = written(marked.where("stands").select("anchor", "key", "first", "region", "positions").mapInArrow(spread, "digest binary, passage boolean, key binary, start long, stop long"), f"{label}-strings")
+    # equal regions repeat each other whole; one of each goes on, string by string. How often a region occurs comes back to
+    # its rows under SALTS keys each, so that no task has all rows of a region
+    place = F.struct("key", "first")
+    marked = regions.withColumns({"content": F.md5(F.concat("region", F.col("positions").cast("string").cast("binary"))), "bytes": F.octet_length("region").cast("long") - 1})
+    counts = marked.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(place).alias("one")).where("copies > 1")
+    again = counts.select("anchor", "content", "one", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = marked.drop("region").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).unionByName(again, allowMissingColumns=True)
+    rows = rows.withColumn("one", F.max("one").over(Window.partitionBy("anchor", "content", "salt"))).where("key is not null")
+    rows = written(rows.select("key", "first", "bytes", "one", F.coalesce(place == F.col("one"), F.lit(True)).alias("stands")), f"{label}-hot")
+    copied = rows.where("one is not null")
+    whole = copied.where(F.col("bytes") >= window).select("key", F.col("first").alias("start"), (F.col("first") + F.col("bytes")).alias("stop"), F.lit(False).alias("passage"))
+    bytes_of = lambda found: regions.join(found.select("key", "first"), ["key", "first"], "left_semi").select("anchor", "key", "first", "region", "positions")
+    short = bytes_of(copied.where(F.col("bytes") < window)).mapInArrow(twins, SPANS)
+    strings = written(bytes_of(rows.where("stands")).mapInArrow(spread, "digest binary, passage boolean, key binary, start long, stop long"), f"{label}-strings")
     twice = strings.groupBy("digest", "passage").agg(F.count("*").alias("times")).where("times > 1")
-    return whole.unionByName(strings.join(twice, ["digest", "passage"]).select("key", "start", "stop", "passage"))
+    return whole.unionByName(short).unionByName(strings.join(twice, ["digest", "passage"]).select("key", "start", "stop", "passage"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, words: int = WORDS, least: int = LEAST, hot: int = HOT, label: str = "suffix") -> DataFrame:

@@ -33,10 +33,25 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
 
     right = n
     while right > 0:  # the group of the end alone, at 0, points at nothing that matters
-        g = group[array[right]]
-        members = array[g : right + 1]
-        if len(members) > 1:
-            members.sort()
+        s = array[right]
+        g = group[s]
+        if g == right:  # a group of one, as most are: its pointer's target moves behind its own group
+            j = s - 1
+            while j >= 0 and group[j] >= g:
+                j = previous[j]
+            previous[s] = j
+            if j >= 0:
+                h = group[j]
+                size[h] -= 1
+                last = h + size[h]
+                q, at = array[last], place[j]
+                array[at], array[last] = q, j
+                place[q], place[j] = at, last
+                group[j] = last
+                size[last] += 1
+            right -= 1
+            continue
+        members = sorted(array[g : right + 1])
         pointers: dict[int, int] = {}
         for s in members:
             j = s - 1
