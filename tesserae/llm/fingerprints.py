@@ -39,16 +39,20 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, 1.0).when(least == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / least)
 
 
-def with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text, kept, digest) with the next row's text, kept and digest, in ascending doc_id order, cyclic.
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """docs (doc_id, text) with kept (the sketch) and digest, and the next row's text, kept and digest, in ascending doc_id
+    order, cyclic.
 
     Rows are cut into ranges of ids of about equal counts; within a range the next row is a window function, and the last
-    row of a range gets the first of the next range from a table of one row a range. A null id comes first; equal ids
-    follow their texts' order.
+    row of a range gets the first of the next range from a table of one row a range. Only texts move; each is sketched
+    where it arrives, and the ranges' first ones once more. A null id comes first; equal ids follow their texts' order.
     """
-    bounds = quantile_bounds(docs, "doc_id", parts)
+    bounds = quantile_bounds(docs, "doc_id", ranges)
     ranged = docs.withColumn("_range", range_bucket(F.col("doc_id"), bounds))
-    first = ranged.groupBy("_range").agg(F.min(F.struct("doc_id", "text", "kept", "digest")).alias("_first"))
+    sketched = lambda text: (sketch(text).alias("kept"), F.md5(text).alias("digest"))
+    first = ranged.groupBy("_range").agg(F.min(F.struct("doc_id", "text")).alias("f"))
+    first = first.select("_range", F.struct("f.doc_id", "f.text", *sketched(F.col("f.text"))).alias("_first"))
+    ranged = ranged.repartition("_range").select("*", *sketched(F.col("text")))
     order = Window.orderBy("_range")
     wrapped = F.first("_first").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = first.select("_range", F.coalesce(F.lead("_first").over(order), wrapped).alias("_head"))
@@ -62,12 +66,14 @@ def fingerprints_with_edits(docs: DataFrame, parts: int | None = None) -> DataFr
     many first ones (or all) of the next document's text.
 
     Returns doc_id, n_chars, text, edited, kept, edited_kept, next_kept, near_edited, near_next. Null texts are empty. A
-    single row is its own next. Repeated rows follow each other; other columns are ignored.
+    single row is its own next. Repeated rows follow each other; other columns are ignored. With one shingle in eight kept,
+    a short text may keep none: its likeness to any text but an equal one is 0.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # several ranges a task, so that tasks have about equal numbers of them
+    ranges = parts or 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).select("doc_id", "text", sketch(F.col("text")).alias("kept"), F.md5("text").alias("digest"))
-    rows = with_next(rows, parts).withColumn("n_chars", F.char_length("text").cast("long"))
+    rows = docs.select("doc_id", text.alias("text"))
+    rows = with_next(rows, ranges).withColumn("n_chars", F.char_length("text").cast("long"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - quarter), F.substring(F.col("_next.text"), F.lit(1), quarter))
     rows = rows.withColumn("edited", edited).withColumn("edited_kept", sketch(F.col("edited")))

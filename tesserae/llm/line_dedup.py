@@ -8,7 +8,7 @@ ordered by rarity, estimated by a table of word counts of fixed size, long words
 similar enough share one of the first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined. A shared
 token at positions i and j bounds the overlap by 1 + min(m - i, n - j) (positional filter), sizes must be within t of each
 other (length filter), and the parities of hashed tokens bound the symmetric difference from below. What is left is
-verified on the words themselves.
+verified on the words themselves. Tables are deleted as soon as their last reader is written.
 
 A token in very many prefixes never yields all its pairs: each class is first compared with the earliest class of each of
 its tokens, and only those that stay unresolved are then joined with all earlier ones.
@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, if_small, written
+from .common import dropped, if_small, written
 
 #: 5 * common >= 4 * union, a Jaccard similarity of 0.8; entries of the table of word counts.
 OVER, UNDER = 5, 4
@@ -29,7 +29,11 @@ COUNTERS = 1 << 17
 
 
 def line_words(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), SPACE), "")
+    """The lower-cased words of a line; white space is made one character first, since splitting at one needs no pattern."""
+    line = F.lower(line)
+    for space in "\t\n\v\f\r":
+        line = F.replace(line, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(line, " "), "")
 
 
 def shift(x: Column, by: Column | int) -> Column:
@@ -56,10 +60,10 @@ def token(word: Column, table: bytes) -> Column:
     return shift(level, 56).bitwiseOR(shift(length, 50)).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
 
 
-def parity(tokens: Column, half: int) -> Column:
-    """64 parities: bit b tells whether an odd number of tokens hash to it; `half` picks which tokens count."""
-    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, shift(F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(bit(x)))
+def parity(tokens: Column) -> Column:
+    """64 parities: bit b tells whether an odd number of tokens hash to it."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(shift(one, x.bitwiseAND(F.lit(63)))))
 
 
 def needed(n: Column) -> Column:
@@ -68,20 +72,20 @@ def needed(n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """One row a line: doc_id, rid, line_no, digest, n, k1, k2 (hashes of the token set), p0, p1, prefix."""
+    """One row a line: doc_id, rid, line_no, digest, n, k1, k2 (hashes of the token set), parity, prefix."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "rid", "line_no", F.unhex(F.md5("line")).alias("digest"), F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: token(w, table)))).alias("tokens"))
     n = F.size("tokens")
     cut = F.slice("tokens", F.lit(1), F.when(n > 0, n - needed(n) + 1).otherwise(0))
     tokens = F.col("tokens")
-    return rows.select("doc_id", "rid", "line_no", "digest", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), parity(tokens, 0).alias("p0"), parity(tokens, 1).alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
+    return rows.select("doc_id", "rid", "line_no", "digest", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), parity(tokens).alias("parity"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
 
 
 def postings_of(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Prefix postings (node, token, at, n, p0, p1) of each class's first line; `at` counts from 0."""
+    """Prefix postings (node, token, at, n, parity) of each class's first line; `at` counts from 0."""
     same = lines["doc_id"].eqNullSafe(firsts["doc_id"]) & (lines["rid"] == firsts["rid"]) & (lines["line_no"] == firsts["line_no"]) & (lines["k1"] == firsts["k1"]) & (lines["k2"] == firsts["k2"])
-    one = lines.where("n > 0").join(firsts, same).select("node", lines["n"], lines["p0"], lines["p1"], lines["prefix"])
-    return one.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
+    one = lines.where("n > 0").join(firsts, same).select("node", lines["n"], lines["parity"], lines["prefix"])
+    return one.select("node", "n", "parity", F.posexplode("prefix").alias("at", "token"))
 
 
 def passes(x: str, y: str) -> Column:
@@ -90,12 +94,12 @@ def passes(x: str, y: str) -> Column:
     m, n = c(x, "n"), c(y, "n")
     overlap = F.ceil(F.lit(UNDER) * (m + n) / F.lit(OVER + UNDER))
     bound = F.least(m - c(x, "at"), n - c(y, "at"))
-    differ = F.bit_count(c(x, "p0").bitwiseXOR(c(y, "p0"))) + F.bit_count(c(x, "p1").bitwiseXOR(c(y, "p1")))
+    differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))
     return (F.least(m, n) * OVER >= F.greatest(m, n) * UNDER) & (bound >= overlap) & (differ <= m + n - 2 * overlap)
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """Of written pairs (early, late) of classes, those whose word sets are similar."""
+    """Of written pairs (early, late) of classes, those whose word sets are similar, written. Drops the pairs."""
     nodes = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
     places = written(nodes.join(firsts.select("node", "doc_id", "rid", "line_no"), "node"), f"{label}-places")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
@@ -104,7 +108,9 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -
     sets = written(found.select("node", words.alias("words")).dropDuplicates(["node"]), f"{label}-sets")
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(OVER * common >= UNDER * (F.size("a") + F.size("b") - common)).select("early", "late")
+    found = written(both.where(OVER * common >= UNDER * (F.size("a") + F.size("b") - common)).select("late").distinct(), f"{label}-similar")
+    dropped(pairs, places, sets)
+    return found
 
 
 def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
@@ -122,22 +128,25 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
 
     here = Window.partitionBy("token")
-    whole = F.struct("node", "n", "at", "p0", "p1")
+    whole = F.struct("node", "n", "at", "parity")
     shared = postings_of(lines, firsts).withColumn("y", F.min(whole).over(here)).withColumn("x", whole).withColumn("df", F.count("*").over(here))
     shared = written(shared.where("df > 1").select("token", "x", F.col("y.node").alias("first"), (F.col("x.node") > F.col("y.node")).__and__(passes("x", "y")).alias("star")), f"{label}-postings")
     stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-stars")
-    resolved = written(verified(stars, firsts, docs, f"{label}-1").select(F.col("late").alias("node")).distinct(), f"{label}-resolved")
+    resolved = verified(stars, firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
 
     flat = shared.select("token", "x.*", "first")
-    late = flat.where("node > first").join(resolved, "node", "left_anti").select("token", F.struct("node", "n", "at", "p0", "p1").alias("x"))
-    early = flat.select("token", F.struct("node", "n", "at", "p0", "p1").alias("y"))
+    late = flat.where("node > first").join(resolved, "node", "left_anti").select("token", whole.alias("x"))
+    early = flat.select("token", whole.alias("y"))
     pairs = late.join(early, "token").where((F.col("y.node") < F.col("x.node")) & passes("x", "y"))
     pairs = written(pairs.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-pairs")
+    dropped(shared)
     removed = resolved.union(verified(pairs, firsts, docs, f"{label}-2").select("late")).distinct().withColumn("similar", F.lit(True))
 
     marks = firsts.join(removed, "node", "left").select("k1", "k2", F.struct("doc_id", "rid", "line_no").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
-    judged = lines.join(marks, ["k1", "k2"], "left").withColumn("removed", F.col("similar") | ~place.eqNullSafe(F.col("first")))
-    judged = judged.select("doc_id", "rid", "line_no", "digest", F.when(F.col("n") > 0, F.coalesce("removed", F.lit(False))).otherwise(False).alias("removed"))
+    judged = lines.where("n > 0").join(marks, ["k1", "k2"]).withColumn("removed", F.col("similar") | ~place.eqNullSafe(F.col("first")))
+    # blank lines, which are all alike, stay out of the join
+    blank = lines.where("n = 0").withColumn("removed", F.lit(False))
+    judged = judged.select("doc_id", "rid", "line_no", "digest", "removed").unionByName(blank.select("doc_id", "rid", "line_no", "digest", "removed"))
     each = judged.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("line_no", "digest", "removed"))).alias("lines"))
     gone = F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line_no"])
     return each.select("doc_id", "rid", F.size("lines").alias("n_lines"), gone.alias("removed"), "lines")
@@ -149,10 +158,11 @@ def kept_digest() -> Column:
 
 
 def without_repeats(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """docs with the removed lines taken out of `text`; all other columns and rows stay, also those left without lines."""
-    columns = docs.columns
-    found = decisions.where(F.size("removed") > 0).select(F.col("doc_id").alias("_doc"), F.col("rid").alias("_rid"), F.col("removed").alias("_removed"))
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(found, rows["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_rid")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    return rows.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)).select(*columns)
+    """docs with the removed lines taken out of `text`; all other columns, whatever their names, and rows stay, also those
+    left without lines."""
+    found = decisions.where(F.size("removed") > 0).select(F.col("doc_id").alias("id"), "rid", "removed")
+    own = docs.select(F.struct(*docs.columns).alias("row")).select("row", F.xxhash64("row.text").alias("hash"))
+    rows = own.join(found, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("rid")), "left")
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, if_small, small_batches, written
+from .common import components, dropped, if_small, small_batches, written
 from .shingles import BASE, mix, shingle_sets
 
 COORDINATES, MATCHES = 48, 24
@@ -117,16 +117,15 @@ def agreeing(pairs: DataFrame, classes: DataFrame, matches: int, similarity: tup
     return rows.select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long, agree long")
 
 
-def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """(node, text) of one document of each class in nodes (node); any of them has the class's set."""
-    needed = written(nodes.join(classes.select("node", "doc_id", "text_hash"), "node"), f"{label}-needed")
+def texts_of(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the documents in a written table (node, doc_id, text_hash)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     join = texts["doc_id"].eqNullSafe(needed["doc_id"]) & (texts["text_hash"] == needed["text_hash"])
     return texts.join(if_small(needed), join).select(needed["node"], "text")
 
 
 def across_components(placed: DataFrame, classes: DataFrame, similarity: tuple[int, int], matches: int, label: str) -> DataFrame:
-    """Candidate pairs (a, b) of classes in different components, from prefix postings placed (node, coordinate, value, part).
+    """Candidate pairs, written, (a, b) of classes in different components, from prefix postings placed (node, coordinate, value, part).
 
     In each posting the classes outside its most common component are queries against all of them, block by block.
     """
@@ -183,14 +182,19 @@ def across_components(placed: DataFrame, classes: DataFrame, similarity: tuple[i
             a, b = solve(pa.Table.from_batches(held))
             yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct()
+    found = written(rows.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "a long, b long").distinct(), f"{label}-pairs")
+    dropped(here)
+    return found
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, similarity: tuple[int, int], label: str) -> DataFrame:
-    """Of written pairs (a, b), those whose full shingle sets have over * common >= under * union."""
+    """Of written pairs (a, b), those whose full shingle sets have over * common >= under * union, written. Sets are sets
+    of 64-bit hashes of shingles. Drops the pairs."""
     over, under = similarity
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    found = texts_of(nodes, classes, docs, label)
+    # any document of a class has the class's set
+    needed = written(nodes.join(classes.select("node", "doc_id", "text_hash"), "node"), f"{label}-needed")
+    found = texts_of(needed, docs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +213,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
                 good.append(over * common >= under * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long")
+    good = written(rows.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long"), f"{label}-links")
+    dropped(pairs, needed, held)
+    return good
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (100, 80), matches: int = MATCHES, label: str = "near") -> DataFrame:
@@ -232,13 +238,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: tuple[int, int]
     # each class keeps the one that agrees with it most
     stars = stars.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     links = confirmed(written(stars, f"{label}-stars"), classes, docs, width, similarity, f"{label}-1")
-    links = written(links, f"{label}-links")
     parts = components(links, label=f"{label}-parts")
 
     placed = postings.join(parts, "node", "left").select("node", "coordinate", "value", F.coalesce("component", "node").alias("part"))
-    across = written(across_components(placed, classes, similarity, matches, f"{label}-2"), f"{label}-across")
+    across = across_components(placed, classes, similarity, matches, f"{label}-2")
+    dropped(postings)
     more = confirmed(across, classes, docs, width, similarity, f"{label}-3")
-    every = components(written(links.unionByName(more), f"{label}-all"), label=f"{label}-components")
+    every = components(links.unionByName(more), label=f"{label}-components")
+    dropped(links, more)
 
     own = classes.select("set_key", "smallest", "node").join(every, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = own.groupBy("component").agg(F.min("smallest").alias("component_id"))
