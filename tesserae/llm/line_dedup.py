@@ -8,7 +8,7 @@ ordered by rarity, estimated by a table of word counts of fixed size, long words
 similar enough share one of the first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined. A shared
 token at positions i and j bounds the overlap by 1 + min(m - i, n - j) (positional filter), sizes must be within t of each
 other (length filter), and the parities of hashed tokens bound the symmetric difference from below. What is left is
-verified on the words themselves. Tables are deleted as soon as their last reader is written.
+verified on all words, by their 64-bit hashes. Tables are deleted as soon as their last reader is written.
 
 A token in very many prefixes never yields all its pairs: each class is first compared with the earliest class of each of
 its tokens, and only those that stay unresolved are then joined with all earlier ones.
@@ -60,10 +60,11 @@ def token(word: Column, table: bytes) -> Column:
     return shift(level, 56).bitwiseOR(shift(length, 50)).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
 
 
-def parity(tokens: Column) -> Column:
-    """64 parities: bit b tells whether an odd number of tokens hash to it."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(shift(one, x.bitwiseAND(F.lit(63)))))
+def parity(tokens: Column, half: int) -> Column:
+    """64 parities: bit b tells whether an odd number of tokens hash to it; `half` picks which tokens count."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, shift(one, x.bitwiseAND(F.lit(63)))).otherwise(none)
+    return F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(bit(x)))
 
 
 def needed(n: Column) -> Column:
@@ -72,20 +73,20 @@ def needed(n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """One row a line: doc_id, rid, line_no, digest, n, k1, k2 (hashes of the token set), parity, prefix."""
+    """One row a line: doc_id, rid, line_no, digest, n, k1, k2 (hashes of the token set), p0, p1, prefix."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
     rows = rows.select("doc_id", "rid", "line_no", F.unhex(F.md5("line")).alias("digest"), F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: token(w, table)))).alias("tokens"))
     n = F.size("tokens")
     cut = F.slice("tokens", F.lit(1), F.when(n > 0, n - needed(n) + 1).otherwise(0))
     tokens = F.col("tokens")
-    return rows.select("doc_id", "rid", "line_no", "digest", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), parity(tokens).alias("parity"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
+    return rows.select("doc_id", "rid", "line_no", "digest", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), parity(tokens, 0).alias("p0"), parity(tokens, 1).alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
 
 
 def postings_of(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Prefix postings (node, token, at, n, parity) of each class's first line; `at` counts from 0."""
+    """Prefix postings (node, token, at, n, p0, p1) of each class's first line; `at` counts from 0."""
     same = lines["doc_id"].eqNullSafe(firsts["doc_id"]) & (lines["rid"] == firsts["rid"]) & (lines["line_no"] == firsts["line_no"]) & (lines["k1"] == firsts["k1"]) & (lines["k2"] == firsts["k2"])
-    one = lines.where("n > 0").join(firsts, same).select("node", lines["n"], lines["parity"], lines["prefix"])
-    return one.select("node", "n", "parity", F.posexplode("prefix").alias("at", "token"))
+    one = lines.where("n > 0").join(firsts, same).select("node", lines["n"], lines["p0"], lines["p1"], lines["prefix"])
+    return one.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
 
 
 def passes(x: str, y: str) -> Column:
@@ -94,17 +95,17 @@ def passes(x: str, y: str) -> Column:
     m, n = c(x, "n"), c(y, "n")
     overlap = F.ceil(F.lit(UNDER) * (m + n) / F.lit(OVER + UNDER))
     bound = F.least(m - c(x, "at"), n - c(y, "at"))
-    differ = F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))
+    differ = F.bit_count(c(x, "p0").bitwiseXOR(c(y, "p0"))) + F.bit_count(c(x, "p1").bitwiseXOR(c(y, "p1")))
     return (F.least(m, n) * OVER >= F.greatest(m, n) * UNDER) & (bound >= overlap) & (differ <= m + n - 2 * overlap)
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
-    """Of written pairs (early, late) of classes, those whose word sets are similar, written. Drops the pairs."""
+    """Of written pairs (early, late) of classes, those whose word sets, as sets of 64-bit hashes, are similar, written. Drops the pairs."""
     nodes = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
     places = written(nodes.join(firsts.select("node", "doc_id", "rid", "line_no"), "node"), f"{label}-places")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
     found = texts.join(if_small(places), texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["rid"] == places["rid"]))
-    words = F.array_distinct(line_words(F.get(F.split("text", "\n"), F.col("line_no"))))
+    words = F.array_distinct(F.transform(line_words(F.get(F.split("text", "\n"), F.col("line_no"))), lambda w: F.xxhash64(w)))
     sets = written(found.select("node", words.alias("words")).dropDuplicates(["node"]), f"{label}-sets")
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
     common = F.size(F.array_intersect("a", "b"))
@@ -128,7 +129,7 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
 
     here = Window.partitionBy("token")
-    whole = F.struct("node", "n", "at", "parity")
+    whole = F.struct("node", "n", "at", "p0", "p1")
     shared = postings_of(lines, firsts).withColumn("y", F.min(whole).over(here)).withColumn("x", whole).withColumn("df", F.count("*").over(here))
     shared = written(shared.where("df > 1").select("token", "x", F.col("y.node").alias("first"), (F.col("x.node") > F.col("y.node")).__and__(passes("x", "y")).alias("star")), f"{label}-postings")
     stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-stars")
