@@ -1,12 +1,13 @@
 """A training corpus from `documents`: language ID, line dedup, near-dedup, mixing and packing, each over whole tables.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Null and empty texts: the first stage rejects them.
+one's docs. All but the last return the columns of documents, and further columns whatever their names. Null and empty
+texts: the first stage rejects them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import documents, word_count, written
@@ -21,6 +22,15 @@ from tesserae.llm.packing import pack
 LEAST_SCORE = 0.5
 
 
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """docs as one column `row`, so that no column of theirs has the name of a working column."""
+    return docs.select(F.struct(*docs.columns).alias("row"))
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col("row").getField(c).alias(c) for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language by the model: those without a letter, or with no language at LEAST_SCORE, go."""
     columns = docs.columns
@@ -38,21 +48,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates: five-word shingles, similarity 0.8."""
     rows = near_duplicates(docs, width=5)
     group = F.coalesce(F.col("component").cast("string"), F.concat(F.lit("empty "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.col("text_hash")))
-    first = rows.groupBy(group).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
-    own = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = own.join(first, own["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    first = rows.groupBy(group).agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"))
+    own = whole_rows(docs).withColumns({"id": F.col("row.doc_id"), "hash": F.xxhash64("row.text")})
+    kept = own.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hash") == F.col("first_hash")), "left_semi")
     # rows repeated as they are are one document
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return kept.dropDuplicates(["id", "hash"]).select(*columns_of(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them (at most twice), in the order of their virtual finish times."""
-    own = docs.withColumn("_hash", F.xxhash64("text", "source"))
-    taken = mix(own, carry=("_hash",)).where("copies > 0").groupBy("doc_id", "_hash").agg(F.max("copies").alias("_copies"), F.min("finish").alias("_finish"))
-    taken = taken.select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_own"), "_copies", "_finish")
-    rows = own.join(taken, own["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_own")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return rows.orderBy("_finish", "_copy").select(*docs.columns)
+    digest = F.xxhash64("text", "source").alias("digest")
+    taken = mix(docs.select("doc_id", "text", "source", digest), carry=("digest",)).where("copies > 0")
+    taken = taken.groupBy("doc_id", "digest").agg(F.max("copies").alias("copies"), F.min("finish").alias("finish"))
+    rows = whole_rows(docs).withColumn("hash", F.xxhash64("row.text", "row.source"))
+    rows = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("digest")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.orderBy("finish", "copy").select(*columns_of(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
