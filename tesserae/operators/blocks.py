@@ -78,6 +78,61 @@ def mul_vec(blocks: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0
     return vector.add(beta, y, out) if beta and y is not None else out
 
 
+def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """alpha * a b as coordinates (i, j, v), for leaves of unsymmetric matrices with fitting inner ranges.
+
+    Dense leaves enter by their entries. A low-rank leaf u v^T enters through its factors: with index p of its rank, the
+    product takes v^T b or a u first, so no low-rank leaf is multiplied out before the product.
+    """
+    da, db = dense_entries(a).select("i", "j", "v"), dense_entries(b).select("i", "j", "v")
+    # a rank index of a leaf is an inner index of its own: (block_id, row_first, k)
+    rank = F.struct("block_id", "row_first", "k")
+    u, v = ({s: factor_entries(x, s).select(F.col("i").alias("x"), rank.alias("p"), "v") for s in "ab"} for x in (a, b))
+
+    def inner(x: DataFrame, y: DataFrame, on: str, keep: list[str]) -> DataFrame:
+        both = x.withColumnRenamed("v", "vx").join(y.withColumnRenamed("v", "vy"), on)
+        return both.groupBy(*keep).agg(F.sum(F.col("vx") * F.col("vy")).alias("v"))
+
+    left, right = da.withColumnRenamed("j", "m"), db.withColumnRenamed("i", "m")
+    parts = [inner(left, right, "m", ["i", "j"])]
+    # rank rows of a with all of b: first v^T b as (p, j), then u
+    pa = u["b"].withColumnRenamed("x", "m")
+    pb = v["a"].withColumnRenamed("x", "m")
+    ab = inner(pa, right, "m", ["p", "j"])
+    parts.append(inner(u["a"].withColumnRenamed("x", "i"), ab, "p", ["i", "j"]))
+    # dense a with rank rows of b: first a u as (i, p), then v^T
+    aq = inner(left, pb, "m", ["i", "p"])
+    vb = v["b"].withColumnRenamed("x", "j")
+    parts.append(inner(aq, vb, "p", ["i", "j"]))
+    # rank rows of both: (p, q) first
+    pq = inner(pa.withColumnRenamed("p", "q"), pb, "m", ["q", "p"])
+    uq = inner(u["a"].withColumnRenamed("x", "i").withColumnRenamed("p", "q"), pq, "q", ["i", "p"])
+    parts.append(inner(uq, vb, "p", ["i", "j"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("i", "j").agg((F.lit(float(alpha)) * F.sum("v")).alias("v"))
+
+
+def permuted(blocks: DataFrame, rows: list[int] | None = None, columns: list[int] | None = None) -> DataFrame:
+    """Dense leaves of one size with entry (r, c) of each moved to (rows[r], columns[c])."""
+    n, m = nrows().cast("int"), ncols().cast("int")
+    inverse = lambda p: None if p is None else F.array(*[F.lit(p.index(k)) for k in range(len(p))])
+    ri, ci = inverse(rows), inverse(columns)
+    source = lambda p: (F.get(ci, F.floor(p / n).cast("int")) if ci is not None else F.floor(p / n).cast("int")) * n + (F.get(ri, p % n) if ri is not None else p % n)
+    return blocks.withColumn("d", F.when(F.col("kind") == "dense", F.transform(F.sequence(F.lit(0), n * m - 1), lambda p: F.get("d", source(p)))).otherwise(F.col("d")))
+
+
+def row(blocks: DataFrame, i: int) -> DataFrame:
+    """(j, v) of row i, from the leaves that hold it."""
+    return to_coo(blocks.where(F.lit(i).between(F.col("row_first"), F.col("row_last")))).where(F.col("i") == i).select("j", "v")
+
+
+def column(blocks: DataFrame, j: int) -> DataFrame:
+    """(i, v) of column j, from the leaves that hold it."""
+    return to_coo(blocks.where(F.lit(j).between(F.col("col_first"), F.col("col_last")))).where(F.col("j") == j).select("i", "v")
+
+
 def scale(alpha: float, blocks: DataFrame) -> DataFrame:
     f = F.lit(float(alpha))
     return blocks.withColumns({"d": F.transform("d", lambda v: f * v), "a": F.transform("a", lambda v: f * v)})

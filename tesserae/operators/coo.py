@@ -1,6 +1,7 @@
-"""Matrices as coordinate tables (i, j, v), sparse or dense, with unique (i, j).
+"""Matrices as coordinate tables (i, j, v) or, if complex, (i, j, re, im), sparse or dense, with unique (i, j).
 
-Products join on the inner index and sum by the outer ones, with partial sums before the shuffle. Which side is broadcast
+Factors are numbers of Python, complex ones included. An operation is complex as soon as one of its operands or factors
+is; real operands then have imaginary parts of 0. Products join on the inner index and sum by the outer ones, with partial sums before the shuffle. Which side is broadcast
 is left to the optimizer and its size check.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import complexnum as cx
 from . import vector
 
 NORMAL, TRANSPOSED, ADJOINT, CONJUGATE = "N", "T", "C", "J"
@@ -39,7 +41,8 @@ def export_ccs(a: DataFrame, ncols: int, lower_only: bool = False) -> DataFrame:
     columns = every.join(a.groupBy("j").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("e")), "j", "left").select("j", F.coalesce("e", F.array().cast("array<struct<i:long,v:double>>")).alias("e"))
     one = columns.agg(F.array_sort(F.collect_list(F.struct("j", "e"))).alias("c"))
     sizes = F.transform("c", lambda x: F.size(x["e"]).cast("long"))
-    ends = F.transform(F.sequence(F.lit(0), F.lit(ncols)), lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0).cast("long"), lambda s, x: s + x))
+    zero = F.array(F.lit(0).cast("long"))
+    ends = F.aggregate(sizes, zero, lambda upto, n: F.concat(upto, F.array(F.element_at(upto, -1) + n)))
     flat = F.flatten(F.transform("c", lambda x: x["e"]))
     return one.select(ends.alias("colptr"), F.transform(flat, lambda x: x["i"]).alias("rowind"), F.transform(flat, lambda x: x["v"]).alias("coeff"))
 
@@ -65,53 +68,96 @@ def compose(outer: str, inner: str) -> str:
     return next(op for op, x in flip.items() if x == (t, c))
 
 
-def scale(alpha: float, a: DataFrame) -> DataFrame:
+def is_complex(*of: DataFrame | complex | None) -> bool:
+    return any("im" in x.columns if isinstance(x, DataFrame) else isinstance(x, complex) for x in of)
+
+
+def to_complex(x: DataFrame) -> DataFrame:
+    """(…, re, im) for a table that may be real."""
+    return x if "im" in x.columns else x.withColumn("im", F.lit(0.0)).withColumnRenamed("v", "re")
+
+
+def factor(alpha: complex) -> cx.C:
+    return cx.C(F.lit(float(complex(alpha).real)), F.lit(float(complex(alpha).imag)))
+
+
+def values(a: DataFrame) -> list[str]:
+    return ["re", "im"] if "im" in a.columns else ["v"]
+
+
+def scale(alpha: complex, a: DataFrame) -> DataFrame:
+    if is_complex(alpha, a):
+        a = to_complex(a)
+        return a.select("i", "j", *(factor(alpha) * cx.of("re", "im")).named())
     return a.select("i", "j", (F.lit(float(alpha)) * F.col("v")).alias("v"))
 
 
-def add(alpha: float, a: DataFrame, b: DataFrame) -> DataFrame:
+def add(alpha: complex, a: DataFrame, b: DataFrame) -> DataFrame:
     """b + alpha * a."""
-    return scale(alpha, a).unionByName(b.select("i", "j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    a = scale(alpha, a)
+    if is_complex(a, b):
+        a, b = to_complex(a), to_complex(b)
+    both = a.unionByName(b.select("i", "j", *values(b)))
+    return both.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in values(a)])
 
 
-def mul_vec(a: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0.0, y: DataFrame | None = None, op: str = NORMAL) -> DataFrame:
-    """alpha * op(a) x + beta * y. Complex a and x give (i, re, im). beta = 0 ignores y."""
+def mul_vec(a: DataFrame, x: DataFrame, alpha: complex = 1.0, beta: complex = 0.0, y: DataFrame | None = None, op: str = NORMAL) -> DataFrame:
+    """alpha * op(a) x + beta * y; (i, re, im) if anything is complex. beta = 0 ignores y."""
     a = apply_op(a, op)
-    if "im" in a.columns:
-        from ..functions import complexnum as cx
-
-        z = cx.of("a.re", "a.im") * cx.of("x.re", "x.im")
-        rows = a.alias("a").join(x.alias("x"), F.col("a.j") == F.col("x.i"))
-        return rows.groupBy(F.col("a.i").alias("i")).agg((alpha * F.sum(z.re)).alias("re"), (alpha * F.sum(z.im)).alias("im"))
+    y = y if beta else None
+    if is_complex(a, x, alpha, beta, y):
+        z = (cx.of("a.re", "a.im") * cx.of("x.re", "x.im")).sum()
+        rows = to_complex(a).alias("a").join(to_complex(x).alias("x"), F.col("a.j") == F.col("x.i"))
+        out = rows.groupBy(F.col("a.i").alias("i")).agg(*z.named()).select("i", *(factor(alpha) * cx.of("re", "im")).named())
+        return vector.add(beta, y, out) if y is not None else out
     rows = a.alias("a").join(x.alias("x"), F.col("a.j") == F.col("x.i"))
     out = rows.groupBy(F.col("a.i").alias("i")).agg((F.lit(float(alpha)) * F.sum(F.col("a.v") * F.col("x.v"))).alias("v"))
-    return vector.add(beta, y, out) if beta and y is not None else out
+    return vector.add(beta, y, out) if y is not None else out
 
 
 def triangle(a: DataFrame, shape: str = "lower", unit: bool = False) -> DataFrame:
     """The lower or upper triangle; with a unit diagonal, stored diagonal values are replaced by 1."""
     part = a.where("i >= j" if shape == "lower" else "i <= j")
-    return part.withColumn("v", F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.col("v"))) if unit else part
+    ones = {c: F.when(F.col("i") == F.col("j"), 0.0 if c == "im" else 1.0).otherwise(F.col(c)) for c in values(a)}
+    return part.withColumns(ones) if unit else part
+
+
+def matmul_triangle(a: DataFrame, b: DataFrame, side: str = "left", shape: str = "lower", unit: bool = False, alpha: complex = 1.0, op: str = NORMAL) -> DataFrame:
+    """alpha * op(tri(a)) b, or, with the triangle on the right, alpha * b op(tri(a))."""
+    t = triangle(a, shape, unit)
+    return matmul(t, b, alpha, op_a=op) if side == "left" else matmul(b, t, alpha, op_b=op)
 
 
 def mul_vec_triangle(a: DataFrame, x: DataFrame, shape: str = "lower", unit: bool = False) -> DataFrame:
     return mul_vec(triangle(a, shape, unit), x)
 
 
-def matmul(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, op_a: str = NORMAL, op_b: str = NORMAL) -> DataFrame:
+def matmul(a: DataFrame, b: DataFrame, alpha: complex = 1.0, beta: complex = 0.0, c: DataFrame | None = None, op_a: str = NORMAL, op_b: str = NORMAL) -> DataFrame:
     """alpha * op(a) op(b) + beta * c."""
     a, b = apply_op(a, op_a), apply_op(b, op_b)
+    if is_complex(a, b, alpha):
+        x = to_complex(a).select("i", F.col("j").alias("k"), F.col("re").alias("ar"), F.col("im").alias("ai"))
+        y = to_complex(b).select(F.col("i").alias("k"), "j", F.col("re").alias("br"), F.col("im").alias("bi"))
+        z = (cx.of("ar", "ai") * cx.of("br", "bi")).sum()
+        out = scale(alpha, x.join(y, "k").groupBy("i", "j").agg(*z.named()))
+        return add(beta, c, out) if beta and c is not None else out
     rows = a.select("i", F.col("j").alias("k"), F.col("v").alias("va")).join(b.select(F.col("i").alias("k"), "j", F.col("v").alias("vb")), "k")
     out = rows.groupBy("i", "j").agg((F.lit(float(alpha)) * F.sum(F.col("va") * F.col("vb"))).alias("v"))
     return add(beta, c, out) if beta and c is not None else out
 
 
 def hadamard(a: DataFrame, b: DataFrame) -> DataFrame:
+    if is_complex(a, b):
+        both = to_complex(a).alias("a").join(to_complex(b).alias("b"), ["i", "j"])
+        return both.select("i", "j", *(cx.of("a.re", "a.im") * cx.of("b.re", "b.im")).named())
     return a.alias("a").join(b.alias("b"), ["i", "j"]).select("i", "j", (F.col("a.v") * F.col("b.v")).alias("v"))
 
 
 def scale_columns(a: DataFrame, d: DataFrame) -> DataFrame:
     """a * diag(d)."""
+    if is_complex(a, d):
+        rows = to_complex(a).alias("a").join(to_complex(d).alias("d"), F.col("a.j") == F.col("d.i"))
+        return rows.select(F.col("a.i").alias("i"), F.col("a.j").alias("j"), *(cx.of("a.re", "a.im") * cx.of("d.re", "d.im")).named())
     return a.alias("a").join(d.alias("d"), F.col("a.j") == F.col("d.i")).select(F.col("a.i").alias("i"), F.col("a.j").alias("j"), (F.col("a.v") * F.col("d.v")).alias("v"))
 
 
@@ -120,15 +166,17 @@ def scale_rows(d: DataFrame, a: DataFrame) -> DataFrame:
     return transpose(scale_columns(transpose(a), d))
 
 
-def add_rank1(a: DataFrame, alpha: float, x: DataFrame, y: DataFrame) -> DataFrame:
-    """a + alpha * x y^T: every pair of stored entries is part of the result, so the product is a cross join of vectors."""
-    outer = x.select("i", F.col("v").alias("vx")).crossJoin(y.select(F.col("i").alias("j"), F.col("v").alias("vy")))
-    return add(alpha, outer.select("i", "j", (F.col("vx") * F.col("vy")).alias("v")), a)
+def add_rank1(a: DataFrame, alpha: complex, x: DataFrame, y: DataFrame, conjugated: bool = True) -> DataFrame:
+    """a + alpha * x y^H, or x y^T unless conjugated: a product over one inner index, to which both vectors belong."""
+    column = x.select("i", F.lit(0).cast("long").alias("j"), *values(x))
+    row = y.select(F.lit(0).cast("long").alias("i"), F.col("i").alias("j"), *values(y))
+    return add(alpha, matmul(column, conjugate(row) if conjugated else row), a)
 
 
 def max_index(a: DataFrame) -> DataFrame:
     """(i, j) of the largest modulus, the lowest position on ties."""
-    return a.agg(F.min_by(F.struct("i", "j"), F.struct(-F.abs("v"), "i", "j")).alias("p")).select("p.i", "p.j")
+    size = F.hypot("re", "im") if is_complex(a) else F.abs("v")
+    return a.agg(F.min_by(F.struct("i", "j"), F.struct(-size, "i", "j")).alias("p")).select("p.i", "p.j")
 
 
 def norm_frobenius(a: DataFrame) -> DataFrame:
@@ -148,6 +196,13 @@ def norm_max_row(a: DataFrame) -> DataFrame:
     return norm_1(transpose(a))
 
 
+def norms(a: DataFrame) -> DataFrame:
+    """frobenius, one and inf in one row, by one aggregation over rows and one over columns."""
+    size = F.abs("v")
+    rows = a.groupBy("i").agg(F.sum(size).alias("s"), F.sum(size**2).alias("q")).agg(F.sqrt(F.coalesce(F.sum("q"), F.lit(0.0))).alias("frobenius"), F.coalesce(F.max("s"), F.lit(0.0)).alias("inf"))
+    return rows.crossJoin(norm_1(a).select(F.coalesce("v", F.lit(0.0)).alias("one")))
+
+
 def make_symmetric(a: DataFrame) -> DataFrame:
     """The lower triangle mirrored to the upper one."""
     low = a.where("i >= j")
@@ -160,7 +215,17 @@ def make_hermitian(a: DataFrame) -> DataFrame:
 
 
 def diagonal(a: DataFrame) -> DataFrame:
-    return a.where("i = j").select("i", "v")
+    return a.where("i = j").select("i", *values(a))
+
+
+def real_part(a: DataFrame) -> DataFrame:
+    """The real matrix of real parts; a real matrix is its own."""
+    return a.select("i", "j", F.col(values(a)[0]).alias("v"))
+
+
+def imaginary_part(a: DataFrame) -> DataFrame:
+    """The real matrix of imaginary parts; of a real matrix, zeros on its pattern."""
+    return a.select("i", "j", (F.col("im") if is_complex(a) else F.lit(0.0)).alias("v"))
 
 
 def entry(a: DataFrame, i: int, j: int) -> DataFrame:
@@ -194,7 +259,7 @@ def permute(a: DataFrame, rows: DataFrame | None = None, columns: DataFrame | No
         a = a.join(rows.select(F.col("e").alias("i"), F.col("i").alias("_new")), "i").drop("i").withColumnRenamed("_new", "i")
     if columns is not None:
         a = a.join(columns.select(F.col("e").alias("j"), F.col("i").alias("_new")), "j").drop("j").withColumnRenamed("_new", "j")
-    return a.select("i", "j", "v")
+    return a.select("i", "j", *values(a))
 
 
 def symmetry(a: DataFrame, eps: float = 0.0) -> DataFrame:
@@ -230,6 +295,12 @@ def dominance_gap(a: DataFrame) -> DataFrame:
     return dominance(a).agg(F.greatest(F.lit(0.0), F.max(F.col("off") - F.col("diag"))).alias("v"))
 
 
+def dominance_summary(a: DataFrame) -> DataFrame:
+    """strict, weak and gap (the largest excess of off-diagonal sums) by one aggregation over rows."""
+    every = lambda test: F.coalesce(F.bool_and(test), F.lit(True))
+    return dominance(a).agg(every(F.col("diag") > F.col("off")).alias("strict"), every(F.col("diag") >= F.col("off")).alias("weak"), F.greatest(F.lit(0.0), F.max(F.col("off") - F.col("diag"))).alias("gap"))
+
+
 def check(a: DataFrame, nrows: int, ncols: int) -> DataFrame:
     """Counts of structural faults: out of range, repeated, null or NaN, and stored zeros."""
     c = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
@@ -241,7 +312,7 @@ def check(a: DataFrame, nrows: int, ncols: int) -> DataFrame:
 def restrict(a: DataFrame, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
     """The sub-matrix of closed index ranges, re-based to 0."""
     inside = a.where(F.col("i").between(*rows) & F.col("j").between(*columns))
-    return inside.select((F.col("i") - rows[0]).alias("i"), (F.col("j") - columns[0]).alias("j"), "v")
+    return inside.select((F.col("i") - rows[0]).alias("i"), (F.col("j") - columns[0]).alias("j"), *values(a))
 
 
 def restrict_permuted(a: DataFrame, rows: tuple[int, int], row_perm: DataFrame, columns: tuple[int, int], column_perm: DataFrame) -> DataFrame:

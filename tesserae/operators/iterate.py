@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Window
@@ -11,11 +12,14 @@ _own: list[str] = []
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir; a temporary folder serves only where none is set, as in tests."""
+    """A checkpoint of df in spark.checkpoint.dir; a temporary folder serves only where none is set and all
+    runs in one process, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             if not _own:
                 _own.append("file://" + tempfile.mkdtemp(prefix="tesserae-"))
             named = _own[0]

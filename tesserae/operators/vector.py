@@ -29,8 +29,12 @@ def stable_total(x: DataFrame, digits: int = 10) -> DataFrame:
     return x.agg(F.coalesce(F.sum(F.round("v", digits).cast(f"decimal(38,{digits})")), F.lit(0)).cast("double").alias("v"))
 
 
-def scale(alpha: float, x: DataFrame) -> DataFrame:
-    """alpha * x; a zero factor also clears NaN and infinities."""
+def scale(alpha: complex, x: DataFrame) -> DataFrame:
+    """alpha * x; a zero factor also clears NaN and infinities. Complex if the factor or the vector is."""
+    if "im" in x.columns or isinstance(alpha, complex):
+        z, a = cx.of("re", "im") if "im" in x.columns else cx.real(F.col("v")), complex(alpha)
+        z = z * cx.C(F.lit(a.real), F.lit(a.imag)) if a else cx.C(F.lit(0.0), F.lit(0.0))
+        return x.select("i", *z.named())
     return fill(x, 0.0) if alpha == 0 else x.select("i", (F.lit(float(alpha)) * F.col("v")).alias("v"))
 
 
@@ -55,9 +59,13 @@ def min_index(x: DataFrame) -> DataFrame:
     return x.agg(F.min_by("i", F.struct(F.abs("v"), "i")).alias("i"))
 
 
-def add(alpha: float, x: DataFrame, y: DataFrame) -> DataFrame:
+def add(alpha: complex, x: DataFrame, y: DataFrame) -> DataFrame:
     """y + alpha * x over the union of their indices, by one aggregation."""
-    return scale(alpha, x).unionByName(y.select("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    x = scale(alpha, x)
+    if "im" in x.columns or "im" in y.columns:
+        x, y = (t if "im" in t.columns else t.select("i", F.col("v").alias("re"), F.lit(0.0).alias("im")) for t in (x, y))
+        return x.unionByName(y.select("i", "re", "im")).groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    return x.unionByName(y.select("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
 
 
 def dotu(x: DataFrame, y: DataFrame) -> DataFrame:

@@ -61,12 +61,7 @@ class Tables:
         return e.select(F.col("vec_id").alias("dof"), F.transform(F.slice("embedding", 1, dim), lambda x: x.cast("double")).alias("x"), "label")
 
     def edges(self) -> DataFrame:
-        """Suppliers and parts (offset by a million) joined by line items of at least 45 pieces."""
-        li = self.read("lineitem").where("l_quantity >= 45").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + 1_000_000).alias("j"), F.lit(1.0).alias("v")).distinct()
-        return graph.from_matrix(li)
-
-    def all_edges(self) -> DataFrame:
-        """The same over all line items."""
+        """Suppliers and parts (offset by a million) joined by line items."""
         return graph.from_matrix(self.read("lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + 1_000_000).alias("j")))
 
 
@@ -74,7 +69,7 @@ A = "a AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lin
 S = "a AS (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 Q = "a AS (SELECT l_suppkey AS i, l_partkey % 100 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
 X = "x AS (SELECT p_partkey AS i, p_retailprice AS v FROM part)"
-E = """h AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 45),
+E = """h AS (SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem),
 e AS (SELECT a AS src, b AS dst FROM h UNION SELECT b, a FROM h)"""
 P = "p AS (SELECT vec_id AS dof, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, label FROM embeddings)"
 
@@ -220,9 +215,7 @@ def operator_sum(spark, sf):
 
 @query(f"WITH {A} SELECT round(sqrt(sum(v * v)), 4) AS frobenius, (SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY j)) AS one, (SELECT max(s) FROM (SELECT sum(abs(v)) AS s FROM a GROUP BY i)) AS inf FROM a")
 def matrix_norms(spark, sf):
-    a = Tables(spark, sf).order_part()
-    f = coo.norm_frobenius(a).select(F.round("v", 4).alias("frobenius"))
-    return f.crossJoin(coo.norm_1(a).select(F.col("v").alias("one"))).crossJoin(coo.norm_max_row(a).select(F.col("v").alias("inf")))
+    return coo.norms(Tables(spark, sf).order_part()).select(F.round("frobenius", 4).alias("frobenius"), "one", "inf")
 
 
 @query(f"WITH {S}, b AS (SELECT a.i AS r, c.i AS s, sum(a.v * c.v) AS v FROM a JOIN a c ON a.j = c.j GROUP BY 1, 2) SELECT r AS i, s AS j, v FROM b")
@@ -262,8 +255,7 @@ def matrix_symmetry_test(spark, sf):
 @query(f"""WITH {Q}, d AS (SELECT i, sum(CASE WHEN i = j THEN abs(v) ELSE 0 END) AS g, sum(CASE WHEN i <> j THEN abs(v) ELSE 0 END) AS o FROM a GROUP BY i)
 SELECT bool_and(g > o) AS strict, bool_and(g >= o) AS weak, greatest(0.0, max(o - g)) AS gap FROM d""")
 def matrix_dominance(spark, sf):
-    a = Tables(spark, sf).square()
-    return coo.is_diagonally_dominant(a).select(F.col("dominant").alias("strict")).crossJoin(coo.is_diagonally_dominant(a, True).select(F.col("dominant").alias("weak"))).crossJoin(coo.dominance_gap(a).select(F.col("v").alias("gap")))
+    return coo.dominance_summary(Tables(spark, sf).square())
 
 
 @query(f"WITH {A}, n AS (SELECT i, count(*) AS entries FROM a GROUP BY i) SELECT entries, count(*) AS row_count FROM n GROUP BY entries")
@@ -276,19 +268,16 @@ def matrix_restrict(spark, sf):
     return coo.restrict(Tables(spark, sf).order_part(), (100, 900), (50, 180))
 
 
-@query(f"WITH {Q} SELECT 99 - i AS i, j, v FROM a WHERE i < 100")
-def matrix_permute(spark, sf):
-    t = Tables(spark, sf)
-    perm = spark.range(100).select(F.col("id").alias("e"), (99 - F.col("id")).alias("i"))
-    return coo.permute(t.square(), perm)
+def reversed_rows(spark, a: DataFrame) -> DataFrame:
+    """The permutation that turns the rows of a around, from 0 to its last one."""
+    last = a.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]
+    return spark.range(last + 1).select(F.col("id").alias("e"), (last - F.col("id")).alias("i"))
 
 
-@query()
-def matrix_permute_all(spark, sf):
-    """All rows in reverse, up to the largest supplier key; matrix_permute has the first hundred, as its SQL."""
+@query(f"WITH {Q}, n AS (SELECT max(i) AS n FROM a) SELECT n - i AS i, j, v FROM a, n")
+def matrix_permute(spark, sf):
     a = Tables(spark, sf).square()
-    last = a.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]
-    return coo.permute(a, spark.range(last + 1).select(F.col("id").alias("e"), (last - F.col("id")).alias("i")))
+    return coo.permute(a, reversed_rows(spark, a))
 
 
 @query(f"WITH {Q} SELECT i, v FROM a WHERE i = j")
@@ -345,19 +334,11 @@ def square_tiles(spark, sf) -> DataFrame:
     return tiles.select((F.col("bi") * 4 + F.col("bj") + 1).alias("block_id"), F.lit(0).cast("long").alias("parent_id"), F.col("bi").cast("int").alias("bi"), F.col("bj").cast("int").alias("bj"), F.lit(1).alias("lvl"), "row_first", (F.col("row_first") + 24).alias("row_last"), "col_first", (F.col("col_first") + 24).alias("col_last"), F.lit("dense").alias("kind"), F.lit("unsymmetric").alias("form"), F.lit(None).cast("int").alias("rank"), "d", F.lit(None).cast("array<double>").alias("a"), F.lit(None).cast("array<double>").alias("b"))
 
 
-@query(f"WITH {Q}, y AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier) SELECT a.i, round(sum(a.v * y.v), 2) AS v FROM a JOIN y ON a.j = y.i WHERE a.i < 100 GROUP BY a.i")
+@query(f"WITH {Q}, y AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier) SELECT a.i, round(sum(a.v * y.v), 2) AS v FROM a JOIN y ON a.j = y.i GROUP BY a.i")
 def block_mul_vec(spark, sf):
-    x = Tables(spark, sf).suppliers().where("i < 100")
-    y = blocks.mul_vec(square_tiles(spark, sf).where("row_first < 100"), x)
-    # tiles hold rows without entries too
-    return y.join(Tables(spark, sf).square().where("i < 100").select("i").distinct(), "i", "left_semi").select("i", F.round("v", 2).alias("v"))
-
-
-@query()
-def block_mul_vec_all(spark, sf):
-    """The product for all suppliers; block_mul_vec has the first hundred, as its SQL."""
     t = Tables(spark, sf)
     y = blocks.mul_vec(square_tiles(spark, sf), t.suppliers())
+    # tiles hold rows without entries too
     return y.join(t.square().select("i").distinct(), "i", "left_semi").select("i", F.round("v", 2).alias("v"))
 
 
@@ -471,110 +452,398 @@ def graph_restrict(spark, sf):
     return graph.restrict(e, graph.nodes(e).where("node % 3 <> 0"))
 
 
-SPARSE_E = E.replace("l_quantity >= 45", "l_quantity >= 50 AND l_linenumber = 1 AND l_orderkey % 7 = 0")
+@query(f"""WITH RECURSIVE {E}, r(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM e
+UNION SELECT e.dst, min(r.component) FROM r JOIN e ON e.src = r.node JOIN recurring.r AS x ON x.node = e.dst WHERE r.component < x.component GROUP BY e.dst)
+SELECT node, component FROM r""")
+def graph_components(spark, sf):
+    return graph.connected_components(Tables(spark, sf).edges())
 
 
-@query(f"""WITH RECURSIVE {SPARSE_E}, r AS (SELECT src AS node, src AS reach FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON r.reach = e.src)
-SELECT node, min(reach) AS component FROM r GROUP BY node""")
-def graph_components(spark, sf):
-    li = Tables(spark, sf).read("lineitem").where("l_quantity >= 50 and l_linenumber = 1 and l_orderkey % 7 = 0")
-    return graph.connected_components(graph.from_matrix(li.select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + 1_000_000).alias("j"))))
+@query(f"""WITH RECURSIVE {E}, r(node, distance) USING KEY (node) AS (SELECT 1::BIGINT, 0
+UNION SELECT e.dst, min(r.distance) + 1 FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS x ON x.node = e.dst WHERE x.node IS NULL GROUP BY e.dst)
+SELECT node, distance::INTEGER AS distance FROM r""")
+def graph_distances(spark, sf):
+    """Levels from the first supplier to the end of the search."""
+    return graph.distances(Tables(spark, sf).edges(), spark.createDataFrame([(1,)], "node long"))
 
 
-@query()
-def graph_components_all(spark, sf):
-    """Components of the whole graph, whose recursive SQL would be too slow; graph_components is the part held against SQL."""
-    return graph.connected_components(Tables(spark, sf).all_edges())
+# ---- kernels ---------------------------------------------------------------------------------------------------------
 
+PAIRS = f"WITH {P}, d AS (SELECT a.dof AS i, b.dof AS j, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM p a, p b)"
 
-@query(f"""WITH {E}, s AS (SELECT 1 AS node), a AS (SELECT DISTINCT dst AS node FROM e JOIN s ON src = node), b AS (SELECT DISTINCT dst AS node FROM e JOIN a ON src = node)
-SELECT node::BIGINT AS node, min(d)::INTEGER AS distance FROM (SELECT node, 0 AS d FROM s UNION ALL SELECT node, 1 FROM a UNION ALL SELECT node, 2 FROM b) GROUP BY node""")
-def graph_distances(spark, sf):
-    start = spark.createDataFrame([(1,)], "node long")
-    return graph.distances(Tables(spark, sf).edges(), start, 2)
 
+def kernel_entries(spark, sf, kernel) -> DataFrame:
+    """(i, j, v) of a kernel for all points with all points: every pair is asked for, so no blocks are needed."""
+    p = Tables(spark, sf).points()
+    return kernels.matrix_of(p, p, kernel)
 
-@query()
-def graph_degrees_all(spark, sf):
-    """This and the next ones: the same over the graph of all line items."""
-    return graph.degrees(Tables(spark, sf).all_edges())
 
+@query(f"{PAIRS} SELECT i, j, round(exp(-d), 6) AS v FROM d")
+def kernel_exponential(spark, sf):
+    return kernel_entries(spark, sf, kernels.exponential).select("i", "j", F.round("v", 6).alias("v"))
 
-@query()
-def graph_extreme_degrees_all(spark, sf):
-    e = Tables(spark, sf).all_edges()
-    return graph.min_degree_node(e).select(F.col("node").alias("least")).crossJoin(graph.max_degree_node(e).select(F.col("node").alias("most")))
 
+@query(f"{PAIRS} SELECT i, j, round(4 * (1 + sqrt(3.0) * d / 0.5) * exp(-sqrt(3.0) * d / 0.5), 6) AS v FROM d")
+def kernel_matern(spark, sf):
+    return kernel_entries(spark, sf, kernels.matern(1.5, 2.0, 0.5)).select("i", "j", F.round("v", 6).alias("v"))
 
-@query()
-def graph_edge_cut_all(spark, sf):
-    e = Tables(spark, sf).all_edges()
-    return graph.edge_cut(e, graph.nodes(e).select("node", (F.col("node") % 2).alias("side")))
 
+@query(f"{PAIRS} SELECT i, round(sum((1 + sqrt(5.0) * d + 5 * d * d / 3) * exp(-sqrt(5.0) * d)), 4) AS v FROM d GROUP BY i")
+def kernel_mul_vec(spark, sf):
+    ones = Tables(spark, sf).points().select(F.col("dof").alias("i"), F.lit(1.0).alias("v"))
+    return coo.mul_vec(kernel_entries(spark, sf, kernels.matern(2.5)), ones).select("i", F.round("v", 4).alias("v"))
 
-@query()
-def graph_separator_all(spark, sf):
-    e = Tables(spark, sf).all_edges()
-    return graph.vertex_separator(e, graph.nodes(e).select("node", (F.col("node") % 2).alias("side")))
 
+# ---- further operators, each with its SQL ----------------------------------------------------------------------------
 
-@query()
-def graph_restrict_all(spark, sf):
-    e = Tables(spark, sf).all_edges()
-    return graph.restrict(e, graph.nodes(e).where("node % 3 <> 0"))
+Z = """z AS (SELECT l_suppkey AS i, l_partkey % 100 AS j, sum(l_quantity) AS re, sum(l_linenumber)::DOUBLE AS im FROM lineitem GROUP BY 1, 2)"""
+W = "w AS (SELECT s_suppkey AS i, s_acctbal AS re, s_nationkey::DOUBLE AS im FROM supplier)"
 
 
-@query()
-def graph_distances_all(spark, sf):
-    """Levels to the end of the search."""
-    return graph.distances(Tables(spark, sf).all_edges(), spark.createDataFrame([(1,)], "node long"))
+def complex_square(spark, sf) -> DataFrame:
+    li = Tables(spark, sf).read("lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") % 100).alias("j"), "l_quantity", "l_linenumber")
+    return li.groupBy("i", "j").agg(F.sum("l_quantity").alias("re"), F.sum("l_linenumber").cast("double").alias("im"))
 
 
-# ---- kernels ---------------------------------------------------------------------------------------------------------
+def complex_suppliers(spark, sf) -> DataFrame:
+    return Tables(spark, sf).read("supplier").select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("re"), F.col("s_nationkey").cast("double").alias("im"))
 
-PAIRS = f"WITH {P}, d AS (SELECT a.dof AS i, b.dof AS j, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d FROM p a JOIN p b ON a.label = b.label AND a.label = 1)"
 
+def complex_customers(spark, sf) -> DataFrame:
+    return Tables(spark, sf).read("customer").select(F.col("c_custkey").alias("i"), F.col("c_acctbal").alias("re"), F.col("c_nationkey").cast("double").alias("im"))
 
-@query(f"{PAIRS} SELECT i, j, round(exp(-d), 6) AS v FROM d")
-def kernel_exponential(spark, sf):
-    """The kernel block of one label's points with themselves."""
-    p = Tables(spark, sf).points().where("label = 1")
-    return kernels.matrix_of(p, p, kernels.exponential).select("i", "j", F.round("v", 6).alias("v"))
 
+def rounded(x: DataFrame, digits: int) -> DataFrame:
+    return x.withColumns({c: F.round(c, digits) for c in ("v", "re", "im") if c in x.columns})
 
-@query(f"{PAIRS} SELECT i, j, round(4 * (1 + sqrt(3.0) * d / 0.5) * exp(-sqrt(3.0) * d / 0.5), 6) AS v FROM d")
-def kernel_matern(spark, sf):
-    p = Tables(spark, sf).points().where("label = 1")
-    return kernels.matrix_of(p, p, kernels.matern(1.5, 2.0, 0.5)).select("i", "j", F.round("v", 6).alias("v"))
 
+@query("SELECT c_custkey AS i, 7.5::DOUBLE AS v FROM customer")
+def vec_fill(spark, sf):
+    return vector.fill(Tables(spark, sf).customers(), 7.5)
 
-@query(f"{PAIRS} SELECT i, round(sum((1 + sqrt(5.0) * d + 5 * d * d / 3) * exp(-sqrt(5.0) * d)), 5) AS v FROM d GROUP BY i")
-def kernel_mul_vec(spark, sf):
-    p = Tables(spark, sf).points().where("label = 1")
-    ones = p.select(F.col("dof").alias("i"), F.lit(1.0).alias("v"))
-    return coo.mul_vec(kernels.matrix_of(p, p, kernels.matern(2.5)), ones).select("i", F.round("v", 5).alias("v"))
 
+@query("SELECT c_custkey AS i, c_acctbal AS re, -c_nationkey::DOUBLE AS im FROM customer")
+def vec_conj(spark, sf):
+    return vector.conj(complex_customers(spark, sf))
 
-def kernel_entries(spark, sf, kernel) -> DataFrame:
-    """(i, j, v) of a kernel for all points with all points: every pair is asked for, so no blocks are needed."""
-    p = Tables(spark, sf).points()
-    return kernels.matrix_of(p, p, kernel)
 
+@query("SELECT s_suppkey AS i, s_acctbal AS v, 'x' AS side FROM supplier UNION ALL SELECT c_custkey, c_acctbal, 'y' FROM customer")
+def vec_swap(spark, sf):
+    t = Tables(spark, sf)
+    x, y = vector.swap(t.customers(), t.suppliers())
+    return x.withColumn("side", F.lit("x")).unionByName(y.withColumn("side", F.lit("y")))
 
-@query()
-def kernel_exponential_all(spark, sf):
-    return kernel_entries(spark, sf, kernels.exponential).select("i", "j", F.round("v", 6).alias("v"))
+
+@query("""SELECT round(sum(a * c - b * d), 3) AS re, round(sum(a * d + b * c), 3) AS im FROM (
+SELECT c_acctbal AS a, c_nationkey::DOUBLE AS b, p_retailprice AS c, p_size::DOUBLE AS d FROM customer JOIN part ON c_custkey = p_partkey)""")
+def vec_dotu_complex(spark, sf):
+    y = Tables(spark, sf).read("part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("re"), F.col("p_size").cast("double").alias("im"))
+    return rounded(vector.dotu(complex_customers(spark, sf), y), 3)
 
 
-@query()
-def kernel_matern_all(spark, sf):
-    return kernel_entries(spark, sf, kernels.matern(1.5, 2.0, 0.5)).select("i", "j", F.round("v", 6).alias("v"))
+@query("SELECT round(sum((c_acctbal * p_retailprice)::DECIMAL(38, 10))::DOUBLE, 3) AS v FROM customer JOIN part ON c_custkey = p_partkey")
+def vec_stable_dotu(spark, sf):
+    t = Tables(spark, sf)
+    return rounded(vector.stable_dotu(t.customers(), t.parts()), 3)
 
 
-@query()
-def kernel_mul_vec_all(spark, sf):
-    ones = Tables(spark, sf).points().select(F.col("dof").alias("i"), F.lit(1.0).alias("v"))
-    return coo.mul_vec(kernel_entries(spark, sf, kernels.matern(2.5)), ones).select("i", F.round("v", 5).alias("v"))
+@query("SELECT coalesce(sum(c_acctbal) FILTER (WHERE c_custkey = 17), 0) AS at17, coalesce(sum(c_acctbal) FILTER (WHERE c_custkey = -5), 0) AS absent FROM customer")
+def vec_entry(spark, sf):
+    x = Tables(spark, sf).customers()
+    return vector.entry(x, 17).select(F.col("v").alias("at17")).crossJoin(vector.entry(x, -5).select(F.col("v").alias("absent")))
+
+
+@query("SELECT c_custkey AS i, CASE c_custkey WHEN 17 THEN 1.25 WHEN 18 THEN round(c_acctbal + 0.5, 4) ELSE c_acctbal END AS v FROM customer")
+def vec_set_add_entry(spark, sf):
+    x = vector.set_entry(Tables(spark, sf).customers(), 17, 1.25)
+    return vector.add_entry(x, 18, 0.5).select("i", r4())
+
+
+@query("WITH n AS (SELECT max(c_custkey) AS n FROM customer) SELECT n - c_custkey AS i, c_acctbal AS v FROM customer, n")
+def vec_permute_inverse(spark, sf):
+    x = Tables(spark, sf).customers()
+    top = x.agg(F.max("i").alias("n"))
+    perm = x.crossJoin(F.broadcast(top)).select((F.col("n") - F.col("i")).alias("e"), "i")
+    return vector.permute_inverse(x, perm)
+
+
+@query("SELECT c_custkey AS i, c_acctbal AS re, c_nationkey::DOUBLE AS im FROM customer")
+def vec_real_imaginary(spark, sf):
+    z = complex_customers(spark, sf)
+    return vector.real_part(z).withColumnRenamed("v", "re").join(vector.imaginary_part(z).withColumnRenamed("v", "im"), "i")
+
+
+@query("SELECT c_custkey AS i, round(c_acctbal::FLOAT::DOUBLE, 3) AS v FROM customer")
+def vec_convert(spark, sf):
+    single = vector.convert(Tables(spark, sf).customers(), "float")
+    return vector.convert(single, "double").select("i", F.round("v", 3).alias("v"))
+
+
+@query("SELECT (c_custkey // 100)::INTEGER AS blk, c_custkey AS i, c_acctbal AS v FROM customer")
+def vec_to_blocked(spark, sf):
+    """Customers by leaves of a hundred indices each; a leaf's number is its cluster's."""
+    x = Tables(spark, sf).customers()
+    leaves = x.select(F.floor(F.col("i") / 100).cast("long").alias("cid")).distinct().select("cid", (F.col("cid") * 100).alias("first"), (F.col("cid") * 100 + 99).alias("last"), F.lit(True).alias("is_leaf"))
+    return vector.to_blocked(x, leaves)
+
+
+@query("SELECT c_custkey AS i, CASE WHEN c_custkey // 100 = 3 THEN 0.0 ELSE c_acctbal END AS v FROM customer")
+def vec_set_block(spark, sf):
+    """The fourth block set to zeros, and the blocks taken apart again."""
+    x = Tables(spark, sf).customers().withColumn("blk", F.floor(F.col("i") / 100).cast("int"))
+    return vector.to_scalar(vector.with_block(x, 3, vector.fill(x.where("blk = 3"), 0.0)))
+
+
+@query("SELECT 8 * count(*)::BIGINT AS bytes FROM customer")
+def vec_byte_size(spark, sf):
+    return vector.byte_size(Tables(spark, sf).customers())
+
+
+@query(f"WITH {Z}, {W}, r AS (SELECT z.i, sum(z.re * w.re - z.im * w.im) AS re, sum(z.re * w.im + z.im * w.re) AS im FROM z JOIN w ON z.j = w.i GROUP BY z.i), t AS (SELECT i, 2 * re - im AS re, re + 2 * im AS im FROM r UNION ALL SELECT i, 3 * re, 3 * im FROM w) SELECT i, round(sum(re), 2) AS re, round(sum(im), 2) AS im FROM t GROUP BY i")
+def spmv_complex(spark, sf):
+    """(2 + i) z w + 3 w."""
+    w = complex_suppliers(spark, sf)
+    return rounded(coo.mul_vec(complex_square(spark, sf), w, 2 + 1j, 3.0, w), 2)
+
+
+@query(f"WITH {Z}, {W} SELECT z.j AS i, round(sum(z.re * w.re + z.im * w.im), 2) AS re, round(sum(z.re * w.im - z.im * w.re), 2) AS im FROM z JOIN w ON z.i = w.i GROUP BY z.j")
+def spmv_complex_adjoint(spark, sf):
+    return rounded(coo.mul_vec(complex_square(spark, sf), complex_suppliers(spark, sf), op=coo.ADJOINT), 2)
+
+
+@query(f"WITH {Z}, t AS (SELECT j AS i, i AS j, 0.5 * re + im AS re, re - 0.5 * im AS im FROM z UNION ALL SELECT i, j, re, im FROM z) SELECT i, j, round(sum(re), 4) AS re, round(sum(im), 4) AS im FROM t GROUP BY i, j")
+def matrix_add_complex(spark, sf):
+    """z + (0.5 + i) z^H."""
+    z = complex_square(spark, sf)
+    return rounded(coo.add(0.5 + 1j, coo.apply_op(z, coo.ADJOINT), z), 4)
+
+
+@query(f"WITH {Z} SELECT a.j AS i, b.j AS j, round(sum(a.re * b.re + a.im * b.im), 2) AS re, round(sum(a.re * b.im - a.im * b.re), 2) AS im FROM z a JOIN z b ON a.i = b.i GROUP BY 1, 2")
+def matrix_product_complex(spark, sf):
+    """z^H z."""
+    z = complex_square(spark, sf)
+    return rounded(coo.matmul(z, z, op_a=coo.ADJOINT), 2)
+
+
+@query(f"WITH {Z} SELECT a.i, a.j, a.re * b.re + a.im * b.im AS re, a.im * b.re - a.re * b.im AS im FROM z a JOIN z b ON a.i = b.j AND a.j = b.i")
+def matrix_hadamard_complex(spark, sf):
+    z = complex_square(spark, sf)
+    return coo.hadamard(z, coo.apply_op(z, coo.ADJOINT))
+
+
+@query(f"WITH {Z} SELECT i, j, re, CASE WHEN i = j THEN im ELSE im END AS im FROM z WHERE i >= j UNION ALL SELECT j, i, re, -im FROM z WHERE i > j")
+def matrix_make_hermitian(spark, sf):
+    return coo.make_hermitian(complex_square(spark, sf))
+
+
+@query(f"WITH {Z} SELECT i, j, round(3 * re + 2 * im, 4) AS re, round(3 * im - 2 * re, 4) AS im FROM z")
+def matrix_scale_complex(spark, sf):
+    return rounded(coo.scale(3 - 2j, complex_square(spark, sf)), 4)
+
+
+@query(f"WITH {Z} SELECT i, j, re, im FROM z")
+def matrix_parts(spark, sf):
+    """Real and imaginary parts apart, and together again."""
+    z = complex_square(spark, sf)
+    return coo.real_part(z).withColumnRenamed("v", "re").join(coo.imaginary_part(z).withColumnRenamed("v", "im"), ["i", "j"])
+
+
+@query(f"WITH {Z} SELECT round(sqrt(sum(re * re + im * im)), 4) AS v FROM z")
+def matrix_norm_complex(spark, sf):
+    return coo.norm_frobenius(complex_square(spark, sf)).select(r4())
+
+
+@query(f"""WITH {Q}, s AS (SELECT s_suppkey AS i, s_acctbal / 1e3 AS v FROM supplier), m AS (SELECT i, j, v FROM a
+UNION ALL SELECT x.i, y.i, 0.5 * x.v * y.v FROM s x, s y) SELECT i, j, round(sum(v), 4) AS v FROM m GROUP BY i, j""")
+def matrix_add_rank1(spark, sf):
+    t = Tables(spark, sf)
+    x = vector.scale(1e-3, t.suppliers())
+    return coo.add_rank1(t.square(), 0.5, x, x).select("i", "j", r4())
+
+
+@query(f"""WITH {Q}, t AS (SELECT i, j, CASE WHEN i = j THEN 1 ELSE v END AS v FROM a WHERE i >= j)
+SELECT t.i, a.j, 2.0 * sum(t.v * a.v) AS v FROM t JOIN a ON t.j = a.i GROUP BY 1, 2""")
+def matrix_product_triangle(spark, sf):
+    a = Tables(spark, sf).square()
+    return coo.matmul_triangle(a, a, "left", "lower", True, 2.0)
+
+
+@query(f"""WITH {Q}, t AS (SELECT i, j, v FROM a WHERE i <= j) SELECT a.i, t.i AS j, sum(a.v * t.v) AS v FROM a JOIN t ON a.j = t.j GROUP BY 1, 2""")
+def matrix_product_triangle_right(spark, sf):
+    """a U^T for the upper triangle U of a."""
+    a = Tables(spark, sf).square()
+    return coo.matmul_triangle(a, a, "right", "upper", op=coo.TRANSPOSED)
+
+
+@query(f"WITH {Q} SELECT round(sqrt(sum(d * d)), 4) AS v FROM (SELECT coalesce(a.v, 0) - coalesce(b.v, 0) AS d FROM a FULL JOIN a b ON a.i = b.j AND a.j = b.i)")
+def matrix_diff_norm(spark, sf):
+    a = Tables(spark, sf).square()
+    return coo.diff_norm_frobenius(a, coo.transpose(a)).select(r4())
+
+
+@query(f"WITH {Q}, n AS (SELECT i, count(*) AS n FROM a GROUP BY i) SELECT (sum(n) // (SELECT max(s_suppkey) + 1 FROM supplier))::BIGINT AS average, max(n) AS most FROM n")
+def matrix_entries_per_row(spark, sf):
+    t = Tables(spark, sf)
+    nrows = t.suppliers().agg(F.max("i")).first()[0] + 1
+    return coo.entries_per_row(t.square(), nrows)
+
+
+@query(f"WITH {Q} SELECT (SELECT max(s_suppkey) + 1 FROM supplier) - count(*) AS n FROM a WHERE i = j AND abs(v) > 20")
+def matrix_diagonal_zeros(spark, sf):
+    """Diagonal entries that are absent or at most 20 in modulus."""
+    t = Tables(spark, sf)
+    return coo.diagonal_zeros(t.square(), t.suppliers().agg(F.max("i")).first()[0] + 1, 20.0)
+
+
+@query(f"WITH {Q} SELECT count(*) FILTER (WHERE i NOT BETWEEN 0 AND 49 OR j NOT BETWEEN 0 AND 49) AS out_of_range, 0::BIGINT AS undefined, count(*) FILTER (WHERE v = 0) AS zeros, 0::BIGINT AS repeated FROM a")
+def matrix_check(spark, sf):
+    """The square matrix held against a size that is too small for it."""
+    return coo.check(Tables(spark, sf).square(), 50, 50)
+
+
+@query(f"WITH {Q} SELECT coalesce(sum(v) FILTER (WHERE i = 3 AND j = 4), 0) AS v, bool_or(i = 3 AND j = 4) AS known, bool_or(i = -3 AND j = 4) AS absent FROM a")
+def matrix_entry(spark, sf):
+    a = Tables(spark, sf).square()
+    return coo.entry(a, 3, 4).withColumns({"known": F.lit(coo.has_entry(a, 3, 4)), "absent": F.lit(coo.has_entry(a, -3, 4))})
+
+
+@query(f"WITH {Q}, n AS (SELECT max(i) AS n FROM a) SELECT n - i - 2 AS i, j - 10 AS j, v FROM a, n WHERE n - i BETWEEN 2 AND 30 AND j BETWEEN 10 AND 60")
+def matrix_restrict_permuted(spark, sf):
+    a = Tables(spark, sf).square()
+    same = spark.range(100).select(F.col("id").alias("e"), F.col("id").alias("i"))
+    return coo.restrict_permuted(a, (2, 30), reversed_rows(spark, a), (10, 60), same)
+
+
+@query(f"WITH {Q} SELECT i, j, 0.0::DOUBLE AS v FROM a")
+def matrix_copy_structure(spark, sf):
+    return coo.copy_structure(Tables(spark, sf).square())
+
+
+@query("SELECT range AS i, range AS j, 1.0::DOUBLE AS v FROM range((SELECT count(*) FROM supplier))")
+def matrix_identity(spark, sf):
+    return coo.identity(spark, Tables(spark, sf).suppliers().count())
+
+
+@query(f"WITH {Q} SELECT i, j, v FROM a")
+def matrix_compressed_columns(spark, sf):
+    """Through compressed columns and back: one row of arrays holds the whole matrix between."""
+    a = Tables(spark, sf).square()
+    return coo.import_ccs(coo.export_ccs(a, 100))
+
+
+@query(f"WITH {Q}, c AS (SELECT j, count(a.i) AS n FROM (SELECT unnest(range(0, 100)) AS j) LEFT JOIN a USING (j) GROUP BY j) SELECT j::BIGINT AS j, sum(n) OVER (ORDER BY j)::BIGINT AS upto FROM c")
+def matrix_column_pointers(spark, sf):
+    one = coo.export_ccs(Tables(spark, sf).square(), 100)
+    return one.select(F.posexplode(F.slice("colptr", 2, 100)).alias("j", "upto")).select(F.col("j").cast("long").alias("j"), "upto")
+
+
+@query(f"""WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a)
+SELECT count(*) AS nblocks, count(*) AS leaves, 0::BIGINT AS lowrank, count(*) AS dense, max(bi * 4 + bj + 1) AS max_id, 2 AS nlevel, 1 AS first_diag_leaf_level FROM t""")
+def block_statistics(spark, sf):
+    return blocks.statistics(square_tiles(spark, sf))
+
+
+@query(f"WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a) SELECT (8 * 625 * count(*))::BIGINT AS bytes FROM t")
+def block_byte_size(spark, sf):
+    return blocks.byte_size(square_tiles(spark, sf))
+
+
+@query(f"WITH {Q} SELECT i, v FROM a WHERE i = j AND v <> 0")
+def block_diagonal(spark, sf):
+    return blocks.diagonal(square_tiles(spark, sf)).where("v <> 0")
+
+
+@query(f"WITH {Q} SELECT i, j, -1.5 * v AS v FROM a WHERE v <> 0")
+def block_scale(spark, sf):
+    return blocks.to_coo(blocks.scale(-1.5, square_tiles(spark, sf))).where("v <> 0")
+
+
+@query(f"WITH {Q} SELECT j AS i, i AS j, v FROM a WHERE v <> 0")
+def block_transpose(spark, sf):
+    return blocks.to_coo(blocks.transposed(square_tiles(spark, sf))).where("v <> 0")
+
+
+@query(f"WITH {Q}, y AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier) SELECT a.j AS i, round(sum(a.v * y.v), 2) AS v FROM a JOIN y ON a.i = y.i GROUP BY a.j")
+def block_mul_vec_transposed(spark, sf):
+    return blocks.mul_vec(square_tiles(spark, sf), Tables(spark, sf).suppliers(), transpose=True).select("i", F.round("v", 2).alias("v"))
+
+
+@query(f"WITH {Q} SELECT (bi * 4 + bj + 1) AS block_id, i, j, sum(v) AS v FROM (SELECT i // 25 AS bi, j // 25 AS bj, i, j, v FROM a UNION ALL SELECT b.j // 25, b.i // 25, b.j, b.i, 2 * b.v FROM a b JOIN (SELECT DISTINCT i // 25 AS ti, j // 25 AS tj FROM a) t ON b.j // 25 = t.ti AND b.i // 25 = t.tj) GROUP BY bi, bj, i, j HAVING sum(v) <> 0")
+def block_add(spark, sf):
+    """The tiles with twice the transposed matrix added where tiles are."""
+    a = Tables(spark, sf).square()
+    return blocks.add_block(square_tiles(spark, sf), 2.0, coo.transpose(a)).where("v <> 0")
+
+
+@query(f"WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a) SELECT x.bi * 4 + x.bj + 1 AS a_id, y.bi * 4 + y.bj + 1 AS b_id, x.bi * 25 AS row_first, x.bi * 25 + 24 AS row_last, y.bj * 25 AS col_first, y.bj * 25 + 24 AS col_last FROM t x JOIN t y ON x.bj = y.bi")
+def block_product_pairs(spark, sf):
+    tiles = square_tiles(spark, sf)
+    return blocks.product_blocks(tiles, tiles)
+
+
+@query(f"WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a) SELECT bi * 4 + bj + 1 AS block_id, bi = bj AS diagonal, bi > bj AS lower_left, bi < bj AS upper_right, true AS small FROM t")
+def block_positions(spark, sf):
+    return square_tiles(spark, sf).select("block_id", blocks.on_diagonal().alias("diagonal"), blocks.in_lower_left(True).alias("lower_left"), blocks.in_upper_right(True).alias("upper_right"), blocks.is_small(25).alias("small"))
+
+
+@query(f"WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a) SELECT bi * 4 + bj + 1 AS block_id FROM t WHERE bi = 1 AND bj = 2")
+def block_containing(spark, sf):
+    return blocks.containing(square_tiles(spark, sf), (30, 40), (55, 60)).select("block_id")
+
+
+@query(f"WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a) SELECT bool_and(bi = bj) AS is_diag, bool_and(bi >= bj) AS is_lower_left, bool_and(bi <= bj) AS is_upper_right, max(bi) = 0 OR max(bj) = 0 AS is_flat, max(bi) >= 2 AND max(bi) = max(bj) AND bool_and(bi = bj OR bi = (SELECT max(bi) FROM t) OR bj = (SELECT max(bj) FROM t)) AS is_dd, false AS is_zero FROM t")
+def block_pattern(spark, sf):
+    return blocks.pattern(square_tiles(spark, sf)).drop("parent_id")
+
+
+@query(f"WITH {Q}, b AS (SELECT a.i AS r, c.j AS s, sum(a.v * c.v) AS v FROM a JOIN a c ON a.j = c.i GROUP BY 1, 2) SELECT r AS i, s AS j, 0.5 * v AS v FROM b WHERE v <> 0")
+def block_product(spark, sf):
+    """Half the product of the tiled matrix with itself, tile by tile."""
+    tiles = square_tiles(spark, sf)
+    return blocks.matmul(tiles, tiles, 0.5).where("v <> 0")
+
+
+@query(f"""WITH {E}, d AS (SELECT src AS node, count(*) AS degree FROM e GROUP BY src) SELECT node FROM d WHERE degree > 2 * (SELECT avg(degree) FROM d)""")
+def graph_high_degree(spark, sf):
+    return graph.high_degree(Tables(spark, sf).edges(), 2.0)
+
+
+@query(f"""WITH {Q}, m AS (SELECT i, j, abs(v) AS m FROM a WHERE i <> j), b AS (SELECT i AS src, j AS dst, max(m) AS m FROM (SELECT i, j, m FROM m UNION ALL SELECT j, i, m FROM m) GROUP BY 1, 2),
+r AS (SELECT min(m) AS lo, max(m) AS hi FROM b WHERE m > 0) SELECT src, dst, 1 + floor((m - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 999) AS w FROM b, r WHERE m > 0""")
+def graph_weighted(spark, sf):
+    return graph.weighted(Tables(spark, sf).square())
+
+
+@query(f"""WITH {Q}, m AS (SELECT i, j, abs(v) AS m FROM a WHERE i <> j), b AS (SELECT i AS src, j AS dst, max(m) AS m FROM (SELECT i, j, m FROM m UNION ALL SELECT j, i, m FROM m) GROUP BY 1, 2),
+r AS (SELECT min(m) AS lo, max(m) AS hi FROM b WHERE m > 0) SELECT min(1 + floor((m - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1 END) * 999)) AS w FROM b, r WHERE m > 0""")
+def graph_min_edge_weight(spark, sf):
+    return graph.min_edge_weight(graph.weighted(Tables(spark, sf).square()))
+
+
+@query(f"""WITH {E} SELECT src, dst, 1.0::DOUBLE AS w FROM e WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5) AND dst NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 5)""")
+def graph_masked(spark, sf):
+    """The graph without the suppliers of the first five nations."""
+    t = Tables(spark, sf)
+    mask = t.read("supplier").where("s_nationkey < 5").select(F.col("s_suppkey").alias("node"))
+    return graph.from_matrix(t.read("lineitem").select(F.col("l_suppkey").alias("i"), (F.col("l_partkey") + 1_000_000).alias("j")), mask)
+
+
+@query(f"WITH {Q} SELECT i, (j // 25) * 25 + 24 - j % 25 AS j, v FROM a WHERE v <> 0")
+def block_permute(spark, sf):
+    """Columns turned around inside each tile."""
+    return blocks.to_coo(blocks.permuted(square_tiles(spark, sf), None, list(range(24, -1, -1)))).where("v <> 0")
+
+
+@query(f"WITH {Q} SELECT 'row' AS side, j AS k, v FROM a WHERE i = 7 AND v <> 0 UNION ALL SELECT 'column', i, v FROM a WHERE j = 11 AND v <> 0")
+def block_row_column(spark, sf):
+    tiles = square_tiles(spark, sf)
+    r = blocks.row(tiles, 7).select(F.lit("row").alias("side"), F.col("j").alias("k"), "v")
+    return r.unionByName(blocks.column(tiles, 11).select(F.lit("column").alias("side"), F.col("i").alias("k"), "v")).where("v <> 0")
+
+
+@query(f"WITH {Q} SELECT coalesce(sum(v) FILTER (WHERE i = 7 AND j = 11), 0) AS v FROM a")
+def block_entry(spark, sf):
+    return blocks.entry(square_tiles(spark, sf), 7, 11)
 
 
 # ---- meshes ----------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import coo
+from ..operators.iterate import ranks, settled
 from .text import fields, head, number, numbered_lines, write_lines
 
 # ---- MatrixMarket ----------------------------------------------------------------------------------------------------
@@ -78,8 +79,25 @@ def write_market_vector(x: DataFrame, n: int, path: str) -> None:
 
 
 def write_market_matrix(a: DataFrame, nrows: int, ncols: int, path: str) -> None:
-    lines = a.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, F.col("v").cast("string")).alias("value"))
-    write_lines(lines, path, ["%%MatrixMarket matrix coordinate real general", f"{nrows} {ncols} {a.count()}"], ["i", "j"])
+    """Real, or complex if a is (i, j, re, im)."""
+    names = coo.values(a)
+    lines = a.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, *[F.col(c).cast("string") for c in names]).alias("value"))
+    kind = "complex" if "im" in names else "real"
+    write_lines(lines, path, [f"%%MatrixMarket matrix coordinate {kind} general", f"{nrows} {ncols} {a.count()}"], ["i", "j"])
+
+
+def pointers(a: DataFrame, by: str, n: int) -> DataFrame:
+    """(k, p) for k from 0 to n: how many entries have an index `by` below k. Sums run within buckets of indices, and over
+    one row a bucket."""
+    from pyspark.sql import Window
+
+    counts = a.groupBy(F.col(by).alias("k")).agg(F.count("*").alias("c"))
+    every = a.sparkSession.range(n + 1).select(F.col("id").alias("k")).join(counts, "k", "left").select("k", F.coalesce("c", F.lit(0)).alias("c"), F.floor(F.col("k") / 4096).alias("bucket"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    totals = every.groupBy("bucket").agg(F.sum("c").alias("t"))
+    offsets = totals.select("bucket", F.coalesce(F.sum("t").over(before(Window.orderBy("bucket"))), F.lit(0)).alias("offset"))
+    inside = F.coalesce(F.sum("c").over(before(Window.partitionBy("bucket").orderBy("k"))), F.lit(0))
+    return every.withColumn("inside", inside).join(offsets, "bucket").select("k", (F.col("offset") + F.col("inside")).alias("p"))
 
 
 # ---- SAMG and PLTMG --------------------------------------------------------------------------------------------------
@@ -115,6 +133,18 @@ def read_samg_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).where(F.col("n").between(1, n)).select((F.col("n") - 1).alias("dof"), F.array(*[number(fields(), k) for k in range(dim)]).alias("x"))
 
 
+def write_samg_matrix(a: DataFrame, nrows: int, ncols: int, path: str, kind: int = 22) -> None:
+    """Row pointers, column indices and values, one number a line, a row's diagonal first; sizes go to the .frm beside."""
+    order = ["i", (F.col("i") != F.col("j")), "j"]
+    placed = settled(ranks(a.select("i", "j", "v"), [], order, "k"))
+    number_ = lambda section, k, v: (F.lit(section).alias("section"), k.alias("k"), v.cast("string").alias("value"))
+    lines = pointers(a, "i", nrows).select(*number_(0, F.col("k"), F.col("p") + 1))
+    lines = lines.unionByName(placed.select(*number_(1, F.col("k").cast("long"), F.col("j") + 1))).unionByName(placed.select(*number_(2, F.col("k").cast("long"), F.col("v"))))
+    write_lines(lines, path, order=["section", "k"])
+    head_ = a.sparkSession.createDataFrame([(0, "f 4"), (1, f"{placed.count()} {nrows} {kind} 1 0")], "k int, value string")
+    write_lines(head_, f"{path.rsplit('.', 1)[0]}.frm", order=["k"])
+
+
 def write_samg_vector(x: DataFrame, path: str) -> None:
     write_lines(x.select("i", F.col("v").cast("string").alias("value")), path, order=["i"])
 
@@ -174,6 +204,30 @@ def read_harwell_boeing(spark: SparkSession, path: str) -> DataFrame:
     return a
 
 
+#: Numbers a line and the width of each, for pointers and indices and for values.
+HB_INTEGERS, HB_REALS = (6, 12), (3, 26)
+
+
+def write_harwell_boeing(a: DataFrame, nrows: int, ncols: int, path: str, title: str = "matrix", key: str = "A") -> None:
+    """An assembled unsymmetric real matrix by columns, without right-hand sides."""
+    placed = settled(ranks(a.select("i", "j", "v"), [], ["j", "i"], "k"))
+    nnz = placed.count()
+
+    def cards(values: DataFrame, section: int, per: int, width: int) -> DataFrame:
+        """Values (k, text), k from 0, as lines of `per` fields."""
+        rows = values.groupBy(F.floor(F.col("k") / per).alias("card")).agg(F.array_sort(F.collect_list(F.struct("k", F.lpad("text", width, " ").alias("text")))).alias("f"))
+        return rows.select(F.lit(section).alias("section"), "card", F.array_join(F.transform("f", lambda x: x["text"]), "").alias("value"))
+
+    place = (F.col("k") - 1).alias("k")
+    lines = cards(pointers(a, "j", ncols).select("k", (F.col("p") + 1).cast("string").alias("text")), 0, *HB_INTEGERS)
+    lines = lines.unionByName(cards(placed.select(place, (F.col("i") + 1).cast("string").alias("text")), 1, *HB_INTEGERS))
+    lines = lines.unionByName(cards(placed.select(place, F.col("v").cast("string").alias("text")), 2, *HB_REALS))
+    n = [-(-(ncols + 1) // HB_INTEGERS[0]), -(-nnz // HB_INTEGERS[0]), -(-nnz // HB_REALS[0])]
+    integers, reals = (f"({per}{kind})" for per, kind in ((HB_INTEGERS[0], f"I{HB_INTEGERS[1]}"), (HB_REALS[0], f"E{HB_REALS[1]}.16")))
+    header = [f"{title:<72}{key:<8}", "".join(f"{x:14d}" for x in (sum(n), *n, 0)), f"{'RUA':<14}" + "".join(f"{x:14d}" for x in (nrows, ncols, nnz, 0)), f"{integers:<16}{integers:<16}{reals:<20}"]
+    write_lines(lines, path, header, ["section", "card"])
+
+
 # ---- MATLAB and Octave -----------------------------------------------------------------------------------------------
 
 #: Fixed values of the MATLAB level 5 format: data types by number.

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, value): the lines of one file, numbered from 0 in file order.
+    """(n, value): the lines of a file, or of a folder's part files in the order of their names, numbered from 0.
 
-    Lines are counted per block of the file, and a block's offset is the sum of the earlier blocks' counts (one row a
-    block), so no task sees the whole file.
+    Lines are counted per block of a file, and a block's offset is the sum of the earlier blocks' counts (one row a
+    block), so no task sees a whole file.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    raw = spark.read.text(path).select(F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("block"), F.monotonically_increasing_id().alias("k"), "value")
     counts = raw.groupBy("block").agg(F.count("*").alias("c"))
     offsets = counts.select("block", F.coalesce(F.sum("c").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
     ranked = raw.withColumn("r", F.row_number().over(Window.partitionBy("block").orderBy("k")) - 1)
@@ -29,8 +29,17 @@ def number(parts: Column, k: int, kind: str = "double") -> Column:
 
 
 def head(spark: SparkSession, path: str, lines: int) -> list[str]:
-    """The first lines of a file, for headers."""
-    return [r["value"] for r in numbered_lines(spark, path).where(F.col("n") < lines).orderBy("n").collect()]
+    """The first lines of a file, or of a folder's first part files, for headers. Only lines at the files' beginnings are
+    ranked, and a file's lines are read no further than asked for."""
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
+    names = [r["file"] for r in spark.read.text(path).select(F.col("_metadata.file_name").alias("file")).distinct().orderBy("file").collect()]
+    found: list[str] = []
+    for name in names:
+        rows = spark.read.text(path).select(at.alias("at"), "value").where(F.col("at.file") == name).orderBy("at").limit(lines - len(found))
+        found += [r["value"] for r in rows.collect()]
+        if len(found) >= lines:
+            break
+    return found
 
 
 def write_lines(df: DataFrame, path: str, header: list[str] | None = None, order: list[str] | None = None) -> None:
