@@ -72,6 +72,11 @@ def ldl(a: np.ndarray, hermitian: bool = True) -> tuple[np.ndarray, np.ndarray]:
     return low, d
 
 
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x of a x = b for one or many right-hand sides, with row pivoting."""
+    return np.linalg.solve(a, np.asarray(b))
+
+
 def solve_triangular(t: np.ndarray, b: np.ndarray, lower: bool = True, unit: bool = False, side: str = "left") -> np.ndarray:
     """x of t x = b, or of x t = b from the right."""
     if side == "right":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,19 +12,28 @@ from pyspark.sql import functions as F
 _own: list[str] = []
 
 
+def shared_folder(spark) -> str:
+    """spark.checkpoint.dir; a temporary folder serves only where none is set and all runs in one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="tesserae-"))
+    return _own[0]
+
+
+def scratch(spark, name: str) -> str:
+    """A path in the shared folder that nobody else uses, ending in name."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in spark.checkpoint.dir; a temporary folder serves only where none is set and all
-    runs in one process, as in tests."""
+    """A checkpoint of df in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            if not _own:
-                _own.append("file://" + tempfile.mkdtemp(prefix="tesserae-"))
-            named = _own[0]
-        context.setCheckpointDir(named)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import kernels
 from ..operators import blocks, cluster, coo, dense, graph, vector
+from ..operators.iterate import scratch
 from . import linop
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -846,6 +847,449 @@ def block_entry(spark, sf):
     return blocks.entry(square_tiles(spark, sf), 7, 11)
 
 
+# ---- small dense blocks: the Gram matrix of each label's points, plus one on the diagonal ----------------------------
+
+GRAM3 = f"""{P}, g AS (SELECT label, 1 + sum(x * x) AS a, sum(x * y) AS b, sum(x * z) AS c, 1 + sum(y * y) AS d, sum(y * z) AS e, 1 + sum(z * z) AS f FROM p GROUP BY label)"""
+DET3 = "(a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d))"
+
+
+def label_grams(spark, sf) -> DataFrame:
+    """(label, nrows, ncols, d): symmetric positive definite, one block a label."""
+    at = lambda k: F.get("x", F.lit(k))
+    cell = lambda r, c: F.sum(at(r) * at(c)) + (1.0 if r == c else 0.0)
+    return Tables(spark, sf).points().groupBy("label").agg(F.array(*[cell(r, c) for c in range(3) for r in range(3)]).alias("d")).withColumns({"nrows": F.lit(3), "ncols": F.lit(3)})
+
+
+def cells(df: DataFrame, digits: int = 5, **named) -> DataFrame:
+    """label and the named places of d."""
+    return df.select("label", *[F.round(F.get("d", F.lit(k)), digits).alias(n) for n, k in named.items()])
+
+
+@query(f"""WITH {GRAM3}, l AS (SELECT *, b / a AS l21, c / a AS l31 FROM g), m AS (SELECT *, d - l21 * b AS u22, e - l21 * c AS u23 FROM l), n AS (SELECT *, (e - l31 * b) / u22 AS l32 FROM m)
+SELECT label, round(a, 5) AS u11, round(b, 5) AS u12, round(c, 5) AS u13, round(l21, 5) AS l21, round(u22, 5) AS u22, round(u23, 5) AS u23, round(l31, 5) AS l31, round(l32, 5) AS l32, round(f - l31 * c - l32 * u23, 5) AS u33 FROM n""")
+def dense_lu(spark, sf):
+    return cells(dense.lu_factors(label_grams(spark, sf), ["label"]), u11=0, l21=1, l31=2, u12=3, u22=4, l32=5, u13=6, u23=7, u33=8)
+
+
+CHOL = f"{GRAM3}, c1 AS (SELECT *, sqrt(a) AS l11, b / sqrt(a) AS l21, c / sqrt(a) AS l31 FROM g), c2 AS (SELECT *, sqrt(d - l21 * l21) AS l22, (e - l31 * l21) / sqrt(d - l21 * l21) AS l32 FROM c1), c3 AS (SELECT *, sqrt(f - l31 * l31 - l32 * l32) AS l33 FROM c2)"
+
+
+@query(f"WITH {CHOL} SELECT label, round(l11, 5) AS l11, round(l21, 5) AS l21, round(l31, 5) AS l31, round(l22, 5) AS l22, round(l32, 5) AS l32, round(l33, 5) AS l33 FROM c3")
+def dense_cholesky(spark, sf):
+    return cells(dense.cholesky_factors(label_grams(spark, sf), ["label"]), l11=0, l21=1, l31=2, l22=4, l32=5, l33=8)
+
+
+@query(f"WITH {CHOL} SELECT label, round(l21 / l11, 5) AS l21, round(l31 / l11, 5) AS l31, round(l32 / l22, 5) AS l32, round(l11 * l11, 5) AS d1, round(l22 * l22, 5) AS d2, round(l33 * l33, 5) AS d3 FROM c3")
+def dense_ldl(spark, sf):
+    def factors(m):
+        low, diag = dense.ldl(m)
+        return {"d": [low[1, 0], low[2, 0], low[2, 1], *diag.tolist()]}
+
+    return cells(dense.map_blocks(label_grams(spark, sf), factors, "d array<double>", ["label"]), l21=0, l31=1, l32=2, d1=3, d2=4, d3=5)
+
+
+INVERSE = f"SELECT label, round((d * f - e * e) / {DET3}, 6) AS i11, round((c * e - b * f) / {DET3}, 6) AS i12, round((b * e - c * d) / {DET3}, 6) AS i13, round((a * f - c * c) / {DET3}, 6) AS i22, round((b * c - a * e) / {DET3}, 6) AS i23, round((a * d - b * b) / {DET3}, 6) AS i33 FROM g"
+
+
+@query(f"WITH {GRAM3} {INVERSE}")
+def dense_inverse(spark, sf):
+    return cells(dense.inverted(label_grams(spark, sf), ["label"]), 6, i11=0, i12=3, i13=6, i22=4, i23=7, i33=8)
+
+
+@query(f"WITH {GRAM3} {INVERSE}")
+def dense_pseudo_inverse(spark, sf):
+    found = dense.map_blocks(label_grams(spark, sf), lambda m: {"d": dense.pack(dense.pseudo_inverse(m))}, "d array<double>", ["label"])
+    return cells(found, 6, i11=0, i12=3, i13=6, i22=4, i23=7, i33=8)
+
+
+@query(f"""WITH {GRAM3} SELECT label, round((1 * (d * f - e * e) + 2 * (c * e - b * f) + 3 * (b * e - c * d)) / {DET3}, 6) AS x1,
+round((1 * (c * e - b * f) + 2 * (a * f - c * c) + 3 * (b * c - a * e)) / {DET3}, 6) AS x2, round((1 * (b * e - c * d) + 2 * (b * c - a * e) + 3 * (a * d - b * b)) / {DET3}, 6) AS x3 FROM g""")
+def dense_solve(spark, sf):
+    """The solution for the right-hand side (1, 2, 3)."""
+    found = dense.map_blocks(label_grams(spark, sf), lambda m: {"d": dense.solve(m, [1.0, 2.0, 3.0]).tolist()}, "d array<double>", ["label"])
+    return cells(found, 6, x1=0, x2=1, x3=2)
+
+
+@query(f"WITH {GRAM3}, t AS (SELECT *, 1 / a AS x1, (2 - b / a) / d AS x2 FROM g) SELECT label, round(x1, 6) AS x1, round(x2, 6) AS x2, round((3 - c * x1 - e * x2) / f, 6) AS x3 FROM t")
+def dense_solve_triangular(spark, sf):
+    """The same with the lower triangle alone."""
+    import numpy as np
+
+    found = dense.map_blocks(label_grams(spark, sf), lambda m: {"d": dense.solve_triangular(m, np.array([1.0, 2.0, 3.0])).tolist()}, "d array<double>", ["label"])
+    return cells(found, 6, x1=0, x2=1, x3=2)
+
+
+EIGEN = f"""{GRAM3}, t AS (SELECT *, (a + d + f) / 3 AS q, sqrt(((a - (a + d + f) / 3)**2 + (d - (a + d + f) / 3)**2 + (f - (a + d + f) / 3)**2 + 2 * (b * b + c * c + e * e)) / 6) AS s FROM g),
+u AS (SELECT *, acos(greatest(-1.0, least(1.0, ((a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - c * e) + c * (b * e - c * (d - q))) / (2 * s**3)))) / 3 AS phi FROM t),
+w AS (SELECT label, q + 2 * s * cos(phi + 2 * pi() / 3) AS w1, q + 2 * s * cos(phi) AS w3, q FROM u)"""
+
+
+@query(f"WITH {EIGEN} SELECT label, round(w1, 5) AS w1, round(3 * q - w1 - w3, 5) AS w2, round(w3, 5) AS w3 FROM w")
+def dense_eigenvalues(spark, sf):
+    found = dense.map_blocks(label_grams(spark, sf), lambda m: {"d": dense.eigen_hermitian(m)[0].tolist()}, "d array<double>", ["label"])
+    return cells(found, w1=0, w2=1, w3=2)
+
+
+@query(f"WITH {EIGEN} SELECT label, round(w3, 5) AS s1, round(3 * q - w1 - w3, 5) AS s2, round(w1, 5) AS s3 FROM w")
+def dense_block_singular_values(spark, sf):
+    """Of a positive definite block they are its eigenvalues, largest first."""
+    found = dense.singular_values(label_grams(spark, sf), ["label"]).withColumnRenamed("sigma", "d")
+    return cells(found, s1=0, s2=1, s3=2)
+
+
+@query(f"WITH {EIGEN} SELECT label, round(w3 / w1, 5) AS cond FROM w")
+def dense_condition(spark, sf):
+    return dense.condition_numbers(label_grams(spark, sf), ["label"]).select("label", F.round("cond", 5).alias("cond"))
+
+
+@query(f"""WITH {P}, g AS (SELECT sum(x * x) AS a, sum(x * y) AS b, sum(x * z) AS c, sum(y * y) AS d, sum(y * z) AS e, sum(z * z) AS f FROM p), l AS (SELECT *, sqrt(a) AS r11, b / sqrt(a) AS r12, c / sqrt(a) AS r13 FROM g),
+m AS (SELECT *, sqrt(d - r12 * r12) AS r22, (e - r12 * r13) / sqrt(d - r12 * r12) AS r23 FROM l) SELECT round(r11, 5) AS r11, round(r12, 5) AS r12, round(r13, 5) AS r13, round(r22, 5) AS r22, round(r23, 5) AS r23, round(sqrt(f - r13 * r13 - r23 * r23), 5) AS r33 FROM m""")
+def dense_tsqr(spark, sf):
+    """The triangle of the tall matrix of all points, by local QR and merging; its Gram matrix has the same Cholesky factor."""
+    r = dense.tall_r(Tables(spark, sf).points(), "x")
+    return spark.createDataFrame([tuple(round(float(r[i, j]), 5) for i in range(3) for j in range(i, 3))], "r11 double, r12 double, r13 double, r22 double, r23 double, r33 double")
+
+
+@query(f"WITH {P} SELECT 3.0::DOUBLE AS trace, 0.0::DOUBLE AS off FROM p LIMIT 1")
+def dense_orthogonal(spark, sf):
+    """Trace and largest off-diagonal entry of Q^T Q for the tall matrix of all points."""
+    q = dense.tall_orthogonal(Tables(spark, sf).points(), "dof", "x")
+    g_ = dense.gram(q, "q")
+    return g_.agg(F.round(F.sum(F.when(F.col("i") == F.col("j"), F.col("v"))), 8).alias("trace"), F.abs(F.round(F.max(F.when(F.col("i") != F.col("j"), F.abs("v"))), 8)).alias("off"))
+
+
+# ---- more geometry ---------------------------------------------------------------------------------------------------
+
+SHIFTED = f"{P}, q AS (SELECT dof % 10 AS label, x + (dof % 10) AS x, y, z FROM p), b AS (SELECT label, min(x) AS x0, min(y) AS y0, min(z) AS z0, max(x) AS x1, max(y) AS y1, max(z) AS z1 FROM q GROUP BY label)"
+DIAMETER = "sqrt(({0}.x1-{0}.x0)**2 + ({0}.y1-{0}.y0)**2 + ({0}.z1-{0}.z0)**2)"
+DISTANCE = "sqrt(greatest(0, c.x0 - a.x1, a.x0 - c.x1)**2 + greatest(0, c.y0 - a.y1, a.y0 - c.y1)**2 + greatest(0, c.z0 - a.z1, a.z0 - c.z1)**2)"
+
+
+def shifted_boxes(spark, sf) -> DataFrame:
+    """Pairs of boxes (prefixes r_ and c_) of ten shifted groups of points."""
+    x = Tables(spark, sf).points().select((F.col("dof") % 10).alias("cid"), F.array(F.get("x", F.lit(0)) + F.col("dof") % 10, F.get("x", F.lit(1)), F.get("x", F.lit(2))).alias("x"))
+    b = cluster.bounding_box(x, ["cid"], 3).withColumn("is_domain", F.lit(False))
+    side = lambda s: b.select(*[F.col(c).alias(f"{s}_{c}") for c in ("cid", "bbmin", "bbmax", "is_domain")])
+    return side("r").crossJoin(F.broadcast(side("c")))
+
+
+@query(f"""WITH {SHIFTED} SELECT a.label AS r, c.label AS s, a.label <> c.label AS off, a.label <> c.label AND ((least(a.x1, c.x1) - greatest(a.x0, c.x0) > 0)::INT + (least(a.y1, c.y1) - greatest(a.y0, c.y0) > 0)::INT + (least(a.z1, c.z1) - greatest(a.z0, c.z0) > 0)::INT <= 2
+OR least({DIAMETER.format("a")}, {DIAMETER.format("c")}) <= 2 * {DISTANCE}) AS adm FROM b a, b c""")
+def admissibility_weak(spark, sf):
+    """Boxes that overlap in at most two axes; and which pairs are off the diagonal."""
+    from ..operators import block_cluster as bc
+
+    return shifted_boxes(spark, sf).select(F.col("r_cid").alias("r"), F.col("c_cid").alias("s"), bc.off_diagonal().alias("off"), bc.weak(2)().alias("adm"))
+
+
+@query(f"""WITH {SHIFTED} SELECT a.label AS r, c.label AS s, least(greatest(a.x1-a.x0, a.y1-a.y0, a.z1-a.z0), greatest(c.x1-c.x0, c.y1-c.y0, c.z1-c.z0)) * 1.5 <= 8
+AND a.label <> c.label AND greatest({DIAMETER.format("a")}, {DIAMETER.format("c")}) <= 3 * {DISTANCE} AS adm FROM b a, b c""")
+def admissibility_high_low_frequency(spark, sf):
+    from ..operators import block_cluster as bc
+
+    return shifted_boxes(spark, sf).select(F.col("r_cid").alias("r"), F.col("c_cid").alias("s"), bc.high_low_frequency(1.5, 8.0, 3.0)().alias("adm"))
+
+
+@query(f"""WITH {SHIFTED} SELECT a.label AS r, c.label AS s, round(greatest(0, sqrt((a.x0+a.x1-c.x0-c.x1)**2 + (a.y0+a.y1-c.y0-c.y1)**2 + (a.z0+a.z1-c.z0-c.z1)**2) / 2 - {DIAMETER.format("a")} / 2 - {DIAMETER.format("c")} / 2), 6) AS distance,
+round(4.0 / 3 * pi() * ({DIAMETER.format("a")} / 2)**3, 5) AS volume FROM b a, b c""")
+def sphere_measures(spark, sf):
+    """Spheres around the boxes: distances of all pairs, and volumes."""
+    (m0, r0), (m1, r1) = (g.enclosing_sphere(F.col(f"{s}_bbmin"), F.col(f"{s}_bbmax")) for s in "rc")
+    return shifted_boxes(spark, sf).select(F.col("r_cid").alias("r"), F.col("c_cid").alias("s"), F.round(g.sphere_distance(m0, r0, m1, r1), 6).alias("distance"), F.round(g.sphere_volume(r0), 5).alias("volume"))
+
+
+@query(f"""WITH {SHIFTED}, k AS (SELECT unnest([-1, 0, 1]) AS k) SELECT a.label AS r, c.label AS s, round(sqrt((SELECT min(greatest(0, c.x0 + 12 * k - a.x1, a.x0 - c.x1 - 12 * k)) FROM k)**2
++ (SELECT min(greatest(0, c.y0 + 9 * k - a.y1, a.y0 - c.y1 - 9 * k)) FROM k)**2 + (SELECT min(greatest(0, c.z0 + 9 * k - a.z1, a.z0 - c.z1 - 9 * k)) FROM k)**2), 6) AS distance FROM b a, b c""")
+def box_periodic_distance(spark, sf):
+    d = g.periodic_distance(F.col("r_bbmin"), F.col("r_bbmax"), F.col("c_bbmin"), F.col("c_bbmax"), [12.0, 9.0, 9.0])
+    return shifted_boxes(spark, sf).select(F.col("r_cid").alias("r"), F.col("c_cid").alias("s"), F.round(d, 6).alias("distance"))
+
+
+@query(f"""WITH {P} SELECT a.dof, round(sqrt(a.x**2 + a.y**2 + a.z**2), 6) AS norm, round(a.x * b.x + a.y * b.y + a.z * b.z, 6) AS dot, round(a.y * b.z - a.z * b.y, 6) AS cx, round(a.z * b.x - a.x * b.z, 6) AS cy, round(a.x * b.y - a.y * b.x, 6) AS cz,
+round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) AS distance FROM p a JOIN p b ON a.dof + 1 = b.dof""")
+def point_operations(spark, sf):
+    """Each point with the next one."""
+    t = Tables(spark, sf).points()
+    x, y = F.col("x"), F.col("y")
+    both = t.select("dof", "x").join(t.select((F.col("dof") - 1).alias("dof"), F.col("x").alias("y")), "dof")
+    c = g.cross(x, y)
+    return both.select("dof", F.round(g.norm2(x), 6).alias("norm"), F.round(g.dot(x, y), 6).alias("dot"), *[F.round(F.get(c, F.lit(k)), 6).alias(f"c{n}") for k, n in enumerate("xyz")], F.round(g.point_distance(x, y), 6).alias("distance"))
+
+
+@query("SELECT s_suppkey AS k, greatest(0, least(s_suppkey + 9, 60) - greatest(s_suppkey, 40) + 1) AS common, least(s_suppkey, 40) AS first, greatest(s_suppkey + 9, 60) AS last, s_suppkey >= 40 AND s_suppkey + 9 <= 60 AS inside, s_suppkey + 9 < 40 AS before, 45 BETWEEN s_suppkey AND s_suppkey + 9 AS holds FROM supplier")
+def index_sets(spark, sf):
+    """Ranges of ten indices from each supplier's key against [40, 60]."""
+    x = Tables(spark, sf).suppliers().select(F.col("i").alias("k"), (F.col("i") + 9).alias("l"))
+    a, b, lo, hi = F.col("k"), F.col("l"), F.lit(40).cast("long"), F.lit(60).cast("long")
+    f, t = cluster.intersection(a, b, lo, hi)
+    u, v = cluster.hull(a, b, lo, hi)
+    return x.select("k", cluster.size_of(f, t).cast("long").alias("common"), u.alias("first"), v.alias("last"), cluster.is_subset(a, b, lo, hi).alias("inside"), cluster.left_of(b, lo).alias("before"), cluster.is_in(a, b, F.lit(45)).alias("holds"))
+
+
+def nation_tree(spark, sf) -> DataFrame:
+    """The world, its regions and their nations as a cluster tree; the index sets are ranks of nations."""
+    from pyspark.sql import Window
+
+    n = Tables(spark, sf).read("nation").select(F.col("n_regionkey").cast("long").alias("r"), F.col("n_nationkey").cast("long").alias("k"))
+    at = (F.row_number().over(Window.orderBy("r", "k")) - 1).cast("long")  # 25 rows
+    n = n.withColumn("at", at)
+    row = lambda df, cid, parent, lvl, first, last, leaf: df.select(cid.alias("cid"), parent.alias("parent"), F.lit(lvl).alias("lvl"), first.alias("first"), last.alias("last"), F.lit(leaf).alias("is_leaf"))
+    zero = F.lit(0).cast("long")
+    regions = n.groupBy("r").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    whole = n.agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    return row(whole, zero, zero, 0, F.col("a"), F.col("b"), False).unionByName(row(regions, F.col("r") + 1, zero, 1, F.col("a"), F.col("b"), False)).unionByName(row(n, F.col("k") + 100, F.col("r") + 1, 2, F.col("at"), F.col("at"), True))
+
+
+@query("SELECT (SELECT count(*) FROM nation) + (SELECT count(DISTINCT n_regionkey) FROM nation) + 1 AS nnodes, 2::BIGINT AS depth, (SELECT count(*) FROM nation) AS leaves")
+def cluster_statistics(spark, sf):
+    return cluster.statistics(nation_tree(spark, sf))
+
+
+@query("SELECT 0::BIGINT AS cid, 0::BIGINT AS parent, 0 AS lvl, 0::BIGINT AS first, false AS is_leaf FROM range(1) UNION ALL SELECT n_nationkey + 100, 0, 1, row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1, true FROM nation")
+def cluster_flattened(spark, sf):
+    return cluster.flattened(nation_tree(spark, sf)).select("cid", "parent", "lvl", "first", "is_leaf")
+
+
+@query(f"""WITH {Q}, t AS (SELECT DISTINCT i // 25 AS bi, j // 25 AS bj FROM a), n AS (SELECT bi, bj, count(*) OVER (PARTITION BY bi) AS x, count(*) OVER (PARTITION BY bj) AS y FROM t),
+m AS (SELECT bi, bj, count(*) OVER (PARTITION BY bi) AS x, count(*) OVER (PARTITION BY bj) AS y FROM t WHERE bi <> bj) SELECT (SELECT greatest(max(x), max(y)) FROM n) AS every, (SELECT greatest(max(x), max(y)) FROM m) AS admissible""")
+def sparsity_constant(spark, sf):
+    """The tiles as leaves of a block-cluster tree, those off the diagonal admissible."""
+    from ..operators import block_cluster as bc
+
+    tree = square_tiles(spark, sf).select(F.col("bi").alias("row_cid"), F.col("bj").alias("col_cid"), F.lit(True).alias("is_leaf"), (F.col("bi") != F.col("bj")).alias("adm"))
+    return bc.sparsity_constant(tree).select(F.col("c_sp").alias("every")).crossJoin(bc.sparsity_constant(tree, True).select(F.col("c_sp").alias("admissible")))
+
+
+# ---- a mesh of the embeddings' points: each is a vertex, and three in a row a triangle -------------------------------
+
+MESH = f"""{P}, t AS (SELECT a.dof AS tid, a.x AS x0, a.y AS y0, a.z AS z0, b.x AS x1, b.y AS y1, b.z AS z1, c.x AS x2, c.y AS y2, c.z AS z2 FROM p a JOIN p b ON b.dof = a.dof + 1 JOIN p c ON c.dof = a.dof + 2),
+n AS (SELECT *, (y1-y0)*(z2-z0) - (z1-z0)*(y2-y0) AS ax, (z1-z0)*(x2-x0) - (x1-x0)*(z2-z0) AS ay, (x1-x0)*(y2-y0) - (y1-y0)*(x2-x0) AS az FROM t), m AS (SELECT *, sqrt(ax*ax + ay*ay + az*az) AS jac FROM n)"""
+
+
+def strip(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = Tables(spark, sf).points()
+    v = e.select(F.col("dof").alias("vid"), *[F.get("x", F.lit(k)).alias(c) for k, c in enumerate("xyz")])
+    last = e.agg(F.coalesce(F.max("dof"), F.lit(0))).first()[0]
+    return v, e.where(F.col("dof") <= last - 2).select(F.col("dof").alias("tid"), F.col("dof").alias("v0"), (F.col("dof") + 1).alias("v1"), (F.col("dof") + 2).alias("v2"))
+
+
+@query(f"WITH {MESH} SELECT tid, round(jac, 6) AS jac, round(ax / jac, 5) AS nx, round(ay / jac, 5) AS ny, round(az / jac, 5) AS nz FROM m")
+def mesh_geometry(spark, sf):
+    from ..operators import bem
+
+    return bem.with_geometry(*strip(spark, sf)).select("tid", F.round("jac", 6).alias("jac"), *[F.round(f"n{c}", 5).alias(f"n{c}") for c in "xyz"])
+
+
+@query(f"WITH {P} SELECT dof AS vid, round(-2 * y + 1, 6) AS x, round(2 * x - 1, 6) AS y, round(3 * z, 6) AS z FROM p")
+def mesh_transforms(spark, sf):
+    """A quarter turn about the third axis, then scaled and moved."""
+    import math
+
+    from ..operators import bem
+
+    v, _ = strip(spark, sf)
+    v = bem.translate(bem.scale(bem.rotate(v, (0, 0, 1), math.pi / 2), (2, 2, 3)), (1, -1, 0))
+    return v.select("vid", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
+@query(f"WITH {MESH} SELECT tid, round(-ax / jac, 5) AS nx, round(-ay / jac, 5) AS ny, round(-az / jac, 5) AS nz FROM m")
+def mesh_switched(spark, sf):
+    from ..operators import bem
+
+    v, t = strip(spark, sf)
+    return bem.with_geometry(v, bem.switch_orientation(t)).select("tid", *[F.round(f"n{c}", 5).alias(f"n{c}") for c in "xyz"])
+
+
+@query(f"WITH {MESH}, s AS (SELECT tid + k AS vid, sum(ax / jac) AS nx, sum(ay / jac) AS ny, sum(az / jac) AS nz FROM m, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1) SELECT vid, round(nx / sqrt(nx*nx + ny*ny + nz*nz), 5) AS nx, round(ny / sqrt(nx*nx + ny*ny + nz*nz), 5) AS ny, round(nz / sqrt(nx*nx + ny*ny + nz*nz), 5) AS nz FROM s")
+def mesh_vertex_normals(spark, sf):
+    from ..operators import bem
+
+    return bem.vertex_normals(*strip(spark, sf)).select("vid", *[F.round(f"n{c}", 5).alias(f"n{c}") for c in "xyz"])
+
+
+@query(f"WITH {MESH} SELECT tid AS i, tid AS j, round(jac / 2, 6) AS v FROM m")
+def mesh_mass_constant(spark, sf):
+    from ..operators import bem
+
+    v, t = strip(spark, sf)
+    c = bem.constant_space(t)
+    return bem.mass(v, t, c, c).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {MESH}, k AS (SELECT unnest([0, 1, 2]) AS k) SELECT tid + a.k AS i, tid + b.k AS j, round(sum(jac / 24 * (CASE WHEN a.k = b.k THEN 2 ELSE 1 END)), 6) AS v FROM m, k a, k b GROUP BY 1, 2")
+def mesh_mass_linear(spark, sf):
+    from ..operators import bem
+
+    v, t = strip(spark, sf)
+    s = bem.linear_space(t)
+    return bem.mass(v, t, s, s).select("i", "j", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {MESH}, k AS (SELECT unnest([0, 1, 2]) AS k) SELECT tid + k AS i, round(sum(jac / 24 * (x0 + x1 + x2 + CASE k WHEN 0 THEN x0 WHEN 1 THEN x1 ELSE x2 END)), 6) AS v FROM m, k GROUP BY 1")
+def mesh_right_hand_side(spark, sf):
+    """The integral of the first coordinate with each linear basis function."""
+    from ..operators import bem
+
+    v, t = strip(spark, sf)
+    return bem.right_hand_side(v, t, bem.linear_space(t), lambda x, *_: x).select("i", F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {MESH} SELECT tid AS dof, round((x0 + x1 + x2) / 3, 6) AS x, least(y0, y1, y2) AS y0, greatest(z0, z1, z2) AS z1 FROM m")
+def mesh_coordinates(spark, sf):
+    """Centroids with a side of each support's box."""
+    from ..operators import bem
+
+    v, t = strip(spark, sf)
+    return bem.coordinates(v, t, bem.constant_space(t)).select("dof", F.round(F.get("x", F.lit(0)), 6).alias("x"), F.get("bbmin", F.lit(1)).alias("y0"), F.get("bbmax", F.lit(2)).alias("z1"))
+
+
+@query(f"""WITH {MESH}, e AS (SELECT tid, least(tid + a, tid + b) AS p, greatest(tid + a, tid + b) AS q, l AS local FROM m, (SELECT unnest([1, 2, 0]) AS a, unnest([2, 0, 1]) AS b, unnest([0, 1, 2]) AS l)),
+s AS (SELECT *, count(*) OVER (PARTITION BY p, q) AS n, min(tid) OVER (PARTITION BY p, q) AS first FROM e), i AS (SELECT p, q, row_number() OVER (ORDER BY p, q) - 1 AS dof FROM s WHERE n = 2 GROUP BY p, q)
+SELECT i.dof, s.tid, s.local, CASE WHEN s.tid = s.first THEN 1.0 ELSE -1.0 END::DOUBLE AS sign, round(sqrt((u.x - w.x)**2 + (u.y - w.y)**2 + (u.z - w.z)**2), 6) AS length FROM s JOIN i ON s.p = i.p AND s.q = i.q JOIN p u ON u.dof = s.p JOIN p w ON w.dof = s.q WHERE s.n = 2""")
+def mesh_edge_space(spark, sf):
+    from ..operators import bem
+
+    return bem.edge_space(*strip(spark, sf)).select("dof", "tid", "local", "sign", F.round("length", 6).alias("length"))
+
+
+@query(f"""WITH {MESH}, e AS (SELECT DISTINCT least(tid + a, tid + b) AS p, greatest(tid + a, tid + b) AS q FROM m, (SELECT unnest([0, 1, 2]) AS a, unnest([1, 2, 0]) AS b))
+SELECT (SELECT count(*) FROM p) + (SELECT count(*) FROM e) AS vertices, 4 * (SELECT count(*) FROM m) AS triangles, round((SELECT sum(jac) / 2 FROM m), 4) AS area""")
+def mesh_refined(spark, sf):
+    from ..operators import bem
+
+    v, t = bem.refine(*strip(spark, sf))
+    area = bem.with_geometry(v, t).agg(F.count("*").alias("triangles"), F.round(F.sum("jac") / 2, 4).alias("area"))
+    return v.agg(F.count("*").alias("vertices")).crossJoin(area)
+
+
+@query("""WITH v AS (SELECT n_nationkey AS k, n_nationkey::DOUBLE AS x, n_regionkey::DOUBLE AS y, (n_nationkey * n_nationkey % 7)::DOUBLE AS z FROM nation), t AS (SELECT a.k AS tid, (b.x-a.x) AS p1, (b.y-a.y) AS p2, (b.z-a.z) AS p3, (c.x-a.x) AS q1, (c.y-a.y) AS q2, (c.z-a.z) AS q3 FROM v a JOIN v b ON b.k = a.k + 1 JOIN v c ON c.k = a.k + 2),
+j AS (SELECT tid, sqrt((p2*q3 - p3*q2)**2 + (p3*q1 - p1*q3)**2 + (p1*q2 - p2*q1)**2) AS jac FROM t) SELECT a.tid::BIGINT AS i, b.tid::BIGINT AS j, round(a.jac * b.jac / 4, 5) AS v FROM j a, j b""")
+def mesh_form_constant(spark, sf):
+    """The double integral of 1 over all pairs of triangles of a small mesh, near and far: products of areas."""
+    from ..operators import bem
+
+    n = Tables(spark, sf).read("nation").select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_regionkey").cast("double").alias("y"))
+    v = n.select(F.col("k").alias("vid"), F.col("k").cast("double").alias("x"), "y", (F.col("k") * F.col("k") % 7).cast("double").alias("z"))
+    last = n.agg(F.max("k")).first()[0]
+    t = n.where(F.col("k") <= last - 2).select(F.col("k").alias("tid"), F.col("k").alias("v0"), (F.col("k") + 1).alias("v1"), (F.col("k") + 2).alias("v2"))
+    s = bem.constant_space(t)
+    return bem.form(v, t, s, s, lambda a: F.lit(1.0), 2).select("i", "j", F.round("v", 5).alias("v"))
+
+
+@query("WITH k AS (SELECT unnest(range(0, 8)) AS a), l AS (SELECT unnest(range(0, 8)) AS b) SELECT a::INTEGER AS a, b::INTEGER AS b, round((factorial(a::INTEGER) * factorial(b::INTEGER))::DOUBLE / factorial((a + b + 2)::INTEGER)::DOUBLE, 10) AS v FROM k, l WHERE a + b <= 5")
+def quadrature_triangle(spark, sf):
+    """Monomials over the unit triangle by the rule of order 4."""
+    from ..functions import quadrature
+
+    p, w = quadrature.triangle(4)
+    return spark.createDataFrame([(a, b, round(float((w * p[:, 0] ** a * p[:, 1] ** b).sum()), 10)) for a in range(8) for b in range(8) if a + b <= 5], "a int, b int, v double")
+
+
+# ---- solvers against a closed form -----------------------------------------------------------------------------------
+
+RANK1 = """s AS (SELECT s_suppkey AS i, 2.0 + s_nationkey % 3 AS d, s_acctbal / 1e4 / sqrt((SELECT count(*) FROM supplier)) AS u, 1.0 + s_suppkey % 5 AS b FROM supplier),
+k AS (SELECT sum(u * b / d) / (1 + sum(u * u / d)) AS k FROM s) SELECT i, round(b / d - k * u / d, 6) AS v FROM s, k"""
+
+
+def rank1_system(spark, sf):
+    """(D + u u^T) x = b over the suppliers, whose solution has a closed form: the operator, b, and D's inverse."""
+    from ..operators import solve
+    from ..operators.iterate import settled
+
+    t = Tables(spark, sf).read("supplier")
+    n = t.count()
+    d = t.select(F.col("s_suppkey").alias("i"), (2.0 + F.col("s_nationkey") % 3).cast("double").alias("v"))
+    u = t.select(F.col("s_suppkey").alias("i"), (F.col("s_acctbal") / 1e4 / n**0.5).alias("v"))
+    b = settled(t.select(F.col("s_suppkey").alias("i"), (1.0 + F.col("s_suppkey") % 5).cast("double").alias("v")))
+    m = settled(coo.add_rank1(d.select("i", F.col("i").alias("j"), "v"), 1.0, u, u))
+    return linop.Matrix(m, n, n, True), b, solve.jacobi(d, n)
+
+
+def solved(spark, sf, name: str, **more) -> DataFrame:
+    from ..operators import solve
+
+    a, b, w = rank1_system(spark, sf)
+    x, info = solve.SOLVERS[name](a, b, w, solve.Stop(40, 1e-10), **more)
+    if info.status != "converged":
+        raise RuntimeError(f"{name}: {info}")
+    return x.select("i", F.round("v", 6).alias("v"))
+
+
+def solver_query(name: str, **more) -> None:
+    def run(spark, sf):
+        return solved(spark, sf, name, **more)
+
+    run.__name__ = f"solve_{name}_rank1"
+    query(f"WITH {RANK1}")(run)
+
+
+for _name, _more in (("cg", {}), ("cgs", {}), ("bicgstab", {}), ("minres", {}), ("gmres", {}), ("tfqmr", {}), ("linear", {"damping": 0.9}), ("auto", {})):
+    solver_query(_name, **_more)
+
+
+@query("SELECT s_suppkey AS i, round(3 * s_acctbal + s_nationkey * s_acctbal, 4) AS v FROM supplier")
+def operator_identity_diagonal(spark, sf):
+    """(3 I + diag(nation)) x for the suppliers' balances."""
+    t = Tables(spark, sf)
+    x = t.suppliers()
+    n = x.count()
+    d = t.read("supplier").select(F.col("s_suppkey").alias("i"), F.col("s_nationkey").cast("double").alias("v"))
+    return linop.matrix_sum((3.0, coo.NORMAL, linop.identity(spark, n)), (1.0, coo.NORMAL, linop.diagonal(d, n))).apply(x).select("i", r4())
+
+
+@query(f"WITH {Q}, n AS (SELECT max(s_suppkey) AS n FROM supplier), y AS (SELECT s_suppkey AS i, s_acctbal AS v FROM supplier) SELECT n - a.i AS i, round(sum(a.v * y.v), 2) AS v FROM a JOIN n ON true JOIN y ON y.i = n - a.j WHERE a.j <= n GROUP BY 1")
+def operator_permuted(spark, sf):
+    """An operator in reversed numbering, applied to a vector in the old one."""
+    t = Tables(spark, sf)
+    x, a = t.suppliers(), t.square()
+    last = x.agg(F.max("i")).first()[0]
+    turn = spark.range(last + 1).select(F.col("id").alias("e"), (last - F.col("id")).alias("i"))
+    op = linop.Permuted(linop.Matrix(a, last + 1, last + 1), turn, turn)
+    return op.apply(x).select("i", F.round("v", 2).alias("v"))
+
+
+# ---- files -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {Q} SELECT i, j, v FROM a")
+def file_market_round_trip(spark, sf):
+    """Written as MatrixMarket text, in several parts, and read back."""
+    from ..sources import matrices
+
+    a, path = Tables(spark, sf).square(), scratch(spark, "matrix.mtx")
+    matrices.write_market_matrix(a, 100_000, 100, path)
+    return matrices.read_market_matrix(spark, path)
+
+
+@query(f"WITH {Q} SELECT i, j, v FROM a")
+def file_harwell_boeing_round_trip(spark, sf):
+    from ..sources import matrices
+
+    a, path = Tables(spark, sf).square(), scratch(spark, "matrix.hb")
+    matrices.write_harwell_boeing(a, 100_000, 100, path)
+    return matrices.read_harwell_boeing(spark, path)
+
+
+@query(f"WITH {Q} SELECT i, j, v FROM a")
+def file_samg_round_trip(spark, sf):
+    from ..sources import matrices
+
+    t = Tables(spark, sf)
+    a, path = t.square(), scratch(spark, "matrix.amg")
+    matrices.write_samg_matrix(a, t.suppliers().agg(F.max("i")).first()[0] + 1, 100, path)
+    return matrices.read_samg_matrix(spark, path)
+
+
+@query("SELECT c_custkey AS i, c_acctbal AS v FROM customer")
+def file_market_vector_round_trip(spark, sf):
+    from ..sources import matrices
+
+    x, path = Tables(spark, sf).customers(), scratch(spark, "vector.mtx")
+    n = x.agg(F.max("i")).first()[0] + 1
+    matrices.write_market_vector(x, n, path)
+    return matrices.read_market_vector(spark, path).join(x.select("i"), "i", "left_semi")
+
+
 # ---- meshes ----------------------------------------------------------------------------------------------------------
 
 
