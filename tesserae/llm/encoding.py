@@ -19,8 +19,10 @@ import pyarrow.compute as pc
 from .idle import busy, idle
 
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
-KEPT_UNITS = 1_000_000
+#: Pieces and words that a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
+KEPT_UNITS = 1_500_000
+#: Two units of a word as one number: PAIR times the first, plus the second.
+PAIR = 1 << 32
 #: Documents encoded together: the more there are, the fewer words of a batch are new to it.
 ENCODED_ROWS = 1500
 
@@ -59,6 +61,7 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {"": 0}
+        self.known: dict[str, int] = {}  # words of two units, or in upper case, to their pairs
         self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _add_units(self, units: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
@@ -68,11 +71,17 @@ class WordEncoder:
 
     def _pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The two units of each word, by their places in the store; new ones are encoded."""
-        plain, place, marked = PLAIN_WORD.fullmatch, self.units, bool(self.ends.any())
-        heads, marks = [], []
+        plain, place, known, marked = PLAIN_WORD.fullmatch, self.units, self.known, bool(self.ends.any())
+        heads, marks = list(map(place.get, words)), [0] * len(words)
+        new: list[tuple[int, str, str]] = []
         letters: dict[str, None] = {}
         others: dict[str, None] = {}
-        for w in words:
+        for k in [k for k, head in enumerate(heads) if head is None]:
+            w = words[k]
+            pair = known.get(w)
+            if pair is not None:
+                heads[k], marks[k] = divmod(pair, PAIR)
+                continue
             m = plain(w) if marked else None
             if m:
                 head, mark = m.groups()
@@ -83,10 +92,8 @@ class WordEncoder:
                     others[mark] = None
             else:
                 head, mark = w, ""
-                if w not in place:
-                    others[w] = None
-            heads.append(head)
-            marks.append(mark)
+                others[w] = None
+            new.append((k, head, mark))
         if letters:
             flat = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[flat]) + 1
@@ -97,8 +104,12 @@ class WordEncoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(others), add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self._add_units(list(others), lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
-        n = len(words)
-        return np.fromiter(map(place.__getitem__, heads), np.int64, n), np.fromiter(map(place.__getitem__, marks), np.int64, n)
+        for k, head, mark in new:
+            h, m = place[head], place[mark]
+            heads[k], marks[k] = h, m
+            if m or head != words[k]:
+                known[words[k]] = h * PAIR + m
+        return np.array(heads, np.int64), np.array(marks, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, ids per text); a null text has none.
@@ -121,7 +132,7 @@ class WordEncoder:
         words = coded.dictionary.to_pylist()
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self.units) > self.kept:
+        if len(self.units) + len(self.known) > self.kept:
             self.clear()
         heads, marks = self._pairs(words)
         own = self.lengths[heads] + self.lengths[marks]  # ids of each distinct word

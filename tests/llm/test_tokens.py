@@ -82,6 +82,22 @@ def test_packing_of_documents(spark, sf):
         assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
 
 
+def test_step_groups_are_balanced_over_all_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(packing, "STEP_TOKENS", 20_000)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    windows = {(r.sequence_id, r.tier, r.step_group): 0 for r in rows}
+    assert len(windows) == len({r.sequence_id for r in rows}) and len({r.sequence_id >> packing.TASK_BITS for r in rows}) > 1
+    for r in rows:
+        windows[r.sequence_id, r.tier, r.step_group] += r.length
+    sizes = defaultdict(int)
+    for (_, tier, group), n in windows.items():
+        sizes[tier, group] += n
+    for tier in packing.TIERS:
+        own = [sizes[tier, g] for g in range(1 + max((g for t, g in sizes if t == tier), default=-1))]
+        assert all(abs(n - 20_000) < tier for n in own[:-1]) and (len(own) > 1 or tier < 4096)
+
+
 def test_packing_in_chunks_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     packer, out = packing.Packer(0), []
