@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +18,8 @@ import pyarrow.compute as pc
 from .idle import busy, idle
 
 WORD_BPE = "word_bpe_49k.json"
-#: Pieces and words that a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
-KEPT_UNITS = 1_500_000
-#: Two units of a word as one number: PAIR times the first, plus the second.
-PAIR = 1 << 32
+#: Pieces that a worker keeps between batches and tasks; beyond it the store starts anew, which bounds its memory.
+KEPT_UNITS = 1_000_000
 #: Documents encoded together: the more there are, the fewer words of a batch are new to it.
 ENCODED_ROWS = 1500
 
@@ -34,7 +31,10 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 
 
 #: Letters whose lower case and normal form are themselves or one letter each, and marks that end a word.
-PLAIN_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+"
+#: Marks that begin a new piece behind letters, all but those of contractions and special strings.
+MARKS = r"""!"#$%&()*+,-./:;=?@[\]^_`{}~"""
+PLAIN_WORD = LETTERS + r"[!-&(-/:;=?@\[-`{}~]*$"
 
 
 class WordEncoder:
@@ -61,7 +61,6 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {"": 0}
-        self.known: dict[str, int] = {}  # words of two units, or in upper case, to their pairs
         self.starts, self.lengths, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _add_units(self, units: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
@@ -69,47 +68,37 @@ class WordEncoder:
         self.units.update(zip(units, range(len(self.units), len(self.units) + len(units)), strict=True))
         self.starts, self.lengths, self.ids = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths]), np.concatenate([self.ids, flat])
 
-    def _pairs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The two units of each word, by their places in the store; new ones are encoded."""
-        plain, place, known, marked = PLAIN_WORD.fullmatch, self.units, self.known, bool(self.ends.any())
-        heads, marks = list(map(place.get, words)), [0] * len(words)
-        new: list[tuple[int, str, str]] = []
-        letters: dict[str, None] = {}
-        others: dict[str, None] = {}
-        for k in [k for k, head in enumerate(heads) if head is None]:
-            w = words[k]
-            pair = known.get(w)
-            if pair is not None:
-                heads[k], marks[k] = divmod(pair, PAIR)
-                continue
-            m = plain(w) if marked else None
-            if m:
-                head, mark = m.groups()
-                head = head.lower()
-                if head not in place:
-                    letters[head] = None
-                if mark and mark not in place:
-                    others[mark] = None
-            else:
-                head, mark = w, ""
-                others[w] = None
-            new.append((k, head, mark))
+    def _places(self, units: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """The places in the store of distinct units, of which some are plain letter runs; new ones are encoded."""
+        names = units.to_pylist()
+        found = list(map(self.units.get, names))
+        new = [k for k, place in enumerate(found) if place is None]
+        letters, others = [names[k] for k in new if plain[k]], [names[k] for k in new if not plain[k]]
         if letters:
             flat = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, np.uint32)
             ends = np.flatnonzero(self.ends[flat]) + 1
             if len(ends) != len(letters):
                 raise ValueError("the tokenizer's words don't end with its end-of-word mark")
-            self._add_units(list(letters), np.diff(ends, prepend=0), flat)
+            self._add_units(letters, np.diff(ends, prepend=0), flat)
         if others:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(others), add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._add_units(list(others), lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
-        for k, head, mark in new:
-            h, m = place[head], place[mark]
-            heads[k], marks[k] = h, m
-            if m or head != words[k]:
-                known[words[k]] = h * PAIR + m
-        return np.array(heads, np.int64), np.array(marks, np.int64)
+            self._add_units(others, lengths, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+        for k in new:
+            found[k] = self.units[names[k]]
+        return np.array(found, np.int64)
+
+    def _pairs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The two units of each distinct word, by their places in the store. Words are cut and lower-cased by Arrow."""
+        if not self.ends.any():
+            return self._places(words, np.zeros(len(words), bool)), np.zeros(len(words), np.int64)
+        plain = pc.match_substring_regex(words, PLAIN_WORD)
+        heads = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, MARKS)), words).dictionary_encode()
+        marks = pc.if_else(plain, pc.replace_substring_regex(words, LETTERS, ""), "").dictionary_encode()
+        kind, of = np.zeros(len(heads.dictionary), bool), heads.indices.to_numpy()
+        kind[of] = plain.to_numpy(zero_copy_only=False)
+        first = self._places(heads.dictionary, kind)[of]
+        return first, self._places(marks.dictionary, np.zeros(len(marks.dictionary), bool))[marks.indices.to_numpy()]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids as uint32, ids per text); a null text has none.
@@ -126,13 +115,13 @@ class WordEncoder:
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        chunks = pc.split_pattern_regex(texts, "[ \n]+")
+        chunks = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")  # an empty chunk has no ids
         per_text = np.diff(chunks.offsets.to_numpy())
         coded = chunks.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if not words:
+        words = coded.dictionary
+        if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        if len(self.units) + len(self.known) > self.kept:
+        if len(self.units) > self.kept:
             self.clear()
         heads, marks = self._pairs(words)
         own = self.lengths[heads] + self.lengths[marks]  # ids of each distinct word

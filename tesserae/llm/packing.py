@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import if_small, small_batches, written
 from .encoding import ENCODED_ROWS, KEPT_UNITS, encoder_of, let_go
 
 TIERS = (512, 1024, 2048, 4096)
@@ -126,6 +126,7 @@ def step_groups(pieces: DataFrame, step_tokens: int = STEP_TOKENS) -> DataFrame:
     totals = pieces.groupBy(task.alias("_task"), F.col("tier").alias("_tier")).agg(F.sum("length").alias("_n"))
     before = Window.partitionBy("_tier").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_task", "_tier", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    offsets = if_small(written(offsets, "packed-offsets"))
     rows = pieces.join(offsets, (task == F.col("_task")) & (F.col("tier") == F.col("_tier")))
     group = F.floor((F.col("_offset") + F.col("earlier")) / step_tokens)
     return rows.withColumn("step_group", group).drop("_task", "_tier", "_offset", "earlier")

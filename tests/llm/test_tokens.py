@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -27,6 +28,16 @@ def test_word_encoder_equals_whole_text_encoding(spark, sf):
         assert flat[a:b].tolist() == reference_ids(text)
 
 
+def test_word_encoder_on_marks_and_letters():
+    rng = random.Random(2)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [" ".join(pick("abçÉßÿzQ'9", rng.randint(0, 6)) + pick("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""", rng.randint(0, 4)) + pick("s't9é", rng.randint(0, 2)) for _ in range(40)) for _ in range(200)]
+    flat, lengths = WordEncoder(tokenizer_path()).encode(pa.array(texts))
+    ends = np.cumsum(lengths)
+    for text, a, b in zip(texts, ends - lengths, ends, strict=True):
+        assert flat[a:b].tolist() == reference_ids(text)
+
+
 @pytest.mark.parametrize("top", [1, 256, 257, 70_000, 2**32])
 def test_segment_round_trip_and_random_access(top):
     rng = np.random.default_rng(top)
