@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .iterate import settled
+from .iterate import ranks, settled
 
 Condition = Callable[[], Column]
 
@@ -69,7 +69,8 @@ def build(rows: DataFrame, columns: DataFrame, admissible: Condition, least_leve
         return settled(tree.select(*[F.col(c).alias(f"{p}_{c}") for c in columns_], F.col("lvl").alias(f"{p}_lvl")))
 
     r, c = side(rows, "r"), side(columns, "c")
-    front = r.where("r_lvl = 0").crossJoin(c.where("c_lvl = 0")).withColumns({"bid": F.lit("0"), "up": F.lit(None).cast("string")})
+    front = r.where("r_lvl = 0").crossJoin(c.where("c_lvl = 0")).withColumns({"bid": F.lit(0).cast("long"), "up": F.lit(0).cast("long")})
+    top = 1  # ids used so far
     every = None
     for lvl in range(max_level + 1):
         adm = admissible() & F.lit(lvl >= least_level)
@@ -81,13 +82,14 @@ def build(rows: DataFrame, columns: DataFrame, admissible: Condition, least_leve
         sons = live.select("up", "rp", "cp", F.col("r_is_leaf").alias("rl"), F.col("c_is_leaf").alias("cl"))
         x = sons.join(r, F.when(F.col("rl"), F.col("r_cid") == F.col("rp")).otherwise((F.col("r_parent") == F.col("rp")) & (F.col("r_lvl") > 0))) if not same_level else sons.join(r.where("r_lvl > 0"), F.col("r_parent") == F.col("rp"))
         x = x.join(c, F.when(F.col("cl"), F.col("c_cid") == F.col("cp")).otherwise((F.col("c_parent") == F.col("cp")) & (F.col("c_lvl") > 0))) if not same_level else x.join(c.where("c_lvl > 0"), F.col("c_parent") == F.col("cp"))
-        front = settled(x.withColumn("bid", F.concat_ws("/", "up", F.concat_ws(",", F.col("r_cid").cast("string"), F.col("c_cid").cast("string")))).select(*r.columns, *c.columns, "bid", "up"))
-        if not front.limit(1).count():
+        # a level's pairs are numbered by their clusters, behind all levels before
+        found = ranks(settled(x.select(*r.columns, *c.columns, "up")), [], ["r_cid", "c_cid"], "bid")
+        front = settled(found.withColumn("bid", F.col("bid").cast("long") + (top - 1)))
+        made = front.count()
+        if not made:
             break
-    # ids in the order of levels and clusters, parents by join
-    key = every.select("bid", F.xxhash64("bid").alias("id"))
-    named = every.join(key, "bid").join(key.select(F.col("bid").alias("up"), F.col("id").alias("parent")), "up", "left")
-    return settled(named.select(F.col("id").alias("bid"), F.coalesce("parent", F.col("id")).alias("parent"), "lvl", "row_cid", "col_cid", "adm", "is_leaf"))
+        top += made
+    return settled(every.select("bid", F.col("up").alias("parent"), "lvl", "row_cid", "col_cid", "adm", "is_leaf"))
 
 
 def sparsity_constant(tree: DataFrame, admissible: bool | None = None) -> DataFrame:

@@ -138,14 +138,16 @@ def least_cut(edges: DataFrame) -> Split:
     return split
 
 
-def build(points: DataFrame, split: Split | None = None, leaf_size: int = LEAF_SIZE, least_level: int = 0, max_level: int = 40, interface: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build(points: DataFrame, split: Split | None = None, leaf_size: int = LEAF_SIZE, least_level: int = 0, max_level: int = 38, interface: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """A binary cluster tree of points (dof, x): (clusters, permutation).
 
     A cluster becomes a leaf at or below leaf_size, once at least_level is reached, or if a split leaves one side empty.
     With `interface` edges (src, dst), the points of the right side that touch the left one form a third son, so that the
-    first two are domains without contact (nested dissection).
+    first two are domains without contact (nested dissection). Ids have room for 62 levels, or 38 with an interface.
     """
     split = split or geometric()
+    if max_level > (62 if interface is None else 38):
+        raise ValueError("cluster ids have no room for so many levels")
     dim = points.select(F.size("x")).first()[0]
     now = settled(points.select("dof", F.transform("x", lambda v: v.cast("double")).alias("x"), F.lit(0).cast("long").alias("cid"), F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("first"), F.lit(interface is not None).alias("is_domain")))
     clusters, placed, base = [], [], 3 if interface is not None else 2

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -201,10 +202,20 @@ def from_coo(a: DataFrame, size: int) -> DataFrame:
 
 
 def gram(rows: DataFrame, column: str) -> DataFrame:
-    """(i, j, v) of R^T R for one array column, by partial sums of outer products: d*d groups whatever the row count."""
-    x = F.transform(F.col(column), lambda v: v.cast("double"))
-    pairs = rows.select(F.posexplode(x).alias("i", "a"), x.alias("_x")).select("i", "a", F.posexplode("_x").alias("j", "b"))
-    return pairs.groupBy(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    """(i, j, v) of R^T R for one array column: one product of matrices a task, then sums of d*d partial entries."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float)
+                x = flat.reshape(batch.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = (k.ravel() for k in np.indices(total.shape))
+            yield pa.record_batch([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "v"])
+
+    return rows.where(F.col(column).isNotNull()).select(column).mapInArrow(partial, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def tall_r(rows: DataFrame, column: str) -> np.ndarray:

@@ -140,20 +140,10 @@ def bisect_by_levels(e: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def bisect_spectral(e: DataFrame, every: DataFrame, iterations: int = 40) -> DataFrame:
-    """(node, side) by the sign order of an approximate Fiedler vector: power iteration on a shifted Laplacian, with the
-    constant vector taken out in each step."""
-    deg = e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
-    base = every.select("node").distinct().join(deg, "node", "left").select("node", F.coalesce("d", F.lit(0.0)).alias("d"))
-    shift = 2 * (base.agg(F.max("d")).first()[0] or 1.0)
-    x = settled(base.select("node", "d", (F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5).alias("v")))
-    for k in range(iterations):
-        near = e.join(x.select(F.col("node").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("s"))
-        y = x.join(near, "node", "left").select("node", "d", ((shift - F.col("d")) * F.col("v") + F.coalesce("s", F.lit(0.0))).alias("v"))
-        m, n = y.agg(F.avg("v"), F.sqrt(F.sum((F.col("v")) ** 2))).first()
-        y = y.select("node", "d", ((F.col("v") - m) / (n or 1.0)).alias("v"))
-        x = settled(y) if k % 5 == 4 or k == iterations - 1 else y
-    n = x.count()
-    return ranks(x, [], ["v", "node"]).select("node", F.when(F.col("rank") <= n // 2, 0).otherwise(1).alias("side"))
+    """(node, side) by the sign order of an approximate Fiedler vector."""
+    live = every.select("node").distinct().withColumn("cid", F.lit(0).cast("long"))
+    live = live.crossJoin(F.broadcast(live.agg(F.count("*").alias("n"))))
+    return spectral_parts(e.withColumn("cid", F.lit(0).cast("long")), live, iterations).select("node", "side")
 
 
 def pack_in_bins(sizes: list[int], bins: int = 2, steps: int = 20) -> list[int]:
@@ -217,43 +207,90 @@ def high_degree(e: DataFrame, factor: float) -> DataFrame:
     return d.crossJoin(F.broadcast(d.agg(F.avg("degree").alias("mean")))).where(F.col("degree") > factor * F.col("mean")).select("node")
 
 
-def algebraic_tree(e: DataFrame, every: DataFrame, leaf_size: int = 60, dissect: bool = False, spectral: bool = False, max_level: int = 12) -> tuple[DataFrame, DataFrame]:
+def within(e: DataFrame, sides: DataFrame) -> DataFrame:
+    """The edges inside the parts of (node, cid), each with its cid: one pass for all parts of a level."""
+    x = e.join(sides.select(F.col("node").alias("src"), F.col("cid")), "src").join(sides.select(F.col("node").alias("dst"), F.col("cid").alias("_c")), "dst")
+    return x.where("cid = _c").select("src", "dst", "w", "cid")
+
+
+def bisect_parts(inner: DataFrame, live: DataFrame) -> DataFrame:
+    """(node, cid, side) for all clusters (node, cid, n) of a level at once: breadth-first levels inside each component of
+    each cluster, components one after another, and the nearer half by count is side 0. With several components of nearly
+    equal size the cut falls between them by itself."""
+    parts = settled(connected_components(inner, live.select("node")))
+    own = live.join(parts, "node")
+    found = distances(inner, parts.select(F.col("component").alias("node")).distinct())
+    far = found.join(parts, "node").groupBy("component").agg(F.max_by("node", F.struct("distance", "node")).alias("node"))
+    levels = distances(inner, far.select("node"))
+    # larger components first, so that whole ones fill the first half
+    sizes = parts.groupBy("component").agg(F.count("*").alias("_size"))
+    ranked = ranks(own.join(sizes, "component").join(levels, "node"), ["cid"], [F.col("_size").desc(), "component", "distance", "node"])
+    return ranked.select("node", "cid", F.when(F.col("rank") <= F.floor(F.col("n") / 2), 0).otherwise(1).alias("side"))
+
+
+def spectral_parts(inner: DataFrame, live: DataFrame, iterations: int = 40) -> DataFrame:
+    """The same by the order of an approximate Fiedler vector of each cluster: power iteration on shifted Laplacians of all
+    clusters together, with each cluster's constant vector taken out."""
+    deg = inner.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("d"))
+    base = live.join(deg, "node", "left").select("node", "cid", "n", F.coalesce("d", F.lit(0.0)).alias("d"))
+    shifts = base.groupBy("cid").agg((2 * F.greatest(F.max("d"), F.lit(1.0))).alias("shift"))
+    x = settled(base.join(shifts, "cid").withColumn("v", F.pmod(F.xxhash64("node"), F.lit(1000)) / 1000.0 - 0.5))
+    for _ in range(iterations):
+        near = inner.join(x.select(F.col("node").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("v")).alias("s"))
+        y = x.join(near, "node", "left").withColumn("v", (F.col("shift") - F.col("d")) * F.col("v") + F.coalesce("s", F.lit(0.0))).drop("s")
+        y = settled(y)
+        means = y.groupBy("cid").agg(F.avg("v").alias("_m"), F.sqrt(F.sum(F.col("v") ** 2)).alias("_n"))
+        x = y.join(means, "cid").withColumn("v", (F.col("v") - F.col("_m")) / F.when(F.col("_n") > 0, F.col("_n")).otherwise(1.0)).drop("_m", "_n")
+    ranked = ranks(settled(x), ["cid"], ["v", "node"])
+    return ranked.select("node", "cid", F.when(F.col("rank") <= F.floor(F.col("n") / 2), 0).otherwise(1).alias("side"))
+
+
+def separators(inner: DataFrame, sides: DataFrame) -> DataFrame:
+    """sides (node, cid, side) with side 2 for the nodes of each cluster's larger side (on equal sizes, side 1) that touch
+    the other one."""
+    counts = sides.groupBy("cid").agg(F.sum("side").alias("_right"), F.count("*").alias("_all"))
+    big = counts.select("cid", F.when(2 * F.col("_right") >= F.col("_all"), 1).otherwise(0).alias("_big"))
+    touch = inner.join(sides.select(F.col("node").alias("src"), F.col("side").alias("_s")), "src").join(sides.select(F.col("node").alias("dst"), F.col("side").alias("_t")), "dst")
+    touch = touch.where("_s <> _t").select(F.col("src").alias("node")).distinct().withColumn("_touch", F.lit(True))
+    x = sides.join(big, "cid").join(touch, "node", "left")
+    return x.select("node", "cid", F.when((F.col("side") == F.col("_big")) & F.col("_touch"), 2).otherwise(F.col("side")).alias("side"))
+
+
+def algebraic_tree(e: DataFrame, every: DataFrame, leaf_size: int = 60, dissect: bool = False, spectral: bool = False, max_level: int = 38) -> tuple[DataFrame, DataFrame]:
     """Cluster tree (cid, parent, lvl, first, last, is_leaf, is_domain) and permutation from a graph alone.
 
-    Clusters are bisected one at a time on the driver's plan, each by distributed searches; with `dissect`, the vertex
-    separator becomes a third son and the other two are domains.
+    All clusters of a level are divided together, so a level costs as many jobs as one cluster's search, whatever the
+    number of clusters. With `dissect`, a cluster's vertex separator becomes a third son and the other two are domains.
+    A cluster is a leaf at or below leaf_size, or if a division leaves it whole; ids have room for 38 levels, and clusters
+    that are still too large there are an error.
     """
-    spark = e.sparkSession
-    clusters: list[tuple] = []
-    leaves: list[DataFrame] = []
-
-    def divide(cid: int, parent: int, lvl: int, first: int, own: DataFrame, domain: bool) -> None:
-        n = own.count()
-        leaf = n <= leaf_size or lvl >= max_level
-        if not leaf:
-            inner = settled(restrict(e, own))
-            sides = partition_components(inner, own)
-            if sides is None:
-                sides = (bisect_spectral if spectral else bisect_by_levels)(inner, own)
-            if dissect:
-                sep = vertex_separator(inner, sides).withColumn("_sep", F.lit(True))
-                sides = sides.join(sep, "node", "left").select("node", F.when(F.col("_sep"), 2).otherwise(F.col("side")).alias("side"))
-            sides = settled(sides)
-            counts = {r["side"]: r["count"] for r in sides.groupBy("side").count().collect()}
-            leaf = max(counts.values()) == n
-        clusters.append((cid, parent, lvl, first, first + n - 1, leaf, domain))
-        if leaf:
-            leaves.append(own.select("node", F.lit(first).cast("long").alias("first")))
-            return
-        at = first
-        for side in sorted(counts):
-            divide(3 * cid + 1 + side, cid, lvl + 1, at, settled(sides.where(F.col("side") == side).select("node")), domain and side < 2)
-            at += counts[side]
-
-    divide(0, 0, 0, 0, settled(every.select("node").distinct()), dissect)
-    tree = spark.createDataFrame(clusters, "cid long, parent long, lvl int, first long, last long, is_leaf boolean, is_domain boolean")
-    order = leaves[0]
-    for x in leaves[1:]:
-        order = order.unionByName(x)
-    rank = F.row_number().over(Window.partitionBy("first").orderBy("node")) - 1
-    return tree, settled(order.select(F.col("node").alias("e"), (F.col("first") + rank).cast("long").alias("i")))
+    base = 3 if dissect else 2
+    now = settled(every.select("node").distinct().select("node", *[F.lit(0).cast("long").alias(c) for c in ("cid", "parent", "first")], F.lit(dissect).alias("is_domain")))
+    clusters, placed = [], []
+    for lvl in range(max_level + 1):
+        here = now.groupBy("cid", "parent", "first", "is_domain").agg(F.count("*").alias("n"))
+        here = settled(here.withColumns({"lvl": F.lit(lvl), "is_leaf": F.col("n") <= leaf_size}))
+        live = settled(now.join(here.where("not is_leaf").select("cid", "n"), "cid"))
+        if not live.limit(1).count():
+            clusters.append(here)
+            placed.append(now.select("node", "cid", "first"))
+            break
+        if lvl == max_level:
+            raise ValueError(f"clusters of more than {leaf_size} nodes are left at level {max_level}")
+        inner = settled(within(e, live))
+        sides = settled((spectral_parts if spectral else bisect_parts)(inner, live.select("node", "cid", "n")))
+        sides = settled(separators(inner, sides)) if dissect else sides
+        counts = sides.groupBy("cid").agg(*[F.count(F.when(F.col("side") == s, 1)).alias(f"n{s}") for s in range(3)])
+        going = counts.where(F.greatest("n0", "n1", "n2") < F.col("n0") + F.col("n1") + F.col("n2"))
+        level = settled(here.join(going.select("cid", F.lit(True).alias("_go")), "cid", "left").withColumn("is_leaf", F.col("_go").isNull()).drop("_go"))
+        clusters.append(level)
+        placed.append(now.join(level.where("is_leaf").select("cid"), "cid", "left_semi").select("node", "cid", "first"))
+        start = F.when(F.col("side") == 0, 0).when(F.col("side") == 1, F.col("n0")).otherwise(F.col("n0") + F.col("n1"))
+        sons = sides.join(going, "cid").join(level.select("cid", "first", "is_domain"), "cid")
+        now = settled(sons.select("node", (F.col("cid") * base + 1 + F.col("side")).alias("cid"), F.col("cid").alias("parent"), (F.col("first") + start).alias("first"), (F.col("is_domain") & (F.col("side") < 2)).alias("is_domain")))
+    tree, order = clusters[0], placed[0]
+    for c, p in zip(clusters[1:], placed[1:], strict=True):
+        tree, order = tree.unionByName(c), order.unionByName(p)
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("node")) - 1
+    tree = tree.select("cid", "parent", "lvl", "first", (F.col("first") + F.col("n") - 1).alias("last"), "is_leaf", "is_domain")
+    return settled(tree), settled(order.select(F.col("node").alias("e"), (F.col("first") + rank).cast("long").alias("i")))

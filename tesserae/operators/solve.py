@@ -11,11 +11,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.linop import Operator
-from . import vector
+from . import coo, vector
 from .iterate import settled
 
 
@@ -335,25 +336,53 @@ def tfqmr(a: Operator, b: DataFrame, w: Operator | None = None, stop: Stop | Non
 
 
 def kaczmarz(a: Operator, b: DataFrame, w: Operator | None = None, stop: Stop | None = None, x0: DataFrame | None = None) -> tuple[DataFrame, Info]:
-    """Cyclic column relaxation: x_i -= <r, a_i> / <a_i, a_i> with a_i = W A e_i. Sequential by nature: for small systems."""
+    """Cyclic column relaxation: x_i -= <r, a_i> / <a_i, a_i> with a_i = W A e_i, the columns in the order of indices.
+
+    Sequential by nature, so a sweep runs in one task, over the columns as they stream by in order; between sweeps x and
+    the residual are tables. A must be a coordinate matrix (of any number of entries), and x must fit one task.
+    """
+    from ..plans import linop
+
+    if not isinstance(a, linop.Matrix):
+        raise TypeError("column relaxation needs the columns of a coordinate matrix")
     info, x = Info(stop or Stop()), _start(b, w, x0)
-    spark, indices = b.sparkSession, [r["i"] for r in b.select("i").distinct().orderBy("i").limit(10_001).collect()]
-    if len(indices) > 10_000:
-        raise ValueError("column relaxation goes through columns one by one; use another solver for large systems")
-    r = combine((-1.0, _residual(a, x, b)))
-    if info.done(norm(r)):
-        return x, info
+    entries = a.entries.select("i", "j", "v")
+    if w is not None:  # the columns of W A
+        if not isinstance(w, linop.Matrix):
+            raise TypeError("the preconditioner must be a coordinate matrix too")
+        entries = coo.matmul(w.entries, entries)
+    columns = entries.groupBy("j").agg(F.collect_list("i").alias("rows"), F.collect_list("v").alias("values"))
+    columns = settled(columns.repartitionByRange(1, "j").sortWithinPartitions("j"))
     while True:
-        for i in indices:
-            e = spark.createDataFrame([(i, 1.0)], "i long, v double")
-            ai = _prepared(w, settled(a.apply(e)))
-            ra, aa = dots((_prepared(w, r), ai), (ai, ai))
-            if aa == 0:
-                continue
-            x = combine((1.0, x), (-ra / aa, e))
-            r = combine((-1.0, _residual(a, x, b)))
-        if info.done(norm(r)):
+        r = combine((-1.0, _prepared(w, _residual(a, x, b))))
+        if info.done(norm(_residual(a, x, b))):
             return x, info
+        begin = r.select("i", "v").unionByName(x.select((-F.col("i") - 1).alias("i"), "v"))  # x under negative indices
+        lead = begin.agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("state"))
+
+        def sweep(frames):
+            state = None
+            for f in frames:
+                for j, rows, values, given in zip(f.j, f.rows, f["values"], f.state, strict=True):
+                    if given is not None:
+                        state = dict(given)
+                        continue
+                    rows, values = [int(k) for k in rows], np.asarray(values, float)
+                    aa = float(values @ values)
+                    if not aa:
+                        continue
+                    step = -float(values @ np.array([state.get(k, 0.0) for k in rows])) / aa
+                    for k, v in zip(rows, values, strict=True):
+                        state[k] = state.get(k, 0.0) + step * v
+                    state[-int(j) - 1] = state.get(-int(j) - 1, 0.0) + step
+            if state:
+                new = [(-k - 1, v) for k, v in state.items() if k < 0]
+                yield pd.DataFrame(new, columns=["i", "v"])
+
+        none = F.lit(None)
+        rows_ = lead.select(none.cast("long").alias("j"), none.cast("array<long>").alias("rows"), none.cast("array<double>").alias("values"), "state").unionByName(columns.withColumn("state", none.cast("map<bigint,double>")))
+        ordered = rows_.coalesce(1).sortWithinPartitions(F.col("j").asc_nulls_first())
+        x = settled(ordered.mapInPandas(sweep, "i long, v double"))
 
 
 def auto(a: Operator, b: DataFrame, w: Operator | None = None, stop: Stop | None = None, x0: DataFrame | None = None) -> tuple[DataFrame, Info]:
