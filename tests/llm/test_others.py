@@ -18,32 +18,42 @@ def test_language_accuracy_on_held_out(spark, sf):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
-def test_code_lengths_equal_a_plain_model():
-    import pyarrow as pa
-
-    text = b"abracadabra"
+def grams_of(text):
     padded = b"\0\0\0" + text
-    grams, counts = np.unique([int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(3, len(padded))], return_counts=True)
-    model = langid.Model(["x"], [grams.astype(np.int64)], [counts.astype(np.int64)])
-    symbol, s, _ = model.symbols()[0], model.symbols()[1], None
-    history = [tuple(symbol[c] for c in padded[i - 3 : i + 1]) for i in range(3, len(padded))]
+    found, counts = np.unique([int.from_bytes(padded[i - 3 : i + 1], "big") for i in range(3, len(padded))], return_counts=True)
+    return found.astype(np.int64), counts.astype(np.int64)
+
+
+def plain_bits(learned, probe):
+    """Code length of probe after learned, by counting symbols in lists: orders 3 to 0, method C, 256 bytes at the end."""
+    padded, chain = b"\0\0\0" + learned, b"\0\0\0" + probe
+    history = [padded[i - 3 : i + 1] for i in range(3, len(padded))]
 
     def p(context, x, order):
         if order < 0:
-            return 1 / s
+            return 1 / 256
         seen = [h[3] for h in history if h[3 - order : 3] == context[3 - order :]]
         if not seen:
             return p(context, x, order - 1)
         n, d = len(seen), len(set(seen))
         return seen.count(x) / (n + d) if x in seen else d / (n + d) * p(context, x, order - 1)
 
-    probe = b"bracadz"
-    chain = b"\0\0\0" + probe
-    bits = 0.0
-    for i in range(3, len(chain)):
-        bits -= np.log2(p(tuple(symbol[c] for c in chain[i - 3 : i]), symbol[chain[i]], 3))
-        bits += np.log2(max(1, 256 - (s - 1))) * (symbol[chain[i]] == s - 1)
-    assert np.isclose(langid.code_lengths(model, pa.array([probe.decode()]), block=3)[0][0, 0], bits, rtol=1e-5)
+    return -sum(np.log2(p(chain[i - 3 : i], chain[i], 3)) for i in range(3, len(chain)))
+
+
+def test_code_lengths_equal_a_plain_model():
+    import pyarrow as pa
+
+    learned = {"en": "abracadabra", "ru": "мама мыла раму, рама мала", "zh": "人人为我 我为人人", "xx": "ABRA cad\t%%%"}
+    pairs = [grams_of(t.encode()) for t in learned.values()]
+    model = langid.Model(list(learned), [g for g, _ in pairs], [c for _, c in pairs])
+    probes = ["bracadz", "ABRACADABRA", "рама мыла", "мы за мир", "为人", "人 a м", ""]
+    found, lengths = langid.code_lengths(model, pa.array(probes), block=5)
+    for k, probe in enumerate(probes):
+        assert lengths[k] == len(probe.encode())
+        for n, text in enumerate(learned.values()):
+            assert np.isclose(found[k, n], plain_bits(text.encode(), probe.encode()), rtol=1e-6)
+    assert found[:6].argmin(1).tolist()[:5] == [0, 3, 1, 1, 2]
 
 
 def test_every_byte_is_a_symbol_whatever_the_languages():

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from tesserae.llm.common import components, range_bucket
@@ -91,3 +92,13 @@ def test_stages_bear_edge_cases(spark, sf):
     for name, stage in p.STAGES:
         docs = p.written(stage(spark, docs, sf), f"edge-{name}")
     assert docs.count() > 0
+
+
+def test_no_column_name_of_the_documents_clashes(spark, sf):
+    """Extra columns with the names of working columns pass through every stage but the last unchanged."""
+    names = ["_removed", "_doc", "_text_hash", "_hash", "_finish", "id", "rid", "removed", "hash", "digest", "finish", "copies", "row", "first", "lang_pred_", "node", "token"]
+    docs = fixture(spark).select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    for name, stage in p.STAGES[:-1]:
+        docs = p.written(stage(spark, docs, sf), f"names-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names]
+        assert {tuple(r)[5:] for r in docs.collect()} == {tuple(range(len(names)))}
