@@ -1223,7 +1223,7 @@ def solver_query(name: str, **more) -> None:
     query(f"WITH {RANK1}")(run)
 
 
-for _name, _more in (("cg", {}), ("cgs", {}), ("bicgstab", {}), ("minres", {}), ("gmres", {}), ("tfqmr", {}), ("linear", {"damping": 0.9}), ("auto", {})):
+for _name, _more in (("kaczmarz", {}), ("cg", {}), ("cgs", {}), ("bicgstab", {}), ("minres", {}), ("gmres", {}), ("tfqmr", {}), ("linear", {"damping": 0.9}), ("auto", {})):
     solver_query(_name, **_more)
 
 
