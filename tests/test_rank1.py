@@ -1,10 +1,11 @@
 """Products of two vectors as operators, and the queries that solve with one."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tesserae.operators import coo, solve
-from tesserae.plans import linop
+from tesserae.plans import linop, queries
 
 
 def vec(spark, x):
@@ -44,3 +45,11 @@ def test_column_relaxation_with_products(spark, weighed):
         for j in range(n):
             expected[j] -= wa[:, j] @ (wa @ expected - wb) / (wa[:, j] @ wa[:, j])
     assert info.steps == 2 and np.allclose(values(x, n), expected)
+
+
+def test_solver_queries_never_form_the_product(spark, tmp_path):
+    """300 suppliers have 90,000 pairs; the system keeps one entry a supplier."""
+    pd.DataFrame({"s_suppkey": np.arange(300), "s_nationkey": (np.arange(300) % 25).astype(np.int32), "s_acctbal": np.linspace(-999, 9999, 300)}).to_parquet(tmp_path / "supplier.parquet")
+    a, _, _ = queries.rank1_system(spark, str(tmp_path))
+    kept = [t.entries.count() for _, _, t in a.terms if isinstance(t, linop.Matrix)]
+    assert kept == [300] and a.is_self_adjoint()
