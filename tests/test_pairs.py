@@ -6,7 +6,7 @@ import re
 import numpy as np
 
 from tesserae.functions import kernels
-from tesserae.operators import iterate
+from tesserae.operators import coo, iterate
 
 
 def plan(df):
@@ -54,3 +54,16 @@ def test_rounding_of_many_rows(spark):
     assert all(math.copysign(1, r.a) == 1 for r in found if r.a == 0)
     odd = spark.createDataFrame([(None,), (float("nan"),)], "v double").select(iterate.rounded(iterate.F.col("v"), 4).alias("a")).collect()
     assert odd[0].a is None and math.isnan(odd[1].a)
+
+
+def test_rank1_pairs_beyond_the_matrix_are_not_grouped(spark):
+    """Entries at known and unknown rows and columns; sums only where a has both."""
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 3, 2.0), (9, 1, 4.0)], "i long, j long, v double")
+    x = spark.createDataFrame([(k, k + 1.0) for k in range(4)], "i long, v double")
+    found = coo.add_rank1(a, 2.0, x, x)
+    expected = {(i, j): 2.0 * (i + 1) * (j + 1) for i in range(4) for j in range(4)}
+    for i, j, v in ((0, 0, 1.0), (0, 3, 2.0), (9, 1, 4.0)):
+        expected[i, j] = expected.get((i, j), 0.0) + v
+    assert {(r.i, r.j): r.v for r in found.collect()} == expected and found.count() == len(expected)
+    text = plan(found)
+    assert text.count("NestedLoopJoin") >= 3 and "SortMergeJoin" not in text
