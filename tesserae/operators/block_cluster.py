@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .iterate import ranks, settled
+from .iterate import RANKED_ROWS, ranks, settled
+
+#: Pairs that one task refines.
+PAIRS_A_TASK = 4096
 
 Condition = Callable[[], Column]
 
@@ -69,26 +72,32 @@ def build(rows: DataFrame, columns: DataFrame, admissible: Condition, least_leve
         return settled(tree.select(*[F.col(c).alias(f"{p}_{c}") for c in columns_], F.col("lvl").alias(f"{p}_lvl")))
 
     r, c = side(rows, "r"), side(columns, "c")
-    front = r.where("r_lvl = 0").crossJoin(c.where("c_lvl = 0")).withColumns({"bid": F.lit(0).cast("long"), "up": F.lit(0).cast("long")})
-    top = 1  # ids used so far
+    front = r.where("r_lvl = 0").crossJoin(c.where("c_lvl = 0")).withColumn("up", F.lit(0).cast("long"))
+    top, most = 0, 1  # ids used so far, and the most pairs that the next level can have
     every = None
     for lvl in range(max_level + 1):
         adm = admissible() & F.lit(lvl >= least_level)
         small = (F.col("r_is_leaf") | F.col("c_is_leaf")) if same_level else (F.col("r_is_leaf") & F.col("c_is_leaf"))
-        judged = settled(front.withColumn("adm", adm).withColumn("is_leaf", F.col("adm") | small).withColumn("lvl", F.lit(lvl)))
+        tested = front.withColumn("adm", adm).withColumn("is_leaf", F.col("adm") | small)
+        # a level's pairs are numbered by their clusters, behind all levels before
+        order = ["r_cid", "c_cid"]
+        if most <= RANKED_ROWS:  # known without counting them
+            found = tested.withColumn("bid", F.row_number().over(Window.orderBy(*order)))
+        else:
+            found = ranks(settled(tested), [], order, "bid")
+        judged = settled(found.withColumns({"bid": F.col("bid").cast("long") + (top - 1), "lvl": F.lit(lvl)}))
+        made, going = judged.agg(F.count("*"), F.count(F.when(~F.col("is_leaf"), 1))).first()
         out = judged.select("bid", "up", "lvl", F.col("r_cid").alias("row_cid"), F.col("c_cid").alias("col_cid"), "adm", "is_leaf")
         every = out if every is None else every.unionByName(out)
-        live = judged.where("not is_leaf").select(F.col("bid").alias("up"), F.col("r_cid").alias("rp"), F.col("c_cid").alias("cp"), "r_is_leaf", "c_is_leaf")
-        sons = live.select("up", "rp", "cp", F.col("r_is_leaf").alias("rl"), F.col("c_is_leaf").alias("cl"))
+        if not going:
+            break
+        top, most = top + made, going * 9  # at most three sons on each side
+        sons = judged.where("not is_leaf").select(F.col("bid").alias("up"), F.col("r_cid").alias("rp"), F.col("c_cid").alias("cp"), F.col("r_is_leaf").alias("rl"), F.col("c_is_leaf").alias("cl"))
+        if going > PAIRS_A_TASK:  # numbering left them in one task
+            sons = sons.repartition(-(-going // PAIRS_A_TASK))
         x = sons.join(r, F.when(F.col("rl"), F.col("r_cid") == F.col("rp")).otherwise((F.col("r_parent") == F.col("rp")) & (F.col("r_lvl") > 0))) if not same_level else sons.join(r.where("r_lvl > 0"), F.col("r_parent") == F.col("rp"))
         x = x.join(c, F.when(F.col("cl"), F.col("c_cid") == F.col("cp")).otherwise((F.col("c_parent") == F.col("cp")) & (F.col("c_lvl") > 0))) if not same_level else x.join(c.where("c_lvl > 0"), F.col("c_parent") == F.col("cp"))
-        # a level's pairs are numbered by their clusters, behind all levels before
-        found = ranks(settled(x.select(*r.columns, *c.columns, "up")), [], ["r_cid", "c_cid"], "bid")
-        front = settled(found.withColumn("bid", F.col("bid").cast("long") + (top - 1)))
-        made = front.count()
-        if not made:
-            break
-        top += made
+        front = x.select(*r.columns, *c.columns, "up")
     return settled(every.select("bid", F.col("up").alias("parent"), "lvl", "row_cid", "col_cid", "adm", "is_leaf"))
 
 
