@@ -4,14 +4,15 @@ A line is the set of its lower-cased words; a line is removed if an earlier line
 number) has the same set or one of Jaccard similarity SIMILARITY or more. Blank lines stay.
 
 Lines with equal sets form a class, stood for by its first line; classes are numbered in the order of these. Tokens are
-ordered by rarity, estimated by a table of word counts of fixed size, long words first among equals. Two sets that are
-similar enough share one of the first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined. A shared
-token at positions i and j bounds the overlap by 1 + min(m - i, n - j) (positional filter), sizes must be within t of each
-other (length filter), and the parities of hashed tokens bound the symmetric difference from below. What is left is
-verified on all words, by their 64-bit hashes. Tables are deleted as soon as their last reader is written.
-
-A token in very many prefixes never yields all its pairs: each class is first compared with the earliest class of each of
-its tokens, and only those that stay unresolved are then joined with all earlier ones.
+ordered by rarity, estimated by a table of word counts of fixed size. Two sets that are similar enough share one of the
+first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined, with themselves, so that one shuffle
+serves both sides. A shared token at positions i and j bounds the overlap by min(m - i, n - j) (positional filter), sizes
+must be within t of each other (length filter), and the parities of hashed tokens bound the symmetric difference from
+below. What is left is verified on all words, by their 64-bit hashes. Tables are deleted as soon as their last reader is
+written.
+
+A token in more than HOT prefixes never yields all its pairs: each class is first compared with the earliest class of each
+of its hot tokens, and only those that stay unresolved are then joined with all earlier ones.
 """
 
 from __future__ import annotations
@@ -26,14 +27,22 @@ from .common import dropped, if_small, written
 #: 5 * common >= 4 * union, a Jaccard similarity of 0.8; entries of the table of word counts.
 OVER, UNDER = 5, 4
 COUNTERS = 1 << 17
+#: Prefixes that may hold a token for all its pairs to be compared at once; words above which a set has 128 parities, not 64.
+HOT = 1_000
+LONG = 64
 
 
-def line_words(line: Column) -> Column:
-    """The lower-cased words of a line; white space is made one character first, since splitting at one needs no pattern."""
-    line = F.lower(line)
-    for space in "\t\n\v\f\r":
-        line = F.replace(line, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(line, " "), "")
+def spaced(text: Column, spaces: str = "\t\n\v\f\r") -> Column:
+    """Lower-cased text with white space made one character, since splitting at one needs no pattern; a null text is empty."""
+    text = F.lower(F.coalesce(text, F.lit("")))
+    for space in spaces:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return text
+
+
+def word_hashes(line: Column) -> Column:
+    """The set of the hashes of the words of a spaced line."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def shift(x: Column, by: Column | int) -> Column:
@@ -41,30 +50,29 @@ def shift(x: Column, by: Column | int) -> Column:
 
 
 def rarity_table(docs: DataFrame) -> bytes:
-    """A byte for each counter: the logarithm of how many words of the corpus fall on it, between 1 and 127. Counters up to
-    four times the mean say no more than that a word is not frequent, and get 1."""
-    word = docs.select(F.explode(line_words(F.coalesce("text", F.lit("")))).alias("word"))
-    counts = word.groupBy(F.pmod(F.xxhash64("word"), F.lit(COUNTERS)).alias("counter")).agg(F.count("*").alias("n")).collect()
+    """A byte for each counter: the logarithm of how many words of the corpus fall on it, between 1 and 127."""
+    word = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("word")).where("word <> ''")
+    counter = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")
     table = bytearray(b"\1" * COUNTERS)
-    common = 4 * sum(n for _, n in counts) / COUNTERS
-    for counter, n in counts:
-        table[counter] = min(127, 1 + int(4 * math.log2(1 + n))) if n > common else 1
+    for counter, n in word.groupBy(counter).agg(F.count("*").alias("n")).collect():
+        table[counter] = min(127, 1 + int(4 * math.log2(1 + n)))
     return bytes(table)
 
 
-def token(word: Column, table: bytes) -> Column:
-    """A positive long that sorts rarest and longest first: 7 bits of count, 6 of length, 50 of hash."""
-    h = F.xxhash64(word)
-    level = F.ascii(F.substring(F.lit(table), F.pmod(h, F.lit(COUNTERS)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
-    length = (F.lit(63) - F.least(F.char_length(word), F.lit(63))).cast("long")
-    return shift(level, 56).bitwiseOR(shift(length, 50)).bitwiseOR(h.bitwiseAND(F.lit((1 << 50) - 1)))
+def token(h: Column, table: bytes) -> Column:
+    """A positive long that sorts rarest first, of the hash of a word: 7 bits of count, 56 of hash."""
+    level = F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    return shift(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
-def parity(tokens: Column, half: int) -> Column:
-    """64 parities: bit b tells whether an odd number of tokens hash to it; `half` picks which tokens count."""
+def parities(tokens: Column, n: Column) -> tuple[Column, Column]:
+    """Parities of how many tokens hash to each of 64 bits: of all tokens and 0, or for over LONG tokens of each half. The two
+    together always make the parities of all."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    bit = lambda x: F.when(x.bitwiseAND(F.lit(64)) == 64 * half, shift(one, x.bitwiseAND(F.lit(63)))).otherwise(none)
-    return F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(bit(x)))
+    place = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
+    whole = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, place(x))))
+    half = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), place(x))))
+    return whole, F.when(n > LONG, half).otherwise(none)
 
 
 def needed(n: Column) -> Column:
@@ -73,20 +81,14 @@ def needed(n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """One row a line: doc_id, rid, line_no, digest, n, k1, k2 (hashes of the token set), p0, p1, prefix."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "rid", "line_no", F.unhex(F.md5("line")).alias("digest"), F.sort_array(F.array_distinct(F.transform(line_words(F.col("line")), lambda w: token(w, table)))).alias("tokens"))
+    """One row a line: doc_id, rid, line_no, n, k1, k2 (hashes of the token set), p0, p1, prefix."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(spaced(F.col("text"), "\t\v\f\r"), "\n")).alias("line_no", "line"))
+    rows = rows.select("doc_id", "rid", "line_no", F.sort_array(F.transform(word_hashes(F.col("line")), lambda h: token(h, table))).alias("tokens"))
     n = F.size("tokens")
+    whole, half = parities(F.col("tokens"), n)
     cut = F.slice("tokens", F.lit(1), F.when(n > 0, n - needed(n) + 1).otherwise(0))
-    tokens = F.col("tokens")
-    return rows.select("doc_id", "rid", "line_no", "digest", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), parity(tokens, 0).alias("p0"), parity(tokens, 1).alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
-
-
-def postings_of(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Prefix postings (node, token, at, n, p0, p1) of each class's first line; `at` counts from 0."""
-    same = lines["doc_id"].eqNullSafe(firsts["doc_id"]) & (lines["rid"] == firsts["rid"]) & (lines["line_no"] == firsts["line_no"]) & (lines["k1"] == firsts["k1"]) & (lines["k2"] == firsts["k2"])
-    one = lines.where("n > 0").join(firsts, same).select("node", lines["n"], lines["p0"], lines["p1"], lines["prefix"])
-    return one.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
+    rows = rows.select("doc_id", "rid", "line_no", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), whole.alias("whole"), half.alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
+    return rows.select("doc_id", "rid", "line_no", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "prefix")
 
 
 def passes(x: str, y: str) -> Column:
@@ -95,17 +97,24 @@ def passes(x: str, y: str) -> Column:
     m, n = c(x, "n"), c(y, "n")
     overlap = F.ceil(F.lit(UNDER) * (m + n) / F.lit(OVER + UNDER))
     bound = F.least(m - c(x, "at"), n - c(y, "at"))
-    differ = F.bit_count(c(x, "p0").bitwiseXOR(c(y, "p0"))) + F.bit_count(c(x, "p1").bitwiseXOR(c(y, "p1")))
+    low, high = c(x, "p0").bitwiseXOR(c(y, "p0")), c(x, "p1").bitwiseXOR(c(y, "p1"))
+    differ = F.when(F.least(m, n) > LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
     return (F.least(m, n) * OVER >= F.greatest(m, n) * UNDER) & (bound >= overlap) & (differ <= m + n - 2 * overlap)
 
 
+def pairs_of(late: DataFrame, early: DataFrame) -> DataFrame:
+    """Pairs (early, late) of classes with postings of one token that pass the filters."""
+    both = late.alias("x").join(early.alias("y"), F.col("x.token") == F.col("y.token"))
+    return both.where((F.col("y.node") < F.col("x.node")) & passes("x", "y")).select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
+
+
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
     """Of written pairs (early, late) of classes, those whose word sets, as sets of 64-bit hashes, are similar, written. Drops the pairs."""
     nodes = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
     places = written(nodes.join(firsts.select("node", "doc_id", "rid", "line_no"), "node"), f"{label}-places")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
     found = texts.join(if_small(places), texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["rid"] == places["rid"]))
-    words = F.array_distinct(F.transform(line_words(F.get(F.split("text", "\n"), F.col("line_no"))), lambda w: F.xxhash64(w)))
+    words = word_hashes(spaced(F.get(F.split("text", "\n"), F.col("line_no"))))
     sets = written(found.select("node", words.alias("words")).dropDuplicates(["node"]), f"{label}-sets")
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
     common = F.size(F.array_intersect("a", "b"))
@@ -114,6 +123,21 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -
     return found
 
 
+def hot_repeats(postings: DataFrame, similar: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+    """The nodes of `similar` and those that are similar to an earlier class with which they share a hot token."""
+    here = Window.partitionBy("token")
+    whole = F.struct("node", "n", "at", "p0", "p1")
+    shared = postings.withColumn("x", whole).withColumn("y", F.min("x").over(here))
+    shared = written(shared.select("token", "x", F.col("y.node").alias("first"), ((F.col("y.node") < F.col("x.node")) & passes("x", "y")).alias("star")), f"{label}-postings")
+    stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-stars")
+    resolved = written(similar.union(verified(stars, firsts, docs, f"{label}-2")).distinct(), f"{label}-resolved")
+    flat = shared.select("token", "x.*", "first")
+    late = flat.where("node > first").join(if_small(resolved), "node", "left_anti")
+    pairs = written(pairs_of(late, flat), f"{label}-hot-pairs")
+    dropped(shared)
+    return resolved.union(verified(pairs, firsts, docs, f"{label}-3"))
+
+
 def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     """Decisions on docs (doc_id, text): doc_id, rid (hash of the text), n_lines, removed (line numbers from 0), and
     lines (line_no, digest, removed), once for each distinct (doc_id, text).
@@ -121,34 +145,32 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     A null text has one blank line. A null doc_id comes first. Lines at equal places of repeated rows are one line. An
     empty table gives no rows; other columns are ignored.
     """
-    lines = written(lines_of(docs, rarity_table(docs)), f"{label}-all")
-    place = F.struct("doc_id", "rid", "line_no")
-    firsts = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(place).alias("f"))
-    firsts = firsts.select("k1", "k2", "f.*").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
+    lines = lines_of(docs, rarity_table(docs))
+    same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")]
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("f"), *same)
+    firsts = firsts.where("n > 0").select("f.*", "n", "p0", "p1", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
     # ids that ascend with the place, kept by writing them
     firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
 
-    here = Window.partitionBy("token")
-    whole = F.struct("node", "n", "at", "p0", "p1")
-    shared = postings_of(lines, firsts).withColumn("y", F.min(whole).over(here)).withColumn("x", whole).withColumn("df", F.count("*").over(here))
-    shared = written(shared.where("df > 1").select("token", "x", F.col("y.node").alias("first"), (F.col("x.node") > F.col("y.node")).__and__(passes("x", "y")).alias("star")), f"{label}-postings")
-    stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-stars")
-    resolved = verified(stars, firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
-
-    flat = shared.select("token", "x.*", "first")
-    late = flat.where("node > first").join(resolved, "node", "left_anti").select("token", whole.alias("x"))
-    early = flat.select("token", whole.alias("y"))
-    pairs = late.join(early, "token").where((F.col("y.node") < F.col("x.node")) & passes("x", "y"))
-    pairs = written(pairs.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-pairs")
-    dropped(shared)
-    removed = resolved.union(verified(pairs, firsts, docs, f"{label}-2").select("late")).distinct().withColumn("similar", F.lit(True))
-
-    marks = firsts.join(removed, "node", "left").select("k1", "k2", F.struct("doc_id", "rid", "line_no").alias("first"), F.coalesce("similar", F.lit(False)).alias("similar"))
-    judged = lines.where("n > 0").join(marks, ["k1", "k2"]).withColumn("removed", F.col("similar") | ~place.eqNullSafe(F.col("first")))
-    # blank lines, which are all alike, stay out of the join
-    blank = lines.where("n = 0").withColumn("removed", F.lit(False))
-    judged = judged.select("doc_id", "rid", "line_no", "digest", "removed").unionByName(blank.select("doc_id", "rid", "line_no", "digest", "removed"))
-    each = judged.groupBy("doc_id", "rid").agg(F.array_sort(F.collect_set(F.struct("line_no", "digest", "removed"))).alias("lines"))
+    tokens = firsts.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    hot = written(tokens.where(F.col("count") > HOT).select("token"), f"{label}-hot")
+    postings = firsts.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
+    any_hot = bool(hot.head(1))
+    cold = postings.join(if_small(hot), "token", "left_anti") if any_hot else postings
+    pairs = written(pairs_of(cold, cold), f"{label}-pairs")
+    similar = verified(pairs, firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
+    if any_hot:
+        similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, docs, label)
+    dropped(hot)
+
+    # a line with words stays if it is its class's first and no earlier class is similar
+    kept = firsts.join(if_small(similar), "node", "left_anti").select("doc_id", "rid", F.col("line_no").alias("kept"))
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.unhex(F.md5(x)).alias("digest"), (F.btrim(x, F.lit(" \t\n\v\f\r")) == "").alias("blank")))
+    own = docs.select("doc_id", F.xxhash64("text").alias("rid"), words.alias("all"))
+    each = own.withColumn("kept", F.lit(None).cast("int")).unionByName(kept, allowMissingColumns=True)
+    each = each.groupBy("doc_id", "rid").agg(F.first("all", ignorenulls=True).alias("all"), F.collect_set("kept").alias("kept"))
+    lines = F.transform("all", lambda x: F.struct(x["line_no"].alias("line_no"), x["digest"].alias("digest"), (~x["blank"] & ~F.array_contains("kept", x["line_no"])).alias("removed")))
+    each = each.select("doc_id", "rid", lines.alias("lines"))
     gone = F.transform(F.filter("lines", lambda x: x["removed"]), lambda x: x["line_no"])
     return each.select("doc_id", "rid", F.size("lines").alias("n_lines"), gone.alias("removed"), "lines")
 

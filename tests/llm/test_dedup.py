@@ -202,3 +202,21 @@ def test_line_dedup_edge_cases(spark):
     assert kept == {(1, "a b c d e f g h i j\n"), (2, ""), (3, ""), (4, None), (None, "x Y"), (2, "other")}
     assert line_dedup.without_repeats(fixture(spark), line_dedup.find_repeats(fixture(spark))).count() == len(TEXTS)
     assert line_dedup.find_repeats(empty(spark)).count() == 0 and DOCS
+
+
+def test_line_dedup_tells_rare_words_apart(spark):
+    # counters up to four times the mean are told apart too
+    table = line_dedup.rarity_table(spark.range(400_000).selectExpr("id as doc_id", "concat('w', id) as text"))
+    assert table.count(1) < line_dedup.COUNTERS / 2 and min(table) == 1
+
+
+def test_line_dedup_hot_tokens_equal_all_pairs(spark, monkeypatch):
+    base = [f"word{i}" for i in range(20)]
+    lines = [" ".join(base[:k] + [f"x{k}{j}" for j in range(20 - k)]) for k in range(12, 21)] + [" ".join(base[1:]), " ".join(base[2:] + ["y"])]
+    docs = spark.createDataFrame([(i, f"{line}\nown{i} line{i}") for i, line in enumerate(lines)], "doc_id long, text string")
+    sets = [set(line.split()) for line in lines]
+    expected = {i: [0] if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:i]) else [] for i, b in enumerate(sets)}
+    for hot in (1, 3, 1_000):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, f"hot{hot}").collect()} == expected
+    assert 0 < sum(map(len, expected.values())) < len(lines)
