@@ -129,13 +129,13 @@ def hot_repeats(postings: DataFrame, similar: DataFrame, firsts: DataFrame, docs
     whole = F.struct("node", "n", "at", "p0", "p1")
     shared = postings.withColumn("x", whole).withColumn("y", F.min("x").over(here))
     shared = written(shared.select("token", "x", F.col("y.node").alias("first"), ((F.col("y.node") < F.col("x.node")) & passes("x", "y")).alias("star")), f"{label}-postings")
-    stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-stars")
-    resolved = written(similar.union(verified(stars, firsts, docs, f"{label}-2")).distinct(), f"{label}-resolved")
+    stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-hot-stars")
+    resolved = written(similar.union(verified(stars, firsts, docs, f"{label}-3")).distinct(), f"{label}-resolved")
     flat = shared.select("token", "x.*", "first")
     late = flat.where("node > first").join(if_small(resolved), "node", "left_anti")
     pairs = written(pairs_of(late, flat), f"{label}-hot-pairs")
     dropped(shared)
-    return resolved.union(verified(pairs, firsts, docs, f"{label}-3"))
+    return resolved.union(verified(pairs, firsts, docs, f"{label}-4"))
 
 
 def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
@@ -158,7 +158,12 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     any_hot = bool(hot.head(1))
     cold = postings.join(if_small(hot), "token", "left_anti") if any_hot else postings
     pairs = written(pairs_of(cold, cold), f"{label}-pairs")
-    similar = verified(pairs, firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
+    # of near copies of one line most are settled by their earliest candidate; only the others need all of theirs
+    star = written(pairs.groupBy("late").agg(F.min("early").alias("early")), f"{label}-stars")
+    settled = verified(star, firsts, docs, f"{label}-1")
+    rest = written(pairs.join(if_small(settled), "late", "left_anti").select("early", "late"), f"{label}-rest")
+    dropped(pairs)
+    similar = settled.union(verified(rest, firsts, docs, f"{label}-2")).select(F.col("late").alias("node"))
     if any_hot:
         similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, docs, label)
     dropped(hot)
