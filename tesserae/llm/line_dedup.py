@@ -11,6 +11,10 @@ must be within t of each other (length filter), and the parities of hashed token
 below. What is left is verified on all words, by their 64-bit hashes. Tables are deleted as soon as their last reader is
 written.
 
+All pairs of near copies of one line would grow with the square of their number. So each class is first compared with the
+first class that has the same two smallest, next two smallest or two largest hashes of words; the join only makes pairs
+whose later class is not settled by that.
+
 A token in more than HOT prefixes never yields all its pairs: each class is first compared with the earliest class of each
 of its hot tokens, and only those that stay unresolved are then joined with all earlier ones.
 """
@@ -59,9 +63,14 @@ def rarity_table(docs: DataFrame) -> bytes:
     return bytes(table)
 
 
-def token(h: Column, table: bytes) -> Column:
+def levels_of(table: bytes) -> Column:
+    """The table as an array, which is folded into one literal and read at an index, without a string for each word."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
+
+
+def token(h: Column, levels: Column) -> Column:
     """A positive long that sorts rarest first, of the hash of a word: 7 bits of count, 56 of hash."""
-    level = F.ascii(F.substring(F.lit(table), h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long")
+    level = F.get(levels, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long")
     return shift(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
@@ -81,14 +90,20 @@ def needed(n: Column) -> Column:
 
 
 def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """One row a line: doc_id, rid, line_no, n, k1, k2 (hashes of the token set), p0, p1, prefix."""
+    """One row a line: doc_id, rid, line_no, n, k1, k2 (hashes of the token set), p0, p1, low, next, high (of the two
+    smallest, next two and two largest hashes of words), prefix."""
+    levels = levels_of(table)
     rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(spaced(F.col("text"), "\t\v\f\r"), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "rid", "line_no", F.sort_array(F.transform(word_hashes(F.col("line")), lambda h: token(h, table))).alias("tokens"))
+    rows = rows.select("doc_id", "rid", "line_no", F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
+    n = F.size("hashes")
+    two = lambda i, j: F.hash(F.get("hashes", i), F.get("hashes", j))
+    ends = [two(F.lit(0), F.lit(1)).alias("low"), F.when(n > 3, two(F.lit(2), F.lit(3))).alias("next"), two(n - 1, n - 2).alias("high")]
+    rows = rows.select("doc_id", "rid", "line_no", *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
     n = F.size("tokens")
     whole, half = parities(F.col("tokens"), n)
     cut = F.slice("tokens", F.lit(1), F.when(n > 0, n - needed(n) + 1).otherwise(0))
-    rows = rows.select("doc_id", "rid", "line_no", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), whole.alias("whole"), half.alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
-    return rows.select("doc_id", "rid", "line_no", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "prefix")
+    rows = rows.select("doc_id", "rid", "line_no", "low", "next", "high", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), whole.alias("whole"), half.alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
+    return rows.select("doc_id", "rid", "line_no", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "low", "next", "high", "prefix")
 
 
 def passes(x: str, y: str) -> Column:
@@ -102,10 +117,20 @@ def passes(x: str, y: str) -> Column:
     return (F.least(m, n) * OVER >= F.greatest(m, n) * UNDER) & (bound >= overlap) & (differ <= m + n - 2 * overlap)
 
 
-def pairs_of(late: DataFrame, early: DataFrame) -> DataFrame:
-    """Pairs (early, late) of classes with postings of one token that pass the filters."""
+def pairs_of(late: DataFrame, early: DataFrame, wanted: Column | bool = True) -> DataFrame:
+    """Pairs (early, late) of classes with postings of one token that pass the filters and, if given, the condition."""
     both = late.alias("x").join(early.alias("y"), F.col("x.token") == F.col("y.token"))
-    return both.where((F.col("y.node") < F.col("x.node")) & passes("x", "y")).select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
+    both = both.where((F.col("y.node") < F.col("x.node")) & passes("x", "y") & wanted)
+    return both.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
+
+
+def near_pairs(firsts: DataFrame) -> DataFrame:
+    """Pairs (early, late) of classes that pass the filters, the early one the first with the late one's `low`, `next` or `high`."""
+    here = Window.partitionBy("key").orderBy("x.node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one = F.struct("node", "n", F.lit(0).alias("at"), "p0", "p1")
+    rows = firsts.select(F.explode(F.array_compact(F.array("low", "next", "high"))).alias("key"), one.alias("x")).select("x", F.first("x").over(here).alias("y"))
+    rows = rows.where((F.col("y.node") < F.col("x.node")) & passes("x", "y"))
+    return rows.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
 
 
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
@@ -146,9 +171,9 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     lines = lines_of(docs, rarity_table(docs))
-    same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "prefix")]
+    same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "low", "next", "high", "prefix")]
     firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("f"), *same)
-    firsts = firsts.where("n > 0").select("f.*", "n", "p0", "p1", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
+    firsts = firsts.where("n > 0").select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
     # ids that ascend with the place, kept by writing them
     firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
 
@@ -157,13 +182,18 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     postings = firsts.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
     any_hot = bool(hot.head(1))
     cold = postings.join(if_small(hot), "token", "left_anti") if any_hot else postings
-    pairs = written(pairs_of(cold, cold), f"{label}-pairs")
-    # of near copies of one line most are settled by their earliest candidate; only the others need all of theirs
+    # near copies of one line share rare tokens, all pairs of them would grow with the square of their number: most are
+    # settled by the first class with the same smallest or largest hashes, and only the others are joined
+    settled = verified(written(near_pairs(firsts), f"{label}-near"), firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
+    marks = if_small(settled.withColumn("settled", F.lit(True)))
+    cold = cold.join(marks, "node", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
+    pairs = written(pairs_of(cold, cold, F.col("x.open")), f"{label}-pairs")
+    # of the others too most are settled by their earliest candidate
     star = written(pairs.groupBy("late").agg(F.min("early").alias("early")), f"{label}-stars")
-    settled = verified(star, firsts, docs, f"{label}-1")
-    rest = written(pairs.join(if_small(settled), "late", "left_anti").select("early", "late"), f"{label}-rest")
+    again = verified(star, firsts, docs, f"{label}-2")
+    rest = written(pairs.join(if_small(again), "late", "left_anti").select("early", "late"), f"{label}-rest")
     dropped(pairs)
-    similar = settled.union(verified(rest, firsts, docs, f"{label}-2")).select(F.col("late").alias("node"))
+    similar = settled.union(again.select("late")).union(verified(rest, firsts, docs, f"{label}-5").select("late"))
     if any_hot:
         similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, docs, label)
     dropped(hot)

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tesserae.llm import line_dedup, minhash, queries, shingles, suffix_dedup
+from tesserae.llm import common, line_dedup, minhash, queries, shingles, suffix_dedup
 from tesserae.llm.suffix_grouping import suffix_array
 
 from .helpers import DOCS, TEXTS, empty, fixture
@@ -220,3 +220,22 @@ def test_line_dedup_hot_tokens_equal_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(line_dedup, "HOT", hot)
         assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, f"hot{hot}").collect()} == expected
     assert 0 < sum(map(len, expected.values())) < len(lines)
+
+
+def test_line_dedup_near_copies_make_no_square_of_pairs(spark, monkeypatch):
+    base = [f"word{i}" for i in range(30)]
+    copies = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(30)] + [" ".join([*base, f"y{k}", f"z{k}"]) for k in range(170)]
+    docs = spark.createDataFrame([(i, f"own{i} line{i}\n{line}") for i, line in enumerate(copies)], "doc_id long, text string")
+    made = {}
+
+    def counted(df, label, *more):
+        out = common.written(df, label, *more)
+        made[label] = out.count() if {"early", "late"} == set(df.columns) else 0
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    sets = [set(line.split()) for line in copies]
+    expected = {i: [1] if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:i]) else [] for i, b in enumerate(sets)}
+    assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, "near").collect()} == expected
+    # each copy has up to eight prefix tokens; all pairs of 200 are 19,900
+    assert 150 < sum(made.values()) < 8 * 200
