@@ -3,7 +3,8 @@
 A line is the set of its lower-cased words; a line is removed if an earlier line of the corpus (by doc_id, then line
 number) has the same set or one of Jaccard similarity SIMILARITY or more. Blank lines stay.
 
-Lines with equal sets form a class, stood for by its first line; classes are numbered in the order of these. Tokens are
+Texts are split and hashed once: the lines, as hashes of their words, are written, and counted, joined and verified from
+there. Lines with equal sets form a class, stood for by its first line; classes are numbered in the order of these. Tokens are
 ordered by rarity, estimated by a table of word counts of fixed size. Two sets that are similar enough share one of the
 first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined, with themselves, so that one shuffle
 serves both sides. A shared token at positions i and j bounds the overlap by min(m - i, n - j) (positional filter), sizes
@@ -21,7 +22,9 @@ of its hot tokens, and only those that stay unresolved are then joined with all
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,10 +41,12 @@ LONG = 64
 
 def spaced(text: Column, spaces: str = "\t\n\v\f\r") -> Column:
     """Lower-cased text with white space made one character, since splitting at one needs no pattern; a null text is empty."""
-    text = F.lower(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    plain = one = F.lower(text)
     for space in spaces:
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return text
+        one = F.replace(one, F.lit(space), F.lit(" "))
+    # to look for a character takes less than to replace it
+    return F.when(functools.reduce(operator.or_, [F.contains(text, F.lit(space)) for space in spaces]), one).otherwise(plain)
 
 
 def word_hashes(line: Column) -> Column:
@@ -53,25 +58,38 @@ def shift(x: Column, by: Column | int) -> Column:
     return F.call_function("shiftleft", x, F.lit(by) if isinstance(by, int) else by.cast("int"))
 
 
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """One row a line: doc_id, rid (hash of the text), line_no, lid (kept by writing it), hashes (of its words, ascending)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.split(spaced(F.col("text"), "\t\v\f\r"), "\n").alias("lines"))
+    rows = rows.select("doc_id", "rid", F.posexplode("lines").alias("line_no", "line"))
+    return rows.select("doc_id", "rid", "line_no", F.monotonically_increasing_id().alias("lid"), F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
+
+
+def level(n: int) -> int:
+    """The logarithm of a count, between 1 and 127."""
+    return min(127, 1 + int(4 * math.log2(1 + n)))
+
+
 def rarity_table(docs: DataFrame) -> bytes:
-    """A byte for each counter: the logarithm of how many words of the corpus fall on it, between 1 and 127."""
-    word = docs.select(F.explode(F.split(spaced(F.col("text")), " ")).alias("word")).where("word <> ''")
-    counter = F.xxhash64("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")
+    """A byte for each counter: the level of how many words fall on it, once a line, of docs or of their hashed lines."""
+    lines = docs if "hashes" in docs.columns else hashed_lines(docs)
+    word = lines.select(F.explode("hashes").alias("word"))
+    counter = F.col("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")
     table = bytearray(b"\1" * COUNTERS)
     for counter, n in word.groupBy(counter).agg(F.count("*").alias("n")).collect():
-        table[counter] = min(127, 1 + int(4 * math.log2(1 + n)))
+        table[counter] = level(n)
     return bytes(table)
 
 
 def levels_of(table: bytes) -> Column:
-    """The table as an array, which is folded into one literal and read at an index, without a string for each word."""
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
+    """The table as an array, each level at the top of a long, which is folded into one literal and read at an index, without
+    a string for each word."""
+    return F.split(F.lit(",".join(str(x << 56) for x in table)), ",").cast("array<bigint>")
 
 
 def token(h: Column, levels: Column) -> Column:
     """A positive long that sorts rarest first, of the hash of a word: 7 bits of count, 56 of hash."""
-    level = F.get(levels, h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")).cast("long")
-    return shift(level, 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return levels[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
 def parities(tokens: Column, n: Column) -> tuple[Column, Column]:
@@ -89,58 +107,61 @@ def needed(n: Column) -> Column:
     return F.floor((F.lit(UNDER) * n + (OVER - 1)) / OVER).cast("int")
 
 
-def lines_of(docs: DataFrame, table: bytes) -> DataFrame:
-    """One row a line: doc_id, rid, line_no, n, k1, k2 (hashes of the token set), p0, p1, low, next, high (of the two
-    smallest, next two and two largest hashes of words), prefix."""
+def lines_of(lines: DataFrame, table: bytes) -> DataFrame:
+    """One row a hashed line with words: doc_id, rid, line_no, lid, n, k1, k2 (hashes of the set), p0, p1, low, next, high (of
+    the two smallest, next two and two largest hashes of words), prefix (tokens)."""
     levels = levels_of(table)
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.posexplode(F.split(spaced(F.col("text"), "\t\v\f\r"), "\n")).alias("line_no", "line"))
-    rows = rows.select("doc_id", "rid", "line_no", F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
     n = F.size("hashes")
     two = lambda i, j: F.hash(F.get("hashes", i), F.get("hashes", j))
     ends = [two(F.lit(0), F.lit(1)).alias("low"), F.when(n > 3, two(F.lit(2), F.lit(3))).alias("next"), two(n - 1, n - 2).alias("high")]
-    rows = rows.select("doc_id", "rid", "line_no", *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
+    keys = [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2")]
+    rows = lines.where(n > 0).select("doc_id", "rid", "line_no", "lid", *keys, *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
     n = F.size("tokens")
     whole, half = parities(F.col("tokens"), n)
-    cut = F.slice("tokens", F.lit(1), F.when(n > 0, n - needed(n) + 1).otherwise(0))
-    rows = rows.select("doc_id", "rid", "line_no", "low", "next", "high", n.alias("n"), F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(7), "tokens").alias("k2"), whole.alias("whole"), half.alias("p1"), F.transform(cut, lambda x: F.hash(x)).alias("prefix"))
-    return rows.select("doc_id", "rid", "line_no", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "low", "next", "high", "prefix")
+    cut = F.slice("tokens", F.lit(1), n - needed(n) + 1)
+    rows = rows.select("doc_id", "rid", "line_no", "lid", "k1", "k2", "low", "next", "high", n.alias("n"), whole.alias("whole"), half.alias("p1"), cut.alias("prefix"))
+    return rows.select("doc_id", "rid", "line_no", "lid", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "low", "next", "high", "prefix")
 
 
 def passes(x: str, y: str) -> Column:
-    """The length, positional and parity filters on postings x and y of one token."""
+    """The length, positional and parity filters on postings x and y of one token. A place `at` may be marked as -1 - at."""
     c = lambda side, name: F.col(f"{side}.{name}")
     m, n = c(x, "n"), c(y, "n")
     overlap = F.ceil(F.lit(UNDER) * (m + n) / F.lit(OVER + UNDER))
-    bound = F.least(m - c(x, "at"), n - c(y, "at"))
+    at = lambda side: F.greatest(c(side, "at"), -1 - c(side, "at"))
+    bound = F.least(m - at(x), n - at(y))
     low, high = c(x, "p0").bitwiseXOR(c(y, "p0")), c(x, "p1").bitwiseXOR(c(y, "p1"))
     differ = F.when(F.least(m, n) > LONG, F.bit_count(low) + F.bit_count(high)).otherwise(F.bit_count(low.bitwiseXOR(high)))
     return (F.least(m, n) * OVER >= F.greatest(m, n) * UNDER) & (bound >= overlap) & (differ <= m + n - 2 * overlap)
 
 
-def pairs_of(late: DataFrame, early: DataFrame, wanted: Column | bool = True) -> DataFrame:
-    """Pairs (early, late) of classes with postings of one token that pass the filters and, if given, the condition."""
+def pairs_of(late: DataFrame, early: DataFrame) -> DataFrame:
+    """Pairs (early, late) of classes with postings of one token that pass the filters, the late one's place not marked."""
     both = late.alias("x").join(early.alias("y"), F.col("x.token") == F.col("y.token"))
-    both = both.where((F.col("y.node") < F.col("x.node")) & passes("x", "y") & wanted)
+    # the mark is read with the other side's node, else it would be a filter below one of two equal shuffles
+    both = both.where((F.col("y.node") < F.col("x.node")) & (F.when(F.col("x.at") >= 0, F.col("y.node")) < F.col("x.node")) & passes("x", "y"))
     return both.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
 
 
-def near_pairs(firsts: DataFrame) -> DataFrame:
-    """Pairs (early, late) of classes that pass the filters, the early one the first with the late one's `low`, `next` or `high`."""
-    here = Window.partitionBy("key").orderBy("x.node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    one = F.struct("node", "n", F.lit(0).alias("at"), "p0", "p1")
-    rows = firsts.select(F.explode(F.array_compact(F.array("low", "next", "high"))).alias("key"), one.alias("x")).select("x", F.first("x").over(here).alias("y"))
-    rows = rows.where((F.col("y.node") < F.col("x.node")) & passes("x", "y"))
-    return rows.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
+def near_pairs(firsts: DataFrame, label: str) -> DataFrame:
+    """Pairs (early, late) of classes that pass the filters, written, the early one the first with the late one's `low`, `next`
+    or `high`."""
+    rows = firsts.select(F.explode(F.array("low", "next", "high")).alias("key"), "node", "n", F.lit(0).alias("at"), "p0", "p1").where("key is not null")
+    # most keys have one class
+    keys = rows.groupBy("key").agg(F.min("node").alias("node"), F.count("*").alias("classes")).where("classes > 1").select("key", "node")
+    keys = written(keys, f"{label}-keys")
+    early = written(firsts.select("node", "n", F.lit(0).alias("at"), "p0", "p1").join(if_small(keys), "node"), f"{label}-early")
+    both = rows.alias("x").join(if_small(early).alias("y"), F.col("x.key") == F.col("y.key")).where((F.col("y.node") < F.col("x.node")) & passes("x", "y"))
+    pairs = written(both.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct(), label)
+    dropped(keys, early)
+    return pairs
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+def verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     """Of written pairs (early, late) of classes, those whose word sets, as sets of 64-bit hashes, are similar, written. Drops the pairs."""
     nodes = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
-    places = written(nodes.join(firsts.select("node", "doc_id", "rid", "line_no"), "node"), f"{label}-places")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"))
-    found = texts.join(if_small(places), texts["doc_id"].eqNullSafe(places["doc_id"]) & (texts["rid"] == places["rid"]))
-    words = word_hashes(spaced(F.get(F.split("text", "\n"), F.col("line_no"))))
-    sets = written(found.select("node", words.alias("words")).dropDuplicates(["node"]), f"{label}-sets")
+    places = written(nodes.join(firsts.select("node", "lid"), "node"), f"{label}-places")
+    sets = written(lines.join(if_small(places), "lid").select("node", F.col("hashes").alias("words")), f"{label}-sets")
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
     common = F.size(F.array_intersect("a", "b"))
     found = written(both.where(OVER * common >= UNDER * (F.size("a") + F.size("b") - common)).select("late").distinct(), f"{label}-similar")
@@ -148,19 +169,19 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -
     return found
 
 
-def hot_repeats(postings: DataFrame, similar: DataFrame, firsts: DataFrame, docs: DataFrame, label: str) -> DataFrame:
+def hot_repeats(postings: DataFrame, similar: DataFrame, firsts: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     """The nodes of `similar` and those that are similar to an earlier class with which they share a hot token."""
     here = Window.partitionBy("token")
     whole = F.struct("node", "n", "at", "p0", "p1")
     shared = postings.withColumn("x", whole).withColumn("y", F.min("x").over(here))
     shared = written(shared.select("token", "x", F.col("y.node").alias("first"), ((F.col("y.node") < F.col("x.node")) & passes("x", "y")).alias("star")), f"{label}-postings")
     stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-hot-stars")
-    resolved = written(similar.union(verified(stars, firsts, docs, f"{label}-3")).distinct(), f"{label}-resolved")
+    resolved = written(similar.union(verified(stars, firsts, lines, f"{label}-3")).distinct(), f"{label}-resolved")
     flat = shared.select("token", "x.*", "first")
     late = flat.where("node > first").join(if_small(resolved), "node", "left_anti")
     pairs = written(pairs_of(late, flat), f"{label}-hot-pairs")
     dropped(shared)
-    return resolved.union(verified(pairs, firsts, docs, f"{label}-4"))
+    return resolved.union(verified(pairs, firsts, lines, f"{label}-4"))
 
 
 def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
@@ -170,37 +191,39 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     A null text has one blank line. A null doc_id comes first. Lines at equal places of repeated rows are one line. An
     empty table gives no rows; other columns are ignored.
     """
-    lines = lines_of(docs, rarity_table(docs))
+    hashed = written(hashed_lines(docs), f"{label}-hashed")
+    lines = lines_of(hashed, rarity_table(hashed))
     same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "low", "next", "high", "prefix")]
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "line_no")).alias("f"), *same)
-    firsts = firsts.where("n > 0").select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "line_no", "lid")).alias("f"), *same)
+    firsts = firsts.select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
     # ids that ascend with the place, kept by writing them
     firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
 
-    tokens = firsts.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    # only a token whose counter is above HOT can be in more prefixes
+    tokens = firsts.select(F.explode("prefix").alias("token")).where(F.col("token") >= level(HOT + 1) << 56).groupBy("token").count()
     hot = written(tokens.where(F.col("count") > HOT).select("token"), f"{label}-hot")
     postings = firsts.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
     any_hot = bool(hot.head(1))
     cold = postings.join(if_small(hot), "token", "left_anti") if any_hot else postings
     # near copies of one line share rare tokens, all pairs of them would grow with the square of their number: most are
     # settled by the first class with the same smallest or largest hashes, and only the others are joined
-    settled = verified(written(near_pairs(firsts), f"{label}-near"), firsts, docs, f"{label}-1").select(F.col("late").alias("node"))
+    settled = verified(near_pairs(firsts, f"{label}-near"), firsts, hashed, f"{label}-1").select(F.col("late").alias("node"))
     marks = if_small(settled.withColumn("settled", F.lit(True)))
-    cold = cold.join(marks, "node", "left").withColumn("open", F.col("settled").isNull()).drop("settled")
-    pairs = written(pairs_of(cold, cold, F.col("x.open")), f"{label}-pairs")
+    cold = cold.join(marks, "node", "left").withColumn("at", F.when(F.col("settled"), -1 - F.col("at")).otherwise(F.col("at"))).drop("settled")
+    pairs = written(pairs_of(cold, cold), f"{label}-pairs")
     # of the others too most are settled by their earliest candidate
     star = written(pairs.groupBy("late").agg(F.min("early").alias("early")), f"{label}-stars")
-    again = verified(star, firsts, docs, f"{label}-2")
+    again = verified(star, firsts, hashed, f"{label}-2")
     rest = written(pairs.join(if_small(again), "late", "left_anti").select("early", "late"), f"{label}-rest")
     dropped(pairs)
-    similar = settled.union(again.select("late")).union(verified(rest, firsts, docs, f"{label}-5").select("late"))
+    similar = settled.union(again.select("late")).union(verified(rest, firsts, hashed, f"{label}-5").select("late"))
     if any_hot:
-        similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, docs, label)
-    dropped(hot)
+        similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, hashed, label)
+    dropped(hot, hashed)
 
     # a line with words stays if it is its class's first and no earlier class is similar
     kept = firsts.join(if_small(similar), "node", "left_anti").select("doc_id", "rid", F.col("line_no").alias("kept"))
-    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.unhex(F.md5(x)).alias("digest"), (F.btrim(x, F.lit(" \t\n\v\f\r")) == "").alias("blank")))
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("line_no"), F.unhex(F.md5(x)).alias("digest"), (F.ltrim(x, F.lit(" \t\n\v\f\r")) == "").alias("blank")))
     own = docs.select("doc_id", F.xxhash64("text").alias("rid"), words.alias("all"))
     each = own.withColumn("kept", F.lit(None).cast("int")).unionByName(kept, allowMissingColumns=True)
     each = each.groupBy("doc_id", "rid").agg(F.first("all", ignorenulls=True).alias("all"), F.collect_set("kept").alias("kept"))

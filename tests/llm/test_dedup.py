@@ -239,3 +239,29 @@ def test_line_dedup_near_copies_make_no_square_of_pairs(spark, monkeypatch):
     assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, "near").collect()} == expected
     # each copy has up to eight prefix tokens; all pairs of 200 are 19,900
     assert 150 < sum(made.values()) < 8 * 200
+
+
+def test_line_dedup_hashes_texts_once_and_shuffles_postings_once(spark, monkeypatch):
+    # near copies settled before the join, others that only the join finds, white space of every kind, one line blank by it
+    base = [f"word{i}" for i in range(30)]
+    texts = [" ".join(base), "\t".join([*base[:29], "x"]), "\v".join([*base[:27], "y", "z", "w"]), "\f".join(base[::-1]) + "\r", " \t\v\f\r", "A\tb  c\rd e", "e d\vc b a", *[" ".join([*base[:k], f"q{k}", *base[k + 1 :]]) for k in range(30)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(t.lower().split()) for t in texts]
+    expected = {i: [0] if b and any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:i]) else [] for i, b in enumerate(sets)}
+    hashed, plans = [], {}
+    once = line_dedup.word_hashes
+    monkeypatch.setattr(line_dedup, "word_hashes", lambda line: hashed.append(line) or once(line))
+
+    def seen(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.written(df, label, *more)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, "once").collect()} == expected
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert len(hashed) == 1
+    assert re.search(r"ReusedExchange [^\n]* Exchange hashpartitioning\(token", plans["once-pairs"])
