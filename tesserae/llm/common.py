@@ -43,15 +43,19 @@ def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def let_go(spark: SparkSession) -> None:
+    """The driver's collector is asked to run, since the shuffle files of finished writes go with it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Delete written tables whose last reader has itself been written. The driver's collector is asked to run, since the
-    shuffle files of finished writes go with it."""
+    """Delete written tables whose last reader has itself been written, and let shuffle files go."""
     for table in tables:
         context = table.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(table._written_to)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        let_go(tables[0].sparkSession)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:

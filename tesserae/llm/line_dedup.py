@@ -4,7 +4,7 @@ A line is the set of its lower-cased words; a line is removed if an earlier line
 number) has the same set or one of Jaccard similarity SIMILARITY or more. Blank lines stay.
 
 Texts are split and hashed once: the lines, as hashes of their words, are written, and counted, joined and verified from
-there. Lines with equal sets form a class, stood for by its first line; classes are numbered in the order of these. Tokens are
+there, numbered in their order. Lines with equal sets form a class, stood for by its first line and its number. Tokens are
 ordered by rarity, estimated by a table of word counts of fixed size. Two sets that are similar enough share one of the
 first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined, with themselves, so that one shuffle
 serves both sides. A shared token at positions i and j bounds the overlap by min(m - i, n - j) (positional filter), sizes
@@ -28,8 +28,9 @@ import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import dropped, if_small, written
+from .common import dropped, if_small, let_go, quantile_bounds, range_bucket, written
 
 #: 5 * common >= 4 * union, a Jaccard similarity of 0.8; entries of the table of word counts.
 OVER, UNDER = 5, 4
@@ -59,10 +60,17 @@ def shift(x: Column, by: Column | int) -> Column:
 
 
 def hashed_lines(docs: DataFrame) -> DataFrame:
-    """One row a line: doc_id, rid (hash of the text), line_no, lid (kept by writing it), hashes (of its words, ascending)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), F.split(spaced(F.col("text"), "\t\v\f\r"), "\n").alias("lines"))
-    rows = rows.select("doc_id", "rid", F.posexplode("lines").alias("line_no", "line"))
-    return rows.select("doc_id", "rid", "line_no", F.monotonically_increasing_id().alias("lid"), F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
+    """One row a line: node (ascends with the place, kept by writing it), doc_id, rid (hash of the text), line_no, hashes (of
+    its words, ascending)."""
+    # ranges of doc_id are dealt to tasks and sorted there, since Spark's own sort reads all texts once more for its bounds
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = quantile_bounds(docs, "doc_id", 4 * parts) if isinstance(docs.schema["doc_id"].dataType, T.NumericType) else []
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"), range_bucket(F.col("doc_id"), bounds).cast("long").alias("bucket"))
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "rid")
+    rows = rows.select("bucket", "doc_id", "rid", F.split(spaced(F.col("text"), "\t\v\f\r"), "\n").alias("lines"))
+    rows = rows.select("bucket", "doc_id", "rid", F.posexplode("lines").alias("line_no", "line"))
+    node = shift(F.col("bucket"), 40).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return rows.select(node.alias("node"), "doc_id", "rid", "line_no", F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
 
 
 def level(n: int) -> int:
@@ -108,19 +116,22 @@ def needed(n: Column) -> Column:
 
 
 def lines_of(lines: DataFrame, table: bytes) -> DataFrame:
-    """One row a hashed line with words: doc_id, rid, line_no, lid, n, k1, k2 (hashes of the set), p0, p1, low, next, high (of
-    the two smallest, next two and two largest hashes of words), prefix (tokens)."""
+    """One row a hashed line with words: node, doc_id, rid, line_no, n, k1, k2 (hashes of the set), p0, p1, low, next, high (of
+    the two smallest, next two and two largest hashes of words), prefix, rare (how many of it can't be in over HOT prefixes,
+    since their counters are not above it)."""
     levels = levels_of(table)
     n = F.size("hashes")
     two = lambda i, j: F.hash(F.get("hashes", i), F.get("hashes", j))
     ends = [two(F.lit(0), F.lit(1)).alias("low"), F.when(n > 3, two(F.lit(2), F.lit(3))).alias("next"), two(n - 1, n - 2).alias("high")]
     keys = [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2")]
-    rows = lines.where(n > 0).select("doc_id", "rid", "line_no", "lid", *keys, *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
+    rows = lines.where(n > 0).select("node", "doc_id", "rid", "line_no", *keys, *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
     n = F.size("tokens")
     whole, half = parities(F.col("tokens"), n)
     cut = F.slice("tokens", F.lit(1), n - needed(n) + 1)
-    rows = rows.select("doc_id", "rid", "line_no", "lid", "k1", "k2", "low", "next", "high", n.alias("n"), whole.alias("whole"), half.alias("p1"), cut.alias("prefix"))
-    return rows.select("doc_id", "rid", "line_no", "lid", "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", "low", "next", "high", "prefix")
+    place, ends = ["node", "doc_id", "rid", "line_no"], ["low", "next", "high"]
+    rows = rows.select(*place, "k1", "k2", *ends, n.alias("n"), whole.alias("whole"), half.alias("p1"), cut.alias("cut"))
+    rare = F.size(F.filter("cut", lambda x: x < level(HOT + 1) << 56)).alias("rare")
+    return rows.select(*place, "n", "k1", "k2", F.col("whole").bitwiseXOR(F.col("p1")).alias("p0"), "p1", *ends, F.transform("cut", lambda x: F.hash(x)).alias("prefix"), rare)
 
 
 def passes(x: str, y: str) -> Column:
@@ -157,31 +168,30 @@ def near_pairs(firsts: DataFrame, label: str) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, firsts: DataFrame, lines: DataFrame, label: str) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     """Of written pairs (early, late) of classes, those whose word sets, as sets of 64-bit hashes, are similar, written. Drops the pairs."""
-    nodes = pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct()
-    places = written(nodes.join(firsts.select("node", "lid"), "node"), f"{label}-places")
-    sets = written(lines.join(if_small(places), "lid").select("node", F.col("hashes").alias("words")), f"{label}-sets")
+    nodes = written(pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct(), f"{label}-nodes")
+    sets = written(lines.select("node", F.col("hashes").alias("words")).join(if_small(nodes), "node"), f"{label}-sets")
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
-    common = F.size(F.array_intersect("a", "b"))
-    found = written(both.where(OVER * common >= UNDER * (F.size("a") + F.size("b") - common)).select("late").distinct(), f"{label}-similar")
-    dropped(pairs, places, sets)
+    union = F.size(F.array_distinct(F.concat("a", "b")))
+    found = written(both.where(OVER * (F.size("a") + F.size("b") - union) >= UNDER * union).select("late").distinct(), f"{label}-similar")
+    dropped(pairs, nodes, sets)
     return found
 
 
-def hot_repeats(postings: DataFrame, similar: DataFrame, firsts: DataFrame, lines: DataFrame, label: str) -> DataFrame:
+def hot_repeats(postings: DataFrame, similar: DataFrame, lines: DataFrame, label: str) -> DataFrame:
     """The nodes of `similar` and those that are similar to an earlier class with which they share a hot token."""
     here = Window.partitionBy("token")
     whole = F.struct("node", "n", "at", "p0", "p1")
     shared = postings.withColumn("x", whole).withColumn("y", F.min("x").over(here))
     shared = written(shared.select("token", "x", F.col("y.node").alias("first"), ((F.col("y.node") < F.col("x.node")) & passes("x", "y")).alias("star")), f"{label}-postings")
     stars = written(shared.where("star").select(F.col("first").alias("early"), F.col("x.node").alias("late")).distinct(), f"{label}-hot-stars")
-    resolved = written(similar.union(verified(stars, firsts, lines, f"{label}-3")).distinct(), f"{label}-resolved")
+    resolved = written(similar.union(verified(stars, lines, f"{label}-3")).distinct(), f"{label}-resolved")
     flat = shared.select("token", "x.*", "first")
     late = flat.where("node > first").join(if_small(resolved), "node", "left_anti")
     pairs = written(pairs_of(late, flat), f"{label}-hot-pairs")
     dropped(shared)
-    return resolved.union(verified(pairs, firsts, lines, f"{label}-4"))
+    return resolved.union(verified(pairs, lines, f"{label}-4"))
 
 
 def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
@@ -192,33 +202,32 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     empty table gives no rows; other columns are ignored.
     """
     hashed = written(hashed_lines(docs), f"{label}-hashed")
+    let_go(docs.sparkSession)
     lines = lines_of(hashed, rarity_table(hashed))
-    same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "low", "next", "high", "prefix")]
-    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "rid", "line_no", "lid")).alias("f"), *same)
-    firsts = firsts.select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix").orderBy(F.col("doc_id").asc_nulls_first(), "rid", "line_no")
-    # ids that ascend with the place, kept by writing them
-    firsts = written(firsts.withColumn("node", F.monotonically_increasing_id()), f"{label}-classes")
-
-    # only a token whose counter is above HOT can be in more prefixes
-    tokens = firsts.select(F.explode("prefix").alias("token")).where(F.col("token") >= level(HOT + 1) << 56).groupBy("token").count()
+    same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "low", "next", "high", "prefix", "rare")]
+    firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("node", "doc_id", "rid", "line_no")).alias("f"), *same)
+    firsts = written(firsts.select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix", "rare"), f"{label}-classes")
+
+    tokens = firsts.where("rare < size(prefix)").select(F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token")).groupBy("token").count()
     hot = written(tokens.where(F.col("count") > HOT).select("token"), f"{label}-hot")
+    let_go(docs.sparkSession)
     postings = firsts.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
     any_hot = bool(hot.head(1))
     cold = postings.join(if_small(hot), "token", "left_anti") if any_hot else postings
     # near copies of one line share rare tokens, all pairs of them would grow with the square of their number: most are
     # settled by the first class with the same smallest or largest hashes, and only the others are joined
-    settled = verified(near_pairs(firsts, f"{label}-near"), firsts, hashed, f"{label}-1").select(F.col("late").alias("node"))
+    settled = verified(near_pairs(firsts, f"{label}-near"), hashed, f"{label}-1").select(F.col("late").alias("node"))
     marks = if_small(settled.withColumn("settled", F.lit(True)))
     cold = cold.join(marks, "node", "left").withColumn("at", F.when(F.col("settled"), -1 - F.col("at")).otherwise(F.col("at"))).drop("settled")
     pairs = written(pairs_of(cold, cold), f"{label}-pairs")
     # of the others too most are settled by their earliest candidate
     star = written(pairs.groupBy("late").agg(F.min("early").alias("early")), f"{label}-stars")
-    again = verified(star, firsts, hashed, f"{label}-2")
+    again = verified(star, hashed, f"{label}-2")
     rest = written(pairs.join(if_small(again), "late", "left_anti").select("early", "late"), f"{label}-rest")
     dropped(pairs)
-    similar = settled.union(again.select("late")).union(verified(rest, firsts, hashed, f"{label}-5").select("late"))
+    similar = settled.union(again.select("late")).union(verified(rest, hashed, f"{label}-5").select("late"))
     if any_hot:
-        similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, firsts, hashed, label)
+        similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, hashed, label)
     dropped(hot, hashed)
 
     # a line with words stays if it is its class's first and no earlier class is similar
