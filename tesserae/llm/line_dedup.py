@@ -90,14 +90,13 @@ def rarity_table(docs: DataFrame) -> bytes:
 
 
 def levels_of(table: bytes) -> Column:
-    """The table as an array, each level at the top of a long, which is folded into one literal and read at an index, without
-    a string for each word."""
-    return F.split(F.lit(",".join(str(x << 56) for x in table)), ",").cast("array<bigint>")
+    """The table as an array, which is folded into one literal and read at an index, without a string for each word."""
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
 
 
 def token(h: Column, levels: Column) -> Column:
     """A positive long that sorts rarest first, of the hash of a word: 7 bits of count, 56 of hash."""
-    return levels[h.bitwiseAND(F.lit(COUNTERS - 1))].bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    return shift(levels[h.bitwiseAND(F.lit(COUNTERS - 1))].cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
 def parities(tokens: Column, n: Column) -> tuple[Column, Column]:
@@ -208,7 +207,7 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     firsts = lines.groupBy("k1", "k2").agg(F.min(F.struct("node", "doc_id", "rid", "line_no")).alias("f"), *same)
     firsts = written(firsts.select("f.*", "n", "p0", "p1", "low", "next", "high", "prefix", "rare"), f"{label}-classes")
 
-    tokens = firsts.where("rare < size(prefix)").select(F.explode(F.slice("prefix", F.col("rare") + 1, F.size("prefix"))).alias("token")).groupBy("token").count()
+    tokens = firsts.select("rare", F.posexplode("prefix").alias("at", "token")).where("at >= rare").groupBy("token").count()
     hot = written(tokens.where(F.col("count") > HOT).select("token"), f"{label}-hot")
     let_go(docs.sparkSession)
     postings = firsts.select("node", "n", "p0", "p1", F.posexplode("prefix").alias("at", "token"))
