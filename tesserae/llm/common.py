@@ -9,7 +9,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,13 +107,44 @@ def quantile_bounds(df: DataFrame, column: str, parts: int) -> list:
     return sorted(set(cut or []))
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, label: str = "components") -> DataFrame:
+#: Edges whose components one task finds: two longs each.
+HELD_EDGES = 200_000
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges a, b, and for each the smallest node that it is linked with. Each root is hung below the smallest
+    root next to it, and all nodes below their roots, until no edge has two roots."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while (root[x] != root[y]).any():
+        p, q = root[x], root[y]
+        least = np.minimum(p, q)
+        np.minimum.at(root, p, least)
+        np.minimum.at(root, q, least)
+        while (root[root] != root).any():
+            root = root[root]
+    return nodes, nodes[root]
+
+
+def components(edges: DataFrame, nodes: DataFrame | None = None, label: str = "components", held: int = HELD_EDGES) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component = smallest node reachable).
 
-    Large-star and small-star rounds: in each, every node is linked with the smallest of its neighbours, so long chains
+    At most `held` distinct edges are solved in one task, since a round costs jobs and files whatever its size. More go by
+    large-star and small-star rounds: in each, every node is linked with the smallest of its neighbours, so long chains
     shrink by halves and no group of neighbours is gathered as an array. Each round is written, which cuts the lineage.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), label)
+    if now.count() <= held:
+
+        def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if whole := list(batches):
+                ends = [np.concatenate([batch.column(k).to_numpy() for batch in whole]) for k in range(2)]
+                yield pa.record_batch([pa.array(x) for x in smallest_reachable(*ends)], ["node", "component"])
+
+        found = written(now.coalesce(1).mapInArrow(solve, "node long, component long"), label)
+        dropped(now)
+        return found if nodes is None else nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     before = None
     while True:
         # large star: neighbours larger than the node go to the smallest neighbour
