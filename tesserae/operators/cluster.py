@@ -3,7 +3,8 @@
 A tree is (cid, parent, lvl, first, last, is_leaf, is_domain, bbmin, bbmax) over internal indices, with a permutation
 (e, i) from dofs. Every level is one pass over the points: each point carries its cluster and a sort key, a split is a
 column of 0 and 1, and counts give the sons' ranges. Ids are 2 * parent + 1 and + 2, as in a heap, so no counter is shared.
-Ties are broken by dof. Levels are checkpointed.
+Ties are broken by dof. Levels are checkpointed. Under the geometric split the tree below a cluster of at most HELD_POINTS
+points is built where they are gathered, since a level costs several jobs whatever its size.
 """
 
 from __future__ import annotations
@@ -11,13 +12,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .iterate import ranks, settled
 
-#: Points of a cluster that is not split.
-LEAF_SIZE = 60
+#: Points of a cluster that is not split, and of one below which a task builds the tree.
+LEAF_SIZE, HELD_POINTS = 60, 250_000
 
 
 def bounding_box(points: DataFrame, by: list[str], dim: int) -> DataFrame:
@@ -52,9 +55,45 @@ def geometric(adaptive: bool = True) -> Split:
         mid = (F.get("bbmin", axis) + F.get("bbmax", axis)) / 2
         return points.withColumn("side", F.when(F.get("x", axis) <= mid, 0).otherwise(1))
 
+    split.adaptive = adaptive
     return split
 
 
+def _below(points: DataFrame, lvl: int, dim: int, adaptive: bool, leaf_size: int, least_level: int, max_level: int) -> tuple[DataFrame, DataFrame]:
+    """The clusters from level lvl on, as build collects them, and (e, i) of their points, under the geometric split: one group
+    a cluster of points."""
+
+    def grow(group: pa.Table) -> pa.Table:
+        # in the order of dofs, which a split keeps
+        group = group.take(pc.sort_indices(group, sort_keys=[("dof", "ascending")], null_placement="at_start"))
+        dof = group.column("dof")
+        x = group.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(dof), dim)
+        rows, own = [], []
+        todo = [(lvl, group.column("cid")[0].as_py(), group.column("parent")[0].as_py(), group.column("first")[0].as_py(), np.arange(len(dof)))]
+        while todo:
+            level, cid, parent, first, at = todo.pop()
+            low, high = x[at].min(0), x[at].max(0)
+            leaf = (len(at) <= leaf_size and level >= least_level) or level == max_level or len(at) == 1
+            if not leaf:
+                axis = int(np.argmax(high - low)) if adaptive else level % dim
+                left = x[at, axis] <= (low[axis] + high[axis]) / 2
+                leaf = bool(left.all() or not left.any())
+            if not leaf:
+                todo.append((level + 1, 2 * cid + 1, cid, first, at[left]))
+                todo.append((level + 1, 2 * cid + 2, cid, first + int(left.sum()), at[~left]))
+            rows.append((cid, parent, first, False, low.tolist(), high.tolist(), len(at), level, leaf))
+            own.append(dof.take(pa.array(at)).combine_chunks() if leaf else None)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64(), pa.int32(), pa.bool_()], strict=True)]
+        ends = np.cumsum([0, *(0 if o is None else len(o) for o in own)])
+        held = pa.concat_arrays([o for o in own if o is not None])
+        return pa.table([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held)], [c.split()[0] for c in kinds.split(", ")] + ["own"])
+
+    kinds = "cid long, parent long, first long, is_domain boolean, bbmin array<double>, bbmax array<double>, n long, lvl int, is_leaf boolean"
+    rows = points.select("dof", "x", "cid", "parent", "first").groupBy("cid").applyInArrow(grow, f"{kinds}, own array<{points.schema['dof'].dataType.simpleString()}>")
+    found = settled(rows)
+    return found.drop("own"), found.select("first", F.posexplode("own").alias("at", "e")).select("e", (F.col("first") + F.col("at")).cast("long").alias("i"))
+
+
 def cardinality(adaptive: bool = True) -> Split:
     """The lower half by count goes left: one distributed sort a level, cut at exact ranks."""
 
@@ -151,7 +190,13 @@ def build(points: DataFrame, split: Split | None = None, leaf_size: int = LEAF_S
     dim = points.select(F.size("x")).first()[0]
     now = settled(points.select("dof", F.transform("x", lambda v: v.cast("double")).alias("x"), F.lit(0).cast("long").alias("cid"), F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("first"), F.lit(interface is not None).alias("is_domain")))
     clusters, placed, base = [], [], 3 if interface is not None else 2
+    # whole and finite coordinates, so that boxes are the same in numpy
+    held = interface is None and hasattr(split, "adaptive") and now.where(F.col("x").isNull() | (F.size("x") != dim) | F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))).isEmpty()
+    deeper = None
     for lvl in range(max_level + 1):
+        if held and now.groupBy("cid").count().agg(F.max("count")).first()[0] <= HELD_POINTS:
+            deeper = _below(now, lvl, dim, split.adaptive, leaf_size, least_level, max_level)
+            break
         boxes = bounding_box(now, ["cid", "parent", "first", "is_domain"], dim)
         here = settled(boxes.withColumn("lvl", F.lit(lvl)).withColumn("is_leaf", (F.col("n") <= leaf_size) & F.lit(lvl >= least_level) | F.lit(lvl == max_level) | (F.col("n") == 1)))
         live = now.join(here.where("not is_leaf").select("cid", "n", "bbmin", "bbmax"), "cid")
@@ -170,12 +215,20 @@ def build(points: DataFrame, split: Split | None = None, leaf_size: int = LEAF_S
         now = settled(going.select("dof", "x", (F.col("cid") * base + 1 + F.col("side")).alias("cid"), F.col("cid").alias("parent"), (F.col("first") + start).alias("first"), (F.col("is_domain") & (F.col("side") < 2)).alias("is_domain")))
         if not now.limit(1).count():
             break
-    tree, order = clusters[0], placed[0]
+    if deeper and not clusters:
+        tree, order = deeper[0], None
+    else:
+        tree, order = clusters[0], placed[0]
     for c, p in zip(clusters[1:], placed[1:], strict=True):
         tree, order = tree.unionByName(c), order.unionByName(p)
+    if deeper and clusters:
+        tree = tree.unionByName(deeper[0])
     tree = tree.select("cid", "parent", "lvl", "first", (F.col("first") + F.col("n") - 1).alias("last"), "is_leaf", "is_domain", "bbmin", "bbmax")
     rank = F.row_number().over(Window.partitionBy("cid").orderBy("dof")) - 1
-    return settled(tree), settled(order.select(F.col("dof").alias("e"), (F.col("first") + rank).cast("long").alias("i")))
+    order = order and order.select(F.col("dof").alias("e"), (F.col("first") + rank).cast("long").alias("i"))
+    if deeper:
+        order = order.unionByName(deeper[1]) if order else deeper[1]
+    return settled(tree), settled(order)
 
 
 def _with_interface(sided: DataFrame, edges: DataFrame) -> DataFrame:
