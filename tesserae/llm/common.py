@@ -36,11 +36,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def written(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation."""
+def written(df: DataFrame, label: str, codec: str = "zstd", options: dict[str, str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there and a lost executor costs no recomputation. Options
+    go to the writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    df.write.options(compression=codec, **(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -4,7 +4,7 @@ A line is the set of its lower-cased words; a line is removed if an earlier line
 number) has the same set or one of Jaccard similarity SIMILARITY or more. Blank lines stay.
 
 Texts are split and hashed once: the lines, as hashes of their words, are written, and counted, joined and verified from
-there, numbered in their order. Lines with equal sets form a class, stood for by its first line and its number. Tokens are
+there, numbered in their order; by doc_id where those are whole numbers and unique, else texts are sorted first. Lines with equal sets form a class, stood for by its first line and its number. Tokens are
 ordered by rarity, estimated by a table of word counts of fixed size. Two sets that are similar enough share one of the
 first n - ceil(t n) + 1 tokens of each (the prefix); so only prefixes are joined, with themselves, so that one shuffle
 serves both sides. A shared token at positions i and j bounds the overlap by min(m - i, n - j) (positional filter), sizes
@@ -59,18 +59,36 @@ def shift(x: Column, by: Column | int) -> Column:
     return F.call_function("shiftleft", x, F.lit(by) if isinstance(by, int) else by.cast("int"))
 
 
+def first_id(docs: DataFrame) -> int | None:
+    """The least doc_id, if all are whole numbers, no two are equal and none is 2**32 or more above it."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return None
+    found = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.min("doc_id"), F.max("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
+    return found[1] if found[0] == 1 and not found[3] and found[2] - found[1] < 1 << 32 else None
+
+
 def hashed_lines(docs: DataFrame) -> DataFrame:
     """One row a line: node (ascends with the place, kept by writing it), doc_id, rid (hash of the text), line_no, hashes (of
     its words, ascending)."""
+    # by line, since lower-casing takes long where not all is ASCII
+    hashes = F.sort_array(word_hashes(spaced(F.col("line"), "\t\v\f\r"))).alias("hashes")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n").alias("lines")
+    least = first_id(docs)
+    if least is not None:
+        # the place is a number of its own, so texts stay where they are read
+        rows = docs.select("doc_id", F.xxhash64("text").alias("rid"), lines)
+        rows = rows.select("doc_id", "rid", F.posexplode("lines").alias("line_no", "line"))
+        node = shift(F.col("doc_id").cast("long") - F.lit(least).cast("long"), 31).bitwiseOR(F.col("line_no").cast("long"))
+        return rows.select(node.alias("node"), "doc_id", "rid", "line_no", hashes)
     # ranges of doc_id are dealt to tasks and sorted there, since Spark's own sort reads all texts once more for its bounds
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = quantile_bounds(docs, "doc_id", 4 * parts) if isinstance(docs.schema["doc_id"].dataType, T.NumericType) else []
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("rid"), range_bucket(F.col("doc_id"), bounds).cast("long").alias("bucket"))
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "rid")
-    rows = rows.select("bucket", "doc_id", "rid", F.split(spaced(F.col("text"), "\t\v\f\r"), "\n").alias("lines"))
+    rows = rows.select("bucket", "doc_id", "rid", lines)
     rows = rows.select("bucket", "doc_id", "rid", F.posexplode("lines").alias("line_no", "line"))
     node = shift(F.col("bucket"), 40).bitwiseOR(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    return rows.select(node.alias("node"), "doc_id", "rid", "line_no", F.sort_array(word_hashes(F.col("line"))).alias("hashes"))
+    return rows.select(node.alias("node"), "doc_id", "rid", "line_no", hashes)
 
 
 def level(n: int) -> int:
@@ -84,8 +102,15 @@ def rarity_table(docs: DataFrame) -> bytes:
     word = lines.select(F.explode("hashes").alias("word"))
     counter = F.col("word").bitwiseAND(F.lit(COUNTERS - 1)).alias("counter")
     table = bytearray(b"\1" * COUNTERS)
-    for counter, n in word.groupBy(counter).agg(F.count("*").alias("n")).collect():
-        table[counter] = level(n)
+    # the fast map of an aggregate has room for half of the counters unless it is told
+    spark, room = docs.sparkSession, "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
+    before = spark.conf.get(room)
+    spark.conf.set(room, str(COUNTERS.bit_length()))
+    try:
+        for counter, n in word.groupBy(counter).agg(F.count("*").alias("n")).collect():
+            table[counter] = level(n)
+    finally:
+        spark.conf.set(room, before)
     return bytes(table)
 
 
@@ -99,13 +124,19 @@ def token(h: Column, levels: Column) -> Column:
     return shift(levels[h.bitwiseAND(F.lit(COUNTERS - 1))].cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
 
+def tokens_of(hashes: Column, levels: Column) -> Column:
+    """The tokens, rarest first. None is null, and said to be so they are sorted as longs, not as objects."""
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(token(h, levels), F.lit(0).cast("long"))))
+
+
 def parities(tokens: Column, n: Column) -> tuple[Column, Column]:
     """Parities of how many tokens hash to each of 64 bits: of all tokens and 0, or for over LONG tokens of each half. The two
     together always make the parities of all."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    place = lambda x: x.bitwiseAND(F.lit(63)).cast("int")
-    whole = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, place(x))))
-    half = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1)), place(x))))
+    none = F.lit(0).cast("long")
+    # bits are looked up, which takes less than to shift them for each token
+    bit = [F.lit(1 << k if k < 63 else -1 << 63).cast("long") for k in range(64)]
+    whole = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.array(*bit)[x.bitwiseAND(F.lit(63))]))
+    half = F.aggregate(tokens, none, lambda a, x: a.bitwiseXOR(F.array(*[none] * 64, *bit)[x.bitwiseAND(F.lit(127))]))
     return whole, F.when(n > LONG, half).otherwise(none)
 
 
@@ -123,7 +154,7 @@ def lines_of(lines: DataFrame, table: bytes) -> DataFrame:
     two = lambda i, j: F.hash(F.get("hashes", i), F.get("hashes", j))
     ends = [two(F.lit(0), F.lit(1)).alias("low"), F.when(n > 3, two(F.lit(2), F.lit(3))).alias("next"), two(n - 1, n - 2).alias("high")]
     keys = [F.xxhash64("hashes").alias("k1"), F.xxhash64(F.lit(7), "hashes").alias("k2")]
-    rows = lines.where(n > 0).select("node", "doc_id", "rid", "line_no", *keys, *ends, F.sort_array(F.transform("hashes", lambda h: token(h, levels))).alias("tokens"))
+    rows = lines.where(n > 0).select("node", "doc_id", "rid", "line_no", *keys, *ends, tokens_of(F.col("hashes"), levels).alias("tokens"))
     n = F.size("tokens")
     whole, half = parities(F.col("tokens"), n)
     cut = F.slice("tokens", F.lit(1), n - needed(n) + 1)
@@ -153,6 +184,23 @@ def pairs_of(late: DataFrame, early: DataFrame) -> DataFrame:
     return both.select(F.col("y.node").alias("early"), F.col("x.node").alias("late")).distinct()
 
 
+def pairs_by_size(postings: DataFrame) -> DataFrame:
+    """Pairs (early, late) of classes with postings of one token that pass the filters, the late one's place not marked.
+
+    The smaller set of a pair, of n words, has at least 8/9 n in common with the other, so it is only looked for by its first
+    n - ceil(8/9 n) + 1 tokens. What is not of use is left out after the shuffle, so that one shuffle serves both sides; a
+    filter that does not depend on the row alone stays there.
+    """
+    dealt = postings.where("token is not null and n is not null").repartition("token")
+    at = F.greatest("at", -1 - F.col("at"))
+    least = F.floor((2 * UNDER * F.col("n") + (OVER + UNDER - 1)) / (OVER + UNDER))
+    small = dealt.where(F.when(at <= F.col("n") - least, F.monotonically_increasing_id() >= 0).otherwise(F.lit(False))).alias("y")
+    x, y, m, n = F.col("x.node"), F.col("y.node"), F.col("x.n"), F.col("y.n")
+    both = dealt.alias("x").join(small, F.col("x.token") == F.col("y.token"))
+    both = both.where((n <= m) & (n * OVER >= m * UNDER) & ((n < m) | (y < x)) & (F.when(x < y, F.col("y.at")).otherwise(F.col("x.at")) >= 0) & passes("x", "y"))
+    return both.select(F.least(x, y).alias("early"), F.greatest(x, y).alias("late")).distinct()
+
+
 def near_pairs(firsts: DataFrame, label: str) -> DataFrame:
     """Pairs (early, late) of classes that pass the filters, written, the early one the first with the late one's `low`, `next`
     or `high`."""
@@ -167,14 +215,26 @@ def near_pairs(firsts: DataFrame, label: str) -> DataFrame:
     return pairs
 
 
-def verified(pairs: DataFrame, lines: DataFrame, label: str) -> DataFrame:
-    """Of written pairs (early, late) of classes, those whose word sets, as sets of 64-bit hashes, are similar, written. Drops the pairs."""
+def sets_of(pairs: DataFrame, lines: DataFrame, label: str) -> DataFrame:
+    """The word sets, as sets of 64-bit hashes, of the classes in written pairs (early, late), written."""
     nodes = written(pairs.select(F.col("early").alias("node")).union(pairs.select("late")).distinct(), f"{label}-nodes")
     sets = written(lines.select("node", F.col("hashes").alias("words")).join(if_small(nodes), "node"), f"{label}-sets")
+    dropped(nodes)
+    return sets
+
+
+def similar_of(pairs: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The late ones of written pairs (early, late) whose word sets are similar, written."""
     both = pairs.join(sets.select(F.col("node").alias("early"), F.col("words").alias("a")), "early").join(sets.select(F.col("node").alias("late"), F.col("words").alias("b")), "late")
     union = F.size(F.array_distinct(F.concat("a", "b")))
-    found = written(both.where(OVER * (F.size("a") + F.size("b") - union) >= UNDER * union).select("late").distinct(), f"{label}-similar")
-    dropped(pairs, nodes, sets)
+    return written(both.where(OVER * (F.size("a") + F.size("b") - union) >= UNDER * union).select("late").distinct(), f"{label}-similar")
+
+
+def verified(pairs: DataFrame, lines: DataFrame, label: str) -> DataFrame:
+    """Of written pairs (early, late) of classes, those late ones whose word sets are similar, written. Drops the pairs."""
+    sets = sets_of(pairs, lines, label)
+    found = similar_of(pairs, sets, label)
+    dropped(pairs, sets)
     return found
 
 
@@ -200,7 +260,8 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     A null text has one blank line. A null doc_id comes first. Lines at equal places of repeated rows are one line. An
     empty table gives no rows; other columns are ignored.
     """
-    hashed = written(hashed_lines(docs), f"{label}-hashed")
+    # to look for hashes in a dictionary takes longer than to write them
+    hashed = written(hashed_lines(docs), f"{label}-hashed", "zstd", {"parquet.enable.dictionary#hashes.list.element": "false"})
     let_go(docs.sparkSession)
     lines = lines_of(hashed, rarity_table(hashed))
     same = [F.first(c).alias(c) for c in ("n", "p0", "p1", "low", "next", "high", "prefix", "rare")]
@@ -218,13 +279,14 @@ def find_repeats(docs: DataFrame, label: str = "lines") -> DataFrame:
     settled = verified(near_pairs(firsts, f"{label}-near"), hashed, f"{label}-1").select(F.col("late").alias("node"))
     marks = if_small(settled.withColumn("settled", F.lit(True)))
     cold = cold.join(marks, "node", "left").withColumn("at", F.when(F.col("settled"), -1 - F.col("at")).otherwise(F.col("at"))).drop("settled")
-    pairs = written(pairs_of(cold, cold), f"{label}-pairs")
+    pairs = written(pairs_by_size(cold), f"{label}-pairs")
     # of the others too most are settled by their earliest candidate
     star = written(pairs.groupBy("late").agg(F.min("early").alias("early")), f"{label}-stars")
-    again = verified(star, hashed, f"{label}-2")
+    sets = sets_of(pairs, hashed, f"{label}-2")
+    again = similar_of(star, sets, f"{label}-2")
     rest = written(pairs.join(if_small(again), "late", "left_anti").select("early", "late"), f"{label}-rest")
-    dropped(pairs)
-    similar = settled.union(again.select("late")).union(verified(rest, hashed, f"{label}-5").select("late"))
+    similar = settled.union(again.select("late")).union(similar_of(rest, sets, f"{label}-5").select("late"))
+    dropped(pairs, star, rest, sets)
     if any_hot:
         similar = hot_repeats(postings.join(if_small(hot), "token", "left_semi"), similar, hashed, label)
     dropped(hot, hashed)

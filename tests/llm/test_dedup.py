@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tesserae.llm import common, line_dedup, minhash, queries, shingles, suffix_dedup
 from tesserae.llm.suffix_grouping import suffix_array
@@ -265,3 +266,48 @@ def test_line_dedup_hashes_texts_once_and_shuffles_postings_once(spark, monkeypa
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     assert len(hashed) == 1
     assert re.search(r"ReusedExchange [^\n]* Exchange hashpartitioning\(token", plans["once-pairs"])
+
+
+def test_line_dedup_leaves_texts_with_unique_numbers_where_they_are_read(spark):
+    texts = {-5: "a b\n\nC", 2**31: "b A", 7: None, 0: "c\nc"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lines = line_dedup.hashed_lines(docs)
+    assert "Exchange" not in lines._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(lines.collect())
+    assert [(r.doc_id, r.line_no) for r in rows] == [(-5, 0), (-5, 1), (-5, 2), (0, 0), (0, 1), (7, 0), (2**31, 0)]
+    assert len({r.node for r in rows}) == 7 and {(r.doc_id, *r.removed) for r in line_dedup.find_repeats(docs, "unique").collect()} == {(-5,), (0, 0, 1), (7,), (2**31, 0)}
+    assert line_dedup.first_id(docs) == -5
+    for more in [(7, "x"), (None, "x"), (2**32 - 5, "x")]:
+        assert line_dedup.first_id(docs.union(spark.createDataFrame([more], docs.schema))) is None
+    assert line_dedup.first_id(empty(spark)) is None and line_dedup.first_id(docs.withColumn("doc_id", F.col("doc_id").cast("string"))) is None
+
+
+def test_line_dedup_sorts_tokens_as_longs(spark):
+    lines = spark.createDataFrame([([3, None, 1],)], "hashes array<long>")
+    assert not lines.select(line_dedup.tokens_of(F.col("hashes"), line_dedup.levels_of(b"\1" * line_dedup.COUNTERS)).alias("t")).schema["t"].dataType.containsNull
+
+
+def test_line_dedup_finds_pairs_by_the_first_tokens_of_the_smaller(spark, monkeypatch):
+    # sets of 4 to 75 words of few words, many just above or below the bound, most of unequal sizes, in any order
+    rng = random.Random(3)
+    sets = []
+    for k in range(24):
+        whole = [f"w{rng.randrange(300)}x{k}" for _ in range(rng.randrange(4, 75))]
+        for _ in range(6):
+            some = rng.sample(whole, max(1, round(len(whole) * rng.uniform(0.75, 1))))
+            sets.append({*some, *[f"v{rng.randrange(99)}" for _ in range(rng.randrange(1 + len(whole) // 9))]})
+    rng.shuffle(sets)
+    docs = spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in enumerate(sets)], "doc_id long, text string").repartition(3)
+    expected = {i: [0] if any(5 * len(a & b) >= 4 * len(a | b) for a in sets[:i]) else [] for i, b in enumerate(sets)}
+    plans = {}
+
+    def seen(df, label, *more):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return common.written(df, label, *more)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    # all is found by the join alone
+    monkeypatch.setattr(line_dedup, "near_pairs", lambda firsts, label: common.written(firsts.select(F.col("node").alias("early"), F.col("node").alias("late")).limit(0), label))
+    assert {r.doc_id: r.removed for r in line_dedup.find_repeats(docs, "small").collect()} == expected
+    assert 40 < sum(map(len, expected.values())) < 130
+    assert "monotonically_increasing_id() >= 0" in plans["small-pairs"]
